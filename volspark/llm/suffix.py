@@ -42,13 +42,13 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each position, for all that have so many; GRAM is a power of two."""
     h = (data.astype(np.uint64) + np.uint64(1)) * _M1
     h ^= h >> np.uint64(29)
-    width, step = 1, np.uint64(0x2545F4914F6CDD1D)
+    width, step = 1, 0x2545F4914F6CDD1D
     while width < GRAM:
         if len(h) <= width:
             return h[:0]
-        h = h[:-width] * step + h[width:]
+        h = h[:-width] * np.uint64(step) + h[width:]
         h ^= h >> np.uint64(31)
-        step *= _M1
+        step = step * 0x9E3779B97F4A7C15 % (1 << 64)
         width *= 2
     h *= _M2
     h ^= h >> np.uint64(30)
@@ -182,10 +182,12 @@ def repeats(contents: list[bytes], length: int) -> list[np.ndarray]:
     known[0] = known[n] = True
     known[: len(contents) + 1] = True  # an end has nothing in common with its neighbours
     lo, hi = np.zeros(1, np.int64), np.full(1, n, np.int64)
-    for _ in range(length):
+    for level in range(length):
         lo, hi = ranks.extend(lo, hi)
         fresh = ~known[hi]
         lo, hi = lo[fresh], hi[fresh]
+        if level == 0:  # each end is a string of one symbol, too
+            lo, hi = np.concatenate((lo, np.arange(len(contents)))), np.concatenate((hi, np.arange(len(contents)) + 1))
         if not len(lo):
             break
         known[hi] = True
@@ -266,28 +268,36 @@ def _remove(batches):
 def _split_hot(hot: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """(blocks to solve, solved rows) of gram hashes with more than MOST open contents.
 
-    A piece stands for the windows of a content whose gram starts a to b bytes after the window does. All of
-    them contain the content from a bytes before the gram to length - b after it; their hull reaches from b
-    before to length - a after. Pieces meet by their common part. Equal hulls repeat in all windows; a common
-    part with one hull needs nothing; one with few hulls goes to a block; the others are halved.
+    A node is a range lo..hi of distances from a window's start to its gram, first of all distances, then
+    halved. A piece stands for those windows of a content that are in the node, at distances a..b. All windows
+    of a node contain the bytes from lo before the gram to length - hi after it, so pieces meet by that common
+    part; a piece's hull reaches from b before to length - a after. Equal hulls repeat in all windows; a common
+    part with one hull needs nothing more; one with few hulls goes to a block; the others are halved, down to
+    single distances, where the common part is the window.
     """
-    cut = lambda lo, hi: F.substring(F.col("text"), (F.col("gram") - lo + 1).cast("int"), (lo + hi).cast("int"))
-    pieces = hot.select("g", "c", "gram", "text", F.greatest(F.lit(0), F.col("gram") - F.octet_length("text") + length).cast("long").alias("a"), F.col("gram").cast("long").alias("b"))
+    cut = lambda before, after: F.substring(F.col("text"), (F.col("gram") - before + 1).cast("int"), (before + after).cast("int"))
+    full = F.lit(length).cast("long")
+    pieces = hot.select(
+        "g", "c", "gram", "text", F.lit(0).cast("long").alias("lo"), F.lit(length - GRAM).cast("long").alias("hi"),
+        (F.col("gram") - F.octet_length("text") + full).alias("a"), F.col("gram").alias("b"),
+    )
     todo, solved = [], []
     while True:
-        pieces = pieces.withColumn("key", F.xxhash64("g", "a", "b", cut(F.col("a"), F.lit(length) - F.col("b"))))
-        pieces = shared(pieces.withColumn("hull", F.xxhash64("key", cut(F.col("b"), F.lit(length) - F.col("a")))))
+        pieces = pieces.withColumn("key", F.xxhash64("g", "lo", "hi", cut(F.col("lo"), full - F.col("hi"))))
+        pieces = shared(pieces.withColumn("hull", F.xxhash64("key", "a", "b", cut(F.col("b"), full - F.col("a")))))
         hulls = pieces.groupBy("key", "hull").agg(F.count("*").alias("n"))
         keys = hulls.groupBy("key").agg(F.count("*").alias("hulls"))
         state = pieces.join(hulls, ["key", "hull"]).join(keys, "key")
-        solved.append(state.where("n > 1").select("g", "c", (F.col("gram") - F.col("b")).alias("first"), (F.col("gram") - F.col("a")).alias("last")))
+        first = (F.col("gram") - F.col("b")).alias("first")
+        solved.append(state.where("n > 1").select("g", "c", first, (F.col("gram") - F.col("a")).alias("last")))
         left = state.where("hulls > 1")
-        low = F.col("gram") - F.col("b")
-        todo.append(left.where(F.col("hulls") <= MOST).dropDuplicates(["key", "hull"]).select("key", "g", "c", low.alias("low"), cut(F.col("b"), F.lit(length) - F.col("a")).alias("text")))
+        one = left.where(F.col("hulls") <= MOST).dropDuplicates(["key", "hull"])
+        todo.append(one.select("key", "g", "c", first.alias("low"), cut(F.col("b"), full - F.col("a")).alias("text")))
         left = left.where(F.col("hulls") > MOST)
-        mid = F.floor((F.col("a") + F.col("b")) / 2)
-        left = left.where("b > a").withColumn("half", F.explode(F.array(F.struct(F.col("a").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("b").alias("b")))))
-        pieces = shared(left.select("g", "c", "gram", "text", "half.a", "half.b"))
+        mid = F.floor((F.col("lo") + F.col("hi")) / 2)
+        half = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"), F.greatest("a", lo).alias("a"), F.least("b", hi).alias("b"))
+        left = left.withColumn("half", F.explode(F.array(half(F.col("lo"), mid), half(mid + 1, F.col("hi")))))
+        pieces = shared(left.where("half.a <= half.b").select("g", "c", "gram", "text", "half.lo", "half.hi", "half.a", "half.b"))
         if pieces.isEmpty():
             return todo, solved
 
