@@ -1,4 +1,295 @@
-"""name -> (Spark query, oracle SQL or None)."""
+"""name -> Spark query over the driver's tables, and name -> the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from volspark.functions.numeric import half
+from volspark.operators import images, labels, series, tiles, verify
+from volspark.sources import fixtures as fx
+
+SHAPE = fx.SHAPE
+SPACING = (0.8, 0.8, 1.5)
+TILE, STEP = (12, 12, 10), 0.5
+
+_VOXEL = "CAST(l_orderkey%32 AS INT) i, CAST(l_partkey%32 AS INT) j, CAST(l_suppkey%24 AS INT) k"
+_CTE = {
+    "fx_ct": f"SELECT {_VOXEL}, CAST(max(40*l_quantity-1000) AS INT) hu FROM lineitem GROUP BY 1,2,3",
+    "fx_lab": f"SELECT {_VOXEL}, CAST(max(p_size%6) AS INT) AS label FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY 1,2,3",
+    "fx_lab2": f"SELECT {_VOXEL}, CAST(min(p_size%6) AS INT) AS label FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY 1,2,3",
+    "fx_slices": "SELECT CAST(l_orderkey AS VARCHAR) series_uid, CASE WHEN o_orderstatus='P' THEN 'MR' ELSE 'CT' END modality, CASE WHEN l_returnflag='R' THEN 256 ELSE 512 END nrows,"
+    " l_discount>=0.09 localizer, CAST(5*l_linenumber AS DOUBLE) pos FROM lineitem JOIN orders ON l_orderkey=o_orderkey",
+    "fx_runs": "SELECT event_type environment, user_id case_id, event_id%3 task, row_number() OVER (PARTITION BY event_type,user_id,event_id%3 ORDER BY ts,event_id) rep, value AS secs, event_id%97 AS hash FROM events",
+    "fx_want": "SELECT case_id, task, max(hash) AS want FROM fx_runs WHERE case_id%2=0 AND rep=1 GROUP BY 1,2",
+    "fx_both": "SELECT coalesce(x.i,y.i) i, coalesce(x.j,y.j) j, coalesce(x.k,y.k) k, coalesce(x.label,0) a, coalesce(y.label,0) b FROM fx_lab x FULL JOIN fx_lab2 y ON x.i=y.i AND x.j=y.j AND x.k=y.k",
+    "modal": "SELECT series_uid, nrows, n FROM (SELECT *, row_number() OVER (PARTITION BY series_uid ORDER BY n DESC, nrows) r FROM (SELECT series_uid, nrows, count(*) n FROM fx_slices WHERE NOT localizer GROUP BY 1,2)) WHERE r=1",
+    "used": "SELECT s.*, pos-lag(pos) OVER (PARTITION BY s.series_uid ORDER BY pos) d FROM fx_slices s JOIN modal m ON s.series_uid=m.series_uid AND s.nrows=m.nrows WHERE NOT localizer",
+    "cat": "SELECT u.series_uid, u.modality, u.n_slices, t.total-u.n_slices AS n_others, ds[len(ds)//2+1] AS gap, least_gap, CASE WHEN least_gap<=1e-6 THEN 'duplicate positions' WHEN n_slices<2 THEN 'single image' END AS problem"
+    " FROM (SELECT series_uid, max(modality) modality, count(*) n_slices, min(d) least_gap, list_sort(list(d) FILTER (d IS NOT NULL)) ds FROM used GROUP BY 1) u JOIN (SELECT series_uid, count(*) total FROM fx_slices GROUP BY 1) t ON u.series_uid=t.series_uid",
+    "inside": "SELECT min(i) li, max(i) hi, min(j) lj, max(j) hj, min(k) lk, max(k) hk FROM fx_lab WHERE label=5 AND i BETWEEN 6 AND 12 AND j BETWEEN 8 AND 20 AND k<9",
+}
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def _needs(sql: str) -> list[str]:
+    found: list[str] = []
+    for name, body in _CTE.items():
+        if name in sql.replace(",", " ").replace("(", " ").replace(")", " ").split():
+            found += [x for x in [*_needs(body), name] if x not in found]
+    return found
+
+
+def _query(sql: str | None):
+    """Registers a query under its function's name."""
+
+    def take(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            names = _needs(sql)
+            ORACLE_SQL[f.__name__] = ("WITH " + ", ".join(f"{n} AS ({_CTE[n]})" for n in names) + " " if names else "") + sql
+        return f
+
+    return take
+
+
+@_query("SELECT label, count(*) n FROM fx_lab GROUP BY 1")
+def label_histogram(spark, d):
+    return labels.histogram(fx.labels(spark, d))
+
+
+@_query("SELECT label, 'label_'||label AS name, count(*) n, count(*)*0.8e0*0.8e0*1.5e0/1000e0 AS ml FROM fx_lab GROUP BY label")
+def label_volumes(spark, d):
+    return labels.volumes(fx.labels(spark, d), SPACING)
+
+
+@_query("SELECT i, j, k, CASE WHEN label IN (1,3) THEN label ELSE 0 END AS label FROM fx_lab")
+def label_keep_filter(spark, d):
+    return labels.keep(fx.labels(spark, d), [1, 3])
+
+
+@_query(
+    "SELECT x.i, x.j, x.k, CASE y.label WHEN 3 THEN 3 WHEN 5 THEN 4 ELSE CASE x.label WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END END AS label FROM fx_lab x JOIN fx_lab2 y ON x.i=y.i AND x.j=y.j AND x.k=y.k"
+)
+def label_remap_merge(spark, d):
+    parts = fx.labels(spark, d).withColumn("part", F.lit(0)).unionByName(fx.labels(spark, d, F.min).withColumn("part", F.lit(1)))
+    return labels.overlay(parts, spark.createDataFrame([(0, 1, 1), (0, 2, 2), (1, 3, 3), (1, 5, 4)], "part int, label int, task_label int"))
+
+
+@_query("SELECT i, j, k, CAST(label IN (2,4) AS INT) AS mask FROM fx_lab")
+def label_union_mask(spark, d):
+    return labels.mask(fx.labels(spark, d), [2, 4])
+
+
+@_query("SELECT label, min(i) lo_i, max(i) hi_i, min(j) lo_j, max(j) hi_j, min(k) lo_k, max(k) hi_k FROM fx_lab GROUP BY 1")
+def bbox_per_label(spark, d):
+    return labels.boxes(fx.labels(spark, d), "label")
+
+
+def _inside(spark, d):
+    return fx.labels(spark, d).where("label = 5 and i between 6 and 12 and j between 8 and 20 and k < 9")
+
+
+_MARGIN = tuple(int(2 / s) for s in SPACING)
+
+
+@_query(
+    "SELECT i-greatest(li-2,0) AS i, j-greatest(lj-2,0) AS j, k-greatest(lk-1,0) AS k, hu FROM fx_ct, inside WHERE i BETWEEN li-2 AND hi+2 AND j BETWEEN lj-2 AND hj+2 AND k BETWEEN lk-1 AND hk+1"
+)
+def crop_with_margin(spark, d):
+    return labels.cropped(fx.ct(spark, d), _inside(spark, d), _MARGIN)
+
+
+@_query("SELECT i, j, k, CASE WHEN i BETWEEN li-2 AND hi+2 AND j BETWEEN lj-2 AND hj+2 AND k BETWEEN lk-1 AND hk+1 THEN label ELSE 0 END AS label FROM fx_lab, inside")
+def uncrop_paste(spark, d):
+    return labels.pasted(fx.labels(spark, d), _inside(spark, d), _MARGIN)
+
+
+@_query("SELECT i, j, k, CAST((least(greatest(CAST(hu AS FLOAT),CAST(-900 AS FLOAT)),CAST(800 AS FLOAT))-CAST(12.5 AS FLOAT))/CAST(300.25 AS FLOAT) AS DOUBLE) AS v FROM fx_ct")
+def ct_normalise_f32(spark, d):
+    return images.normalised(fx.ct(spark, d), -900.0, 800.0, 12.5, 300.25)
+
+
+@_query("SELECT i, j, k, CAST(trunc(hu/7e0) AS INT) AS v FROM fx_ct")
+def truncate_int32(spark, d):
+    return fx.ct(spark, d).select("i", "j", "k", (F.col("hu") / 7.0).cast("int").alias("v"))
+
+
+@_query("SELECT i, j, k, CAST(least(greatest(floor(hu*40.25e0+0.5e0),-32768e0),32767e0) AS INT) AS v FROM fx_ct")
+def display_int16(spark, d):
+    x = F.floor(F.col("hu") * 40.25 + 0.5)
+    return fx.ct(spark, d).select("i", "j", "k", F.least(F.greatest(x, F.lit(-32768)), F.lit(32767)).cast("int").alias("v"))
+
+
+@_query(
+    "SELECT i, j, k, preset, CAST(floor(least(greatest((hu-(level-width/2e0))/width*255e0,0e0),255e0)) AS INT) AS gray FROM fx_ct, (VALUES ('soft',50e0,400e0),('bone',400e0,1800e0),('lung',-600e0,1500e0)) p(preset,level,width)"
+)
+def window_level(spark, d):
+    presets = [("soft", 50.0, 400.0), ("bone", 400.0, 1800.0), ("lung", -600.0, 1500.0)]
+    return images.windowed(fx.ct(spark, d), spark.createDataFrame(presets, "preset string, level double, width double"))
+
+
+_HALF = "CASE WHEN x=0 OR isnan(x) THEN x WHEN abs(x)>=65520 THEN sign(x)*CAST('inf' AS DOUBLE) ELSE round_even(x/pow(2e0,greatest(floor(log2(abs(x))),-14)-10),0)*pow(2e0,greatest(floor(log2(abs(x))),-14)-10) END"
+
+
+@_query(f"SELECT vec_id, place, {_HALF} AS h FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) x, generate_subscripts(embedding,1)-1 AS place FROM embeddings)")
+def fp16_round(spark, d):
+    cells = fx.scores(spark, d).select("vec_id", F.posexplode("scores").alias("place", "x"))
+    return cells.select("vec_id", F.col("place").cast("long"), half(F.col("x").cast("double")).alias("h"))
+
+
+@_query("SELECT vec_id, CAST(list_position(embedding,list_max(embedding))-1 AS BIGINT) AS class FROM embeddings")
+def logits_argmax(spark, d):
+    return tiles.argmax(fx.scores(spark, d))
+
+
+@_query("SELECT j AS i, 31-i AS j, k, hu FROM fx_ct")
+def reorient_flip_permute(spark, d):
+    return fx.ct(spark, d).select(F.col("j").alias("i"), (31 - F.col("i")).alias("j"), "k", "hu")
+
+
+@_query("SELECT series_uid, nrows, n FROM modal")
+def series_modal_size(spark, d):
+    return series.modal_size(fx.slices(spark, d))
+
+
+@_query("SELECT * FROM cat")
+def series_catalogue(spark, d):
+    return series.catalogue(fx.slices(spark, d))
+
+
+@_query("SELECT * FROM cat ORDER BY problem IS NOT NULL, modality<>'CT', n_slices DESC, series_uid LIMIT 1")
+def default_series(spark, d):
+    return series.ranked_first(series.catalogue(fx.slices(spark, d)))
+
+
+@_query(
+    "SELECT CAST(x.o AS INT) AS i, CAST(y.o AS INT) AS j, CAST(z.o AS INT) AS k, label FROM fx_lab"
+    + "".join(
+        f" JOIN (SELECT o, CAST(least(floor(o*({n - 1}e0/{m - 1}e0)+0.5e0),{n - 1}) AS INT) p FROM (SELECT unnest(range({m})) o)) {t} ON {t}.p={c}"
+        for t, c, n, m in (("x", "i", 32, 20), ("y", "j", 32, 41), ("z", "k", 24, 24))
+    )
+)
+def zoom_nearest(spark, d):
+    return images.zoomed_nearest(fx.labels(spark, d), SHAPE, (20, 41, 24))
+
+
+def _linear_sql(out=(20, 20, 15)) -> str:
+    axis = "(SELECT o, CAST(least(floor(o*({n}e0/{m}e0)),{last}) AS INT) b, o*({n}e0/{m}e0)-least(floor(o*({n}e0/{m}e0)),{last}) f FROM (SELECT unnest(range({size})) o))"
+    ax = [axis.format(n=n - 1, m=m - 1, last=n - 2, size=m) for n, m in zip(SHAPE, out, strict=True)]
+    w = lambda c, t: f"{c}.f" if t else f"(1e0-{c}.f)"
+    taps = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
+    total = "+".join(f"coalesce(t{a}{b}{c}.hu*{w('x', a)}*{w('y', b)}*{w('z', c)},0e0)" for a, b, c in taps)
+    joins = " ".join(f"LEFT JOIN fx_ct t{a}{b}{c} ON t{a}{b}{c}.i=x.b+{a} AND t{a}{b}{c}.j=y.b+{b} AND t{a}{b}{c}.k=z.b+{c}" for a, b, c in taps)
+    some = " OR ".join(f"t{a}{b}{c}.hu IS NOT NULL" for a, b, c in taps)
+    return f"SELECT CAST(x.o AS INT) AS i, CAST(y.o AS INT) AS j, CAST(z.o AS INT) AS k, {total} AS v FROM {ax[0]} x CROSS JOIN {ax[1]} y CROSS JOIN {ax[2]} z {joins} WHERE {some}"
+
+
+@_query(_linear_sql())
+def zoom_linear(spark, d):
+    return images.zoomed_linear(fx.ct(spark, d), SHAPE, (20, 20, 15))
+
+
+@_query("SELECT CAST(i//4 AS INT) AS i, CAST(j//4 AS INT) AS j, CAST(k//4 AS INT) AS k, sum(CAST(label IN (2,4) AS INT))*(1e0/64) AS v FROM fx_lab GROUP BY 1,2,3")
+def block_average(spark, d):
+    return images.block_average(labels.mask(fx.labels(spark, d), [2, 4]), 4)
+
+
+@_query("SELECT 31-i AS u, 31-j AS v, hu FROM fx_ct WHERE k=4")
+def slice_axial(spark, d):
+    return images.axial(fx.ct(spark, d), 4, SHAPE)
+
+
+@_query("SELECT 31-i AS u, 23-k AS v, hu FROM fx_ct WHERE j=11")
+def slice_coronal(spark, d):
+    return images.coronal(fx.ct(spark, d), 11, SHAPE)
+
+
+@_query("SELECT 31-j AS u, 23-k AS v, hu FROM fx_ct WHERE i=11")
+def slice_sagittal(spark, d):
+    return images.sagittal(fx.ct(spark, d), 11, SHAPE)
+
+
+_STARTS = [tiles.starts(n, t, STEP) for n, t in zip(SHAPE, TILE, strict=True)]
+_COVER = "SELECT c.*, si, sj, sk FROM fx_ct c" + "".join(f" JOIN (SELECT unnest({s}) s{a}) t{a} ON s{a}<={a} AND {a}<s{a}+{t}" for a, s, t in zip("ijk", _STARTS, TILE, strict=True))
+
+
+@_query(f"SELECT si, sj, sk, count(*) n FROM ({_COVER}) GROUP BY 1,2,3")
+def tile_voxel_counts(spark, d):
+    return tiles.covering(fx.ct(spark, d), SHAPE, TILE, STEP).groupBy("si", "sj", "sk").agg(F.count("*").alias("n"))
+
+
+@_query(
+    "SELECT i, j, k, count(*) n, list_reduce(list_prepend(0e0, list(p ORDER BY si,sj,sk)), lambda s, p: list_transform([s+p], lambda x: "
+    + _HALF
+    + f")[1]) AS total FROM (SELECT *, hu*0.37e0+si+sj*0.1e0+sk*0.01e0 AS p FROM ({_COVER})) GROUP BY i,j,k"
+)
+def tile_accumulate_fp16(spark, d):
+    value = F.col("hu") * 0.37 + F.col("si") + F.col("sj") * 0.1 + F.col("sk") * 0.01
+    return tiles.accumulated_half(tiles.covering(fx.ct(spark, d), SHAPE, TILE, STEP), value)
+
+
+@_query(
+    "SELECT l AS label, CAST(sum(CAST(a=l AS INT)) AS BIGINT) n_a, CAST(sum(CAST(b=l AS INT)) AS BIGINT) n_b, CAST(sum(CAST(a=l AND b=l AS INT)) AS BIGINT) n_both, 2e0*sum(CAST(a=l AND b=l AS INT))/(sum(CAST(a=l AS INT))+sum(CAST(b=l AS INT))) AS dice,"
+    " sum(CAST(a=l AS INT))=sum(CAST(a=l AND b=l AS INT)) AND sum(CAST(b=l AS INT))=sum(CAST(a=l AND b=l AS INT)) AS identical FROM fx_both, (VALUES (1),(2),(3),(4),(5)) v(l) WHERE a=l OR b=l GROUP BY l"
+)
+def dice_per_label(spark, d):
+    return labels.dice(fx.labels(spark, d), fx.labels(spark, d, F.min))
+
+
+@_query("SELECT count(*) n, CAST(sum(CAST(a<>b AS INT)) AS BIGINT) n_diff, 100e0*sum(CAST(a<>b AS INT))/count(*) AS percent FROM fx_both")
+def diff_report(spark, d):
+    return labels.differences(fx.labels(spark, d), fx.labels(spark, d, F.min))
+
+
+@_query("SELECT label, avg(i) ci, avg(j) cj, avg(k) ck FROM fx_lab WHERE (i+32*(j+32*k))%7=0 AND label>0 GROUP BY 1")
+def label_centroid(spark, d):
+    return labels.centroids(fx.labels(spark, d), SHAPE)
+
+
+@_query(
+    "SELECT k, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list(CAST(b AS BIGINT) ORDER BY p)), lambda h, b: (xor(h,b)*16777619) & 4294967295) AS hash"
+    " FROM (SELECT z.k, p, coalesce(label,0) b FROM (SELECT DISTINCT k FROM fx_lab) z CROSS JOIN (SELECT unnest(range(1024)) p) c LEFT JOIN fx_lab l ON l.k=z.k AND l.i+32*l.j=p) GROUP BY k"
+)
+def label_hash_fnv1a(spark, d):
+    return labels.dense_hash(fx.labels(spark, d), SHAPE)
+
+
+@_query("SELECT i, j, k, CASE WHEN ((i-15)*0.8e0)*((i-15)*0.8e0)+((j-15)*0.8e0)*((j-15)*0.8e0)+((k-11)*1.5e0)*((k-11)*1.5e0)<=36e0 AND label NOT IN (2) THEN 7 ELSE label END AS label FROM fx_lab")
+def brush_stamp(spark, d):
+    return labels.stamp(fx.labels(spark, d), (15, 15, 11), 6.0, SPACING, 7, [2])
+
+
+@_query("SELECT i, j, k, CASE WHEN label%2=0 AND j<16 THEN 9 WHEN i<8 THEN 8 ELSE label END AS label FROM fx_lab")
+def edit_replay(spark, d):
+    lab = fx.labels(spark, d)
+    edit = lambda ok, step, to: lab.where(ok).select("i", "j", "k", F.lit(step).alias("step"), F.lit(to).alias("label"))
+    return labels.replayed(lab, edit("i < 8", 1, 8).union(edit("label % 2 = 0 and j < 16", 2, 9)).union(edit("k = 0", 3, 1)), 2)
+
+
+@_query("SELECT environment, case_id, task, count(*) n, min(hash)=max(hash) AS identical FROM fx_runs GROUP BY 1,2,3")
+def runs_identical(spark, d):
+    return verify.identical_runs(fx.runs(spark, d))
+
+
+@_query("SELECT environment, case_id, task, min(secs) fast, max(secs) slow, count(*) n FROM fx_runs WHERE rep IN (2,3) GROUP BY 1,2,3")
+def gpu_runs_2_3(spark, d):
+    return verify.mean_of_later(fx.runs(spark, d), [2, 3])
+
+
+def _want(spark, d):
+    return fx.runs(spark, d).where("case_id % 2 = 0 and rep = 1").groupBy("case_id", "task").agg(F.max("hash").alias("want"))
+
+
+@_query(
+    "SELECT environment, CAST(sum(CAST(coalesce(hash=want,false) AS INT)) AS BIGINT) matches, CAST(sum(CAST(coalesce(hash<>want,false) AS INT)) AS BIGINT) different, CAST(sum(CAST(want IS NULL AS INT)) AS BIGINT) no_record"
+    " FROM fx_runs r LEFT JOIN fx_want w ON r.case_id=w.case_id AND r.task=w.task WHERE rep=1 GROUP BY 1"
+)
+def hash_verdict(spark, d):
+    return verify.verdicts(fx.runs(spark, d), _want(spark, d))
+
+
+@_query("SELECT case_id, task, want FROM fx_want w WHERE NOT EXISTS (SELECT 1 FROM fx_runs r WHERE r.environment='click' AND r.rep>=3 AND r.case_id=w.case_id AND r.task=w.task)")
+def hashes_not_run(spark, d):
+    return verify.not_run(fx.runs(spark, d).where("rep >= 3"), _want(spark, d), "click")
