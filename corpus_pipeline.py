@@ -47,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("simhash", one_of_each_group), ("suffix", cut_repeats), ("decontamination", drop_leaks), ("bpe", encode)]
 
-#: Learning, interval expansion and merge tables are beyond SQL; tests/llm/test_pipeline.py replays the stages by brute force.
+#: Learning, interval expansion and merge tables are beyond SQL. A brute-force replay of the stages is still to be written.
 ORACLE_SQL = None
 
 
