@@ -39,6 +39,24 @@ def test_distrust_walks_back(spark):
     assert got == {0: "block", 1: "block", 2: "block", 10: "block", 20: "allow", 21: "allow"}
 
 
+def test_distrust_of_a_popular_host(spark):
+    """Who links only to a blocked host is blocked, however many others do; one link of ten does not block."""
+    rows = [(0, "http://bad.org/es/1", "")] + [(i, f"http://feeder{i}.io/x", '<a href="http://bad.org/es/1">') for i in range(1, 31)]
+    rows += [(50, "http://mixed.io/x", '<a href="http://bad.org/es/1">' + "".join(f'<a href="http://n{i}.io/">' for i in range(9)))]
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {v for i, v in got.items() if i < 50} == {"block"} and got[50] == "allow"
+
+
+def test_distrust_of_partly_blocked_hosts(spark):
+    """Hosts that the rules block in part give their other pages a verdict; the real table has some, and no links."""
+    rows = [(i, f"http://most.org/es/{i}", "") for i in range(7)] + [(i, f"http://most.org/x/{i}", "") for i in range(7, 10)]
+    rows += [(i, f"http://few.org/{'es' if i == 20 else 'x'}/{i}", "") for i in range(20, 30)]
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "block" for i in range(10)) and [i for i in range(20, 30) if got[i] == "block"] == [20]
+    real = urlfilter.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("rule is null and host <> ''")
+    assert real.where("verdict = 'block'").count() > 0 and real.where("host_distrust > 0").count() > 0
+
+
 def test_leaks(spark, docs, empty):
     item = "A farmer in Holland sells 12 baskets with 30 red apples each to the traders of the market before noon"
     other = "A farmer in Belgium sells 47 baskets with 55 red apples each to the traders of the market before noon"

@@ -58,58 +58,59 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, tolerance: float) -> DataFrame:
-    """Personalised PageRank: (host, mass), started at seeds (host, seed) and moved along edges (src, dst, share).
+    """Personalised PageRank: (host, mass, whole) that reaches hosts along edges (src, dst, share) from seeds (host, mass, whole).
 
-    Mass that reaches a host without outgoing edges leaves the walk. Two small joins a round; the lineage is
-    cut each round, and the walk ends when a round moves less than `tolerance`.
+    Both columns walk together and end together, so mass / whole is a share whatever the number of links. The seeds' own
+    mass is not counted; mass that reaches a host without outgoing edges leaves the walk. A small join a round; the lineage
+    is cut each round, and the walk ends when a round moves less than the share `tolerance` of the seeds.
     """
-    mass = seeds.select("host", ((1 - damping) * F.col("seed")).alias("mass"))
-    step = mass
+    start = seeds.agg(F.sum("whole")).first()[0] or 0.0
+    step, got = seeds, None
     for _ in range(rounds):
-        step = (
-            step.join(edges, step["host"] == edges["src"])
-            .groupBy(F.col("dst").alias("host"))
-            .agg((damping * F.sum(F.col("mass") * F.col("share"))).alias("mass"))
-        )
-        step = shared(step)
-        if not (step.agg(F.sum("mass")).first()[0] or 0.0) > tolerance:
+        moved = step.join(edges, step["host"] == edges["src"]).groupBy(F.col("dst").alias("host"))
+        step = shared(moved.agg(*((damping * F.sum(F.col(c) * F.col("share"))).alias(c) for c in ("mass", "whole"))))
+        got = step if got is None else shared(got.union(step).groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("whole").alias("whole")))
+        if not (step.agg(F.sum("whole")).first()[0] or 0.0) > tolerance * start:
             break
-        mass = shared(mass.union(step).groupBy("host").agg(F.sum("mass").alias("mass")))
-    return mass
+    return got
 
 
-def host_verdicts(pages: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6, seed_share: float = 0.9, distrust_share: float = 0.8, least_seed: float = 0.1) -> DataFrame:
+def host_verdicts(pages: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6, distrust_share: float = 0.8, least_distrust: float = 0.5) -> DataFrame:
     """(host, trust, distrust, blocked) from pages (host, html, verdict of the rules).
 
-    A host is a trusted (blocked) seed if the rules allow (block) at least `seed_share` of its pages. Trust
-    walks along links, distrust against them: who links to blocked hosts shares their distrust. Both are in
-    units of one seed's starting mass. A host is blocked if its distrust is at least `least_seed` and makes up
-    at least `distrust_share` of trust and distrust together.
+    Every host seeds both walks, with the share of its pages that the rules allow (trust) or block (distrust), beside a whole
+    mass of 1; hosts that are only linked to have the whole mass alone. Trust walks along links, distrust against them:
+    who links to blocked hosts shares their distrust. Of what reaches a host, mass / whole is the allowed (blocked) share of
+    the hosts behind it, however many others the mass is split over. A host's trust (distrust) is the share of its pages
+    allowed (blocked), and for its pages without a rule `damping` times the share that its links bring. It is blocked if
+    its distrust is at least `least_distrust` and makes up at least `distrust_share` of trust and distrust together.
     """
     votes = pages.where("host <> ''").groupBy("host").agg(
-        F.count("*").alias("n"),
-        F.sum(F.when(F.col("verdict") == "allow", 1).otherwise(0)).alias("good"),
-        F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("bad"),
+        (F.sum(F.when(F.col("verdict") == "allow", 1).otherwise(0)) / F.count("*")).alias("good"),
+        (F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)) / F.count("*")).alias("bad"),
     )
     votes = shared(votes)
     edges = shared(host_edges(pages))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("host")).distinct()
+    nodes = shared(votes.join(ends, "host", "full").select("host", F.coalesce("good", F.lit(0.0)).alias("good"), F.coalesce("bad", F.lit(0.0)).alias("bad")))
 
     def walk(seed: str, back: bool, name: str) -> DataFrame:
         a, b = ("dst", "src") if back else ("src", "dst")
         out = edges.groupBy(a).agg(F.sum("n").alias("total"))
-        shares = edges.join(out, a).select(F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("n") / F.col("total")).alias("share"))
-        seeds = votes.where(F.col(seed) >= seed_share * F.col("n")).select("host", F.lit(1.0).alias("seed"))
-        return spread(seeds, shares, damping, rounds, tolerance).select("host", (F.col("mass") / (1 - damping)).alias(name))
+        shares = shared(edges.join(out, a).select(F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("n") / F.col("total")).alias("share")))
+        seeds = nodes.select("host", F.col(seed).alias("mass"), F.lit(1.0).alias("whole"))
+        return spread(seeds, shares, damping, rounds, tolerance).where("whole > 0").select("host", (F.col("mass") / F.col("whole")).alias(name))
 
-    both = votes.select("host").join(walk("good", False, "trust"), "host", "left").join(walk("bad", True, "distrust"), "host", "left")
-    both = both.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    return both.withColumn("blocked", (F.col("distrust") >= least_seed) & (F.col("distrust") >= distrust_share * (F.col("trust") + F.col("distrust"))))
+    both = votes.join(walk("good", False, "near_good"), "host", "left").join(walk("bad", True, "near_bad"), "host", "left")
+    free = damping * (1 - F.col("good") - F.col("bad"))
+    both = both.select("host", *((F.col(own) + free * F.coalesce(near, F.lit(0.0))).alias(name) for own, near, name in (("good", "near_good", "trust"), ("bad", "near_bad", "distrust"))))
+    return both.withColumn("blocked", (F.col("distrust") >= least_distrust) & (F.col("distrust") >= distrust_share * (F.col("trust") + F.col("distrust"))))
 
 
 def judge(pages: DataFrame, rules=RULES, **graph) -> DataFrame:
     """(page_id, host, path, rule, verdict, host_trust, host_distrust) of every row of pages (page_id, url, html).
 
-    A rule's verdict stands; other pages get their host's. Null or odd urls have an empty host and path and
+    A rule's verdict stands; other pages get their host's; trust and distrust are shares from 0 to 1. Null or odd urls have an empty host and path and
     are allowed, null html has no links, repeated rows repeat, other columns are ignored.
     """
     url, host, path = F.col("url").cast("string"), F.col("host"), F.col("path")
