@@ -33,6 +33,8 @@ UNIT = re.compile(r"[^\W\d_]+(?:['*.\-_@$!0-9]+[^\W\d_]+)*")
 SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_]\s){2,}[^\W\d_](?!\w)")
 SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
 REMEMBERED = 400_000
+#: Highest score of all texts if the labels teach nothing; under the threshold, so that all are kept.
+UNKNOWN = 0.25
 #: Bytes of text whose words are scored together.
 CHUNK = 1 << 21
 
@@ -167,7 +169,8 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = 200, most_negativ
     for own, y in zip(ids, labels, strict=True):
         (toxic if y else clean)[own] += 1
     n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
-    never = Machine(np.zeros(SIZE), 0.0, 0.0, float(np.log((n1 + 1) / (n0 + 1))))
+    # nothing tells texts apart: all have the prior probability, but at most UNKNOWN, as nothing speaks against any of them
+    never = Machine(np.zeros(SIZE), 0.0, 0.0, float(min(np.log((n1 + 1) / (n0 + 1)), np.log(UNKNOWN / (1 - UNKNOWN)))))
     if not n1 or not n0 or not toxic.any() or not clean.any():
         return never
     evidence = lambda t, c: t * np.log(((t + 0.1) / n1) / ((c + 0.5) / n0))
@@ -218,7 +221,7 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = 200, most_negativ
         negatives = np.union1d(negatives, plain[np.argsort(-score[plain], kind="stable")[: most_negative // 4]])
     top = np.array([score[own].max() if len(own) else -1.0 for own in ids])
     machine.slope, machine.shift = _platt(top, labels.astype(float))
-    return machine
+    return machine if machine.slope > 0 else never
 
 
 def _platt(margin: np.ndarray, y: np.ndarray, damp: float = 1e-3) -> tuple[float, float]:
