@@ -21,10 +21,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; of rows that repeat that id, one."""
-    groups = simhash.near_duplicates(docs).select("component_id").distinct()
-    first = docs.join(groups, docs["doc_id"].eqNullSafe(groups["component_id"]), "left_semi")
-    return first.dropDuplicates(["doc_id"])
+    """The document with the smallest id of each near-duplicate group, one row of it; texts without words are one group.
+
+    Rows with a null id or text belong to no group and stay, all of them.
+    """
+    whole = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    return simhash.one_of_each(docs.where(whole)).union(docs.where(~whole))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

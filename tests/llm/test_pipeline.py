@@ -11,3 +11,19 @@ def test_no_labels_keep_everything(spark, docs, tmp_path):
         labels = spark.createDataFrame([(i, 1, toxic) for i in range(n)], "doc_id long, quality int, toxic int")
         labels.write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
         assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count(), (toxic, n)
+
+
+def test_one_of_each_group(spark):
+    """Repeated ids with different texts, and null ids and texts."""
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(40)) for w in ("river", "stone", "cloud", "paper"))
+    rows = [(1, a), (1, a), (1, b), (2, b), (3, c), (2, c), (None, d), (None, c), (None, d), (4, None), (5, None), (6, ""), (7, " \n")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(1, a), (1, b), (2, c), (None, d), (None, c), (None, d), (4, None), (5, None), (6, "")], key=repr)
+
+
+def test_one_row_of_one_id(spark):
+    """Different near copies under one id in one group leave one row."""
+    words = [f"w{i}" for i in range(600)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (1, " ".join([*words[:-1], "W599"]))], "doc_id long, text string")
+    assert corpus_pipeline.one_of_each_group(spark, docs, "").count() == 1

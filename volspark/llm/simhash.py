@@ -7,7 +7,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volspark.llm.common import shared, text_bytes
@@ -39,13 +39,15 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 def _fingerprints(batches, shingle: int):
     for b in batches:
-        fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+        *own, text = b.columns
+        fp = np.array([fingerprint(t, shingle) for t in text.to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*own, pa.array(fp, pa.int64())], [*b.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, shingle: int = 4, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, keep, fp): the 64 bits as a signed long."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text_bytes().alias("__text"))
+    return rows.mapInArrow(lambda it: _fingerprints(it, shingle), rows.drop("__text").schema.add("fp", "long"))
 
 
 def _segments(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -117,6 +119,21 @@ def _by(*keys):
     return Window.partitionBy(*keys)
 
 
+def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int = 3, most_per_key: int = 256) -> DataFrame:
+    """One row of docs (doc_id, text, any others) of each near-duplicate group: of the smallest id, and of its rows in the
+    group that of the smallest hash. Groups are told by their fingerprints, so rows of one id may be in several."""
+    marked = shared(fingerprints(docs, shingle, (F.xxhash64(*docs.columns).alias("row"),)))
+    distinct = shared(marked.select("fp").distinct())
+    roots = connected_components(links(distinct, distance, parts, most_per_key), "a", "b")
+    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    # the minimum of each fingerprint first, so that copies of one text are never gathered
+    least = marked.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    first = least.join(placed, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__first"))
+    rows = docs.withColumn("__row", F.xxhash64(*docs.columns))
+    kept = rows.join(first, rows["doc_id"].cast("long").eqNullSafe(first["__id"]) & (rows["__row"] == first["__first"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__row"]).select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int = 3, most_per_key: int = 256) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs (doc_id, text).
 
