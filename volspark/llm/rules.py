@@ -54,13 +54,18 @@ def cutoffs(labelled: DataFrame, loss: float = 0.02, risk: float = 0.1, most_str
     most lenient one counts that rejects most bad documents. Such an ordered
     test needs no correction for the number of levels; the risk is divided by the number of strata (Bonferroni), so all
     strata keep their bound at once with probability 1 - risk. The `most_strata` largest strata with `least` good documents
-    in each fold have their own cutoffs; the rest, and unknown strata, share the pooled ones of all rows. A stratum where
-    no level passes has none and rejects nothing.
+    in each fold have their own cutoffs. The rest take the pooled cutoffs of all rows, if these and all more lenient
+    ones pass the same test on the stratum's own good documents. A stratum where no level passes, or with too few good
+    documents to tell, has none and rejects nothing.
     """
     good = labelled.where("good = 1").withColumn("half", F.pmod(F.xxhash64(F.lit("rules"), "doc_id"), F.lit(2)))
     sizes = good.groupBy("stratum").agg(F.sum(1 - F.col("half")).alias("n0"), F.sum("half").alias("n1")).where((F.col("n0") >= least) & (F.col("n1") >= least))
     own = [r["stratum"] for r in sizes.orderBy(F.desc(F.col("n0") + F.col("n1")), "stratum").limit(most_strata).collect()]
     strata = F.array(F.lit(POOLED), F.when(F.col("stratum").isin(own), F.col("stratum"))) if own else F.array(F.lit(POOLED))
+    # with fewer good documents the bound is over `loss` even without a false rejection
+    could = good.where("half = 1").groupBy("stratum").agg(F.count("*").alias("n")).where(F.col("n") >= log(risk) / np.log1p(-loss))
+    others = [r["stratum"] for r in could.where(~F.col("stratum").isin(own)).collect()]
+    rest = good.where((F.col("half") == 1) & F.col("stratum").isin(others))
     good = good.withColumn("stratum", F.explode(strata)).where("stratum is not null")
     wanted = [[1 - x for x in LEVELS] if sign > 0 else LEVELS for _, sign in RULES]
     quantiles = [F.percentile_approx(stat, q, 100_000).alias(f"q{i}") for i, ((stat, _), q) in enumerate(zip(RULES, wanted, strict=True))]
@@ -76,15 +81,26 @@ def cutoffs(labelled: DataFrame, loss: float = 0.02, risk: float = 0.1, most_str
         by_level.append(F.sum(fails.cast("int")).alias(f"k{v}"))
     bad = labelled.where("good = 0").withColumn("stratum", F.explode(strata)).where("stratum is not null")
     caught = {r["stratum"]: [r[f"k{v}"] for v in range(len(LEVELS))] for r in bad.groupBy("stratum").agg(*by_level).collect()}
-    chosen = {}
-    for r in tested.agg(F.count("*").alias("n"), *by_level).collect():
-        s, passed = r["stratum"], []
+
+    def passing(r) -> list[int]:
+        passed = []
         for v in range(len(LEVELS)):
-            if upper_bound(r[f"k{v}"], r["n"], risk / len(levels)) > loss:
+            if upper_bound(r[f"k{v}"], r["n"], risk / (len(levels) + len(others))) > loss:
                 break
             passed.append(v)
+        return passed
+
+    best = {}
+    for r in tested.agg(F.count("*").alias("n"), *by_level).collect():
+        s, passed = r["stratum"], passing(r)
         if passed and s in caught:
-            chosen[s] = levels[s][max(passed, key=lambda v: (caught[s][v], -v))]
+            best[s] = max(passed, key=lambda v: (caught[s][v], -v))
+    chosen = {s: levels[s][v] for s, v in best.items() if s != POOLED or POOLED in own}
+    if others and POOLED in best:
+        pooled = [F.sum(_fails(levels[POOLED][v]).cast("int")).alias(f"k{v}") for v in range(len(LEVELS))]
+        for r in rest.groupBy("stratum").agg(F.count("*").alias("n"), *pooled).collect():
+            if best[POOLED] in passing(r):
+                chosen[r["stratum"]] = levels[POOLED][best[POOLED]]
     return chosen
 
 
@@ -100,8 +116,6 @@ def filter_quality(docs: DataFrame, labels: DataFrame, least_words: int = 50, mo
     marked = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("good"))
     chosen = cutoffs(stats.where("not base_failed").join(marked, "doc_id"), **risk)
     fails = F.lit(False)
-    if POOLED in chosen:
-        fails = _fails(chosen[POOLED])
-    for s in sorted(set(chosen) - {POOLED}):
+    for s in sorted(chosen):
         fails = F.when(F.col("stratum") == s, _fails(chosen[s])).otherwise(fails)
     return stats.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~fails).alias("kept"), "stratum")
