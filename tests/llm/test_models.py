@@ -69,6 +69,16 @@ def test_leaks(spark, docs, empty):
     assert decontam.find_leaks(texts, bench.where("false")).count() == 0
 
 
+def test_leaks_of_several_variants(spark):
+    """Variants of one item in one document, and rows of one id, do not disturb each other; a form filled at random stays clean."""
+    item = "Please count the {} apples that a quiet farmer will sell"
+    form = "we put {} red apples beside {} green apples and then we ate"
+    bench = spark.createDataFrame([(1, item.format(12)), (2, form.format(3, 3))], "item_id long, text string")
+    texts = [(1, item.format(12) + ". " + item.format(13)), (2, f"1. {item.format(20)}. 2. {item.format(21)}."), (3, item.format(14)), (3, item.format(15)), (4, form.format(5, 7)), (5, form.format(5, 7) + ". " + form.format(3, 3))]
+    got = {r["doc_id"]: (r["item_id"], r["coverage"]) for r in decontam.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert {i: x[0] for i, x in got.items()} == {1: 1, 2: 1, 3: 1, 5: 2} and all(got[i][1] == 1 for i in (1, 2, 3, 5))
+
+
 def crc(i, parts):
     return zlib.crc32(str(i).encode()) % parts
 

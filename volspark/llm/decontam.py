@@ -124,15 +124,17 @@ def _bits(h: np.ndarray) -> np.ndarray:
 
 
 def _windows(batches, sizes, bitmap: np.ndarray | None):
-    """(id, at, size, of, h, template, slots): windows of texts, of all words; with a bitmap only those that may match.
+    """(id, copy, at, size, of, h, template, slots): windows of texts, of all words; with a bitmap only those that may match.
 
+    copy is a hash of the text, as one id may have several;
     slots are the values in the template's slots, in order; of is the number of template words of the text.
     """
     memory = Templates()
     for b in batches:
-        out = [[] for _ in range(7)]
+        out = [[] for _ in range(8)]
         for key, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            ids = memory.read(raw.as_py().decode("utf-8", "replace"))
+            raw = raw.as_py()
+            ids = memory.read(raw.decode("utf-8", "replace"))
             if not len(ids):
                 continue
             table, flags = memory.arrays()
@@ -144,7 +146,9 @@ def _windows(batches, sizes, bitmap: np.ndarray | None):
                 if bitmap is not None:
                     where = _bits(h)
                     firm &= (bitmap[where >> 3] >> (where & 7)) & 1 == 1
-                for at in np.flatnonzero(firm).tolist():
+                hits = np.flatnonzero(firm).tolist()
+                copy = xxhash.xxh64_intdigest(raw) - (1 << 63) if hits else 0
+                for at in hits:
                     words, slots = [], []
                     for i in range(at, at + size):
                         own = memory.words[ids[token[i]]]
@@ -153,13 +157,13 @@ def _windows(batches, sizes, bitmap: np.ndarray | None):
                         words.append(word)
                         if word in SLOTS:
                             slots.append(value)
-                    for col, x in zip(out, (key, at, size, len(code), h[at].astype(np.int64), " ".join(words), slots), strict=True):
+                    for col, x in zip(out, (key, copy, at, size, len(code), h[at].astype(np.int64), " ".join(words), slots), strict=True):
                         col.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["id", "at", "size", "of", "h", "template", "slots"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["id", "copy", "at", "size", "of", "h", "template", "slots"])
 
 
-_SCHEMA = "id long, at long, size long, of long, h long, template string, slots array<string>"
+_SCHEMA = "id long, copy long, at long, size long, of long, h long, template string, slots array<string>"
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -167,9 +171,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Both sides become template words: lower-case words, with numbers, units and names inside sentences as typed slots. An
     item's windows are WINDOW template words long (all of an item that is shorter, down to SHORTEST), with LEAST_WORDS
-    words that are no slots. Windows meet by the hash of the template and then by the template. A pair stands if, over all its
-    windows, equal slot values of the item are equal in the document, so that a question with other numbers or names is
-    found but not a form that is filled in at random; windows with slots that break this drop out.
+    words that are no slots. Windows meet by the hash of the template and then by the template. An occurrence is the windows of one
+    text and one item at the same distance. It stands if, over all its windows, equal slot values of the item are equal in the
+    document, so that a question with other numbers or names is found but not a form that is filled in at random; windows
+    with slots that break this drop out, unless their own values are the item's. Several occurrences do not disturb each other.
     coverage is the share of the item's windows found; reparameterised: some slot value differs.
 
     Documents send on only windows that a bitmap of all item windows admits; the bitmap has 2**FILTER_BITS bits, whatever
@@ -186,13 +191,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text"))
     seen = rows.mapInArrow(lambda it: _windows(it, sizes, sent.value), _SCHEMA)
-    seen = seen.select(F.col("id").alias("doc_id"), "h", "template", F.col("slots").alias("have")).distinct()
-    known = own.select(F.col("id").alias("item_id"), "h", "template", "at", F.col("slots").alias("want"), (F.col("of") - F.col("size") + 1).alias("windows"))
-    pairs = shared(seen.join(known, ["h", "template"]))
-    slots = pairs.select("doc_id", "item_id", F.explode(F.arrays_zip("want", "have")).alias("s")).select("doc_id", "item_id", "s.want", "s.have")
-    broken = slots.groupBy("doc_id", "item_id", "want").agg(F.min("have").alias("a"), F.max("have").alias("b")).where("a <> b")
-    broken = broken.groupBy("doc_id", "item_id").agg(F.collect_set("want").alias("broken"))
-    kept = pairs.join(broken, ["doc_id", "item_id"], "left").where(F.col("broken").isNull() | ~F.arrays_overlap("want", "broken"))
+    seen = seen.select(F.col("id").alias("doc_id"), "copy", F.col("at").alias("place"), "h", "template", F.col("slots").alias("have")).distinct()
+    known = own.select(F.col("id").alias("item_id"), F.col("copy").alias("item_copy"), "h", "template", "at", F.col("slots").alias("want"), (F.col("of") - F.col("size") + 1).alias("windows"))
+    one = ["doc_id", "copy", "item_id", "item_copy", "shift"]
+    pairs = shared(seen.join(known, ["h", "template"]).select(*one[:-1], (F.col("place") - F.col("at")).alias("shift"), "at", "want", "have", "windows"))
+    slots = pairs.select(*one, F.explode(F.arrays_zip("want", "have")).alias("s")).select(*one, "s.want", "s.have")
+    broken = slots.groupBy(*one, "want").agg(F.min("have").alias("a"), F.max("have").alias("b")).where("a <> b")
+    broken = broken.groupBy(*one).agg(F.collect_set("want").alias("broken"))
+    kept = pairs.join(broken, one, "left").where(F.col("broken").isNull() | (F.col("want") == F.col("have")) | ~F.arrays_overlap("want", "broken"))
     return kept.groupBy("doc_id", "item_id").agg(
         F.countDistinct("at").alias("n_windows"), (F.countDistinct("at") / F.max("windows")).alias("coverage"), F.max(F.col("want") != F.col("have")).alias("reparameterised")
     )
