@@ -79,6 +79,16 @@ def test_leaks_of_several_variants(spark):
     assert {i: x[0] for i, x in got.items()} == {1: 1, 2: 1, 3: 1, 5: 2} and all(got[i][1] == 1 for i in (1, 2, 3, 5))
 
 
+def test_leaks_of_short_and_dense_items(spark):
+    """Exact copies of items that have no template window, or one that starts or is spelled otherwise in the document."""
+    items = [(1, "What is the capital?"), (2, "12 13 14 15 16 17 18 19 20 21 22"), (3, "Apples grow on old trees here"), (4, "the river near Paris and the hills of London are old"), (5, "Why?"), (6, "Ask Anna Bert Carl Dora Emil Fritz Gustav Hans Ida")]
+    texts = [(10, "he asked what is the capital? then left"), (20, "sum 12 13 14 15 16 17 18 19 20 21 22 up"), (21, "sum 12 13 14 15 16 99 18 19 20 21 22 up"), (30, "they say Apples grow on old trees here today"), (40, "by the river near paris and the hills of london are old things")]
+    texts += [(50, "He left. Why? No word."), (51, "that is why it is"), (60, "then ask Anna Bert Carl Dora Emil Fritz Gustav Hans Ida"), (61, "then ask Anna Bert Carl Dora Emil Fritz Gustav Hans Otto"), (70, "what is a capital?")]
+    got = decontam.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(10, 1), (20, 2), (30, 3), (40, 4), (50, 5), (60, 6)}
+    assert all(r["coverage"] == 1 for r in got)
+
+
 def crc(i, parts):
     return zlib.crc32(str(i).encode()) % parts
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from volspark.llm.common import shared, text_bytes
 
 WINDOW, LEAST_WORDS, SHORTEST = 10, 5, 6
+#: Exact windows of fewer words count only as a whole sentence.
+ALONE = 3
 FILTER_BITS = 24
 REMEMBERED = 400_000
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb lbs oz t ml l s sec secs min mins h hr hrs day days ms hz khz mhz ghz w kw v kb mb gb tb usd eur gbp % $ € £ °c °f c f k kmh mph".split())
@@ -21,6 +23,8 @@ QUANTITY = re.compile(r"([$€£]?)([+-]?\d+(?:[.,:/]\d+)*)([^\W\d_]{0,4}|%|°[c
 EDGES = re.compile(r"^[^\w$€£+%°-]+|[^\w%$€£°]+$|_+$|^_+")
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 SLOTS = (NUM, UNIT, NAME)
+#: In front of exact words; no template word is this mark.
+EXACT = "= "
 
 _WEIGHTS = np.array([xxhash.xxh64_intdigest(f"place {i}") | 1 for i in range(WINDOW)], np.uint64)
 _CODE = {s: xxhash.xxh64_intdigest(s, 7) for s in SLOTS}
@@ -51,7 +55,7 @@ def forms(token: str) -> tuple[list[tuple[str, str]], int]:
 
 
 class Templates:
-    """Codes of the template words of texts; remembers tokens, up to a bound."""
+    """Codes of the template words of texts, then of their values; remembers tokens, up to a bound."""
 
     def __init__(self) -> None:
         self.clear()
@@ -61,13 +65,15 @@ class Templates:
         self.words: list[list[tuple[str, str]]] = []
         self.flags: list[int] = []
         self.codes: list[int] = []
-        self._table, self._flags, self._done = np.zeros((0, 2), np.uint64), np.zeros(0, np.int8), 0
+        self._table, self._flags, self._done = np.zeros((0, 4), np.uint64), np.zeros(0, np.int8), 0
 
     def _add(self, token: str) -> int:
         words, flags = forms(token)
         self.words.append(words), self.flags.append(flags)
         self.codes.extend(_CODE[w] if w in _CODE else xxhash.xxh64_intdigest(w, 7) for w, _ in words[:2])
         self.codes.extend([0] * (2 - len(words)))
+        self.codes.extend(xxhash.xxh64_intdigest(v, 8) for _, v in words[:2])
+        self.codes.extend([0] * (2 - len(words)))
         self.place[token] = len(self.words) - 1
         return len(self.words) - 1
 
@@ -83,25 +89,24 @@ class Templates:
         n = len(self.flags)
         if n > len(self._flags):
             more = max(n, len(self._flags) * 2)
-            table, flags = np.zeros((more, 2), np.uint64), np.zeros(more, np.int8)
+            table, flags = np.zeros((more, 4), np.uint64), np.zeros(more, np.int8)
             table[: self._done], flags[: self._done] = self._table[: self._done], self._flags[: self._done]
             self._table, self._flags = table, flags
         if n > self._done:
-            self._table[self._done : n] = np.array(self.codes[2 * self._done :], np.uint64).reshape(-1, 2)
+            self._table[self._done : n] = np.array(self.codes[4 * self._done :], np.uint64).reshape(-1, 4)
             self._flags[self._done : n] = self.flags[self._done :]
             self._done = n
         return self._table, self._flags
 
 
-def _template(ids: np.ndarray, codes: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes of template words, the token of each, whether it is a name)."""
+def _template(ids: np.ndarray, codes: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of words with names as plain words, the token of each, whether it looks like a name, whether it is one)."""
     opens = np.concatenate(([True], (flags[ids[:-1]] & _END) > 0)) if len(ids) else np.zeros(0, bool)
-    name = ((flags[ids] & _CAPS) > 0) & ~opens
-    two = codes[ids]
-    two[name, 0] = _CODE[NAME]
-    flat = two.ravel()
+    caps = (flags[ids] & _CAPS) > 0
+    flat = codes[ids, :2].ravel()
     keep = np.flatnonzero(flat)
-    return flat[keep], keep // 2, name[keep // 2]
+    token = keep // 2
+    return flat[keep], token, caps[token], (caps & ~opens)[token]
 
 
 def _window_hashes(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,11 +128,48 @@ def _bits(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def _named(code: np.ndarray, name: np.ndarray) -> np.ndarray:
+    return np.where(name, np.uint64(_CODE[NAME]), code)
+
+
+def _item_windows(code: np.ndarray, caps: np.ndarray, name: np.ndarray, values: np.ndarray):
+    """(size, hashes, which count, names or None for exact words) of an item, in all forms that documents may give it: as it
+    is, with its first word as a name (quoted in mid-sentence), without names (in lower case), and, where the template
+    has too few plain words, by its exact words."""
+    size = min(WINDOW, len(code))
+    forms_of = [name]
+    if caps[0] and not name[0]:
+        forms_of.append(np.concatenate(([True], name[1:])))
+    if name.any():
+        forms_of.append(np.zeros(len(name), bool))
+    left = np.ones(len(code) - size + 1, bool)
+    for i, own in enumerate(forms_of if size >= SHORTEST else []):
+        h, firm = _window_hashes(_named(code, own), size)
+        yield size, h, firm, own
+        if i == 0:
+            left = ~firm
+    if left.any():
+        yield size, _window_hashes(values, size)[0], left, None
+
+
+def _text_windows(code: np.ndarray, name: np.ndarray, values: np.ndarray | None, ends: np.ndarray, sizes: tuple, bitmap: np.ndarray):
+    """The same of a document: windows that the bitmap admits."""
+    named = _named(code, name)
+    for size, exact in [(WINDOW, False), *((x, False) for x in sizes[0]), *((x, True) for x in sizes[1])]:
+        h, firm = _window_hashes(values if exact else named, size)
+        if exact and size < ALONE and len(h):
+            firm &= np.concatenate(([True], ends[:-1]))[: len(h)] & ends[size - 1 :]
+        where = _bits(h)
+        yield size, h, firm & ((bitmap[where >> 3] >> (where & 7)) & 1 == 1), None if exact else name
+
+
 def _windows(batches, sizes, bitmap: np.ndarray | None):
-    """(id, copy, at, size, of, h, template, slots): windows of texts, of all words; with a bitmap only those that may match.
+    """(id, copy, at, size, of, h, template, slots): windows of texts, of all words; with a bitmap only those that may match,
+    of the sizes for templates and the sizes for exact words.
 
     copy is a hash of the text, as one id may have several;
-    slots are the values in the template's slots, in order; of is the number of template words of the text.
+    slots are the values in the template's slots, in order; of is the number of template words of the text. The template of
+    exact words starts with EXACT and has no slots.
     """
     memory = Templates()
     for b in batches:
@@ -138,26 +180,28 @@ def _windows(batches, sizes, bitmap: np.ndarray | None):
             if not len(ids):
                 continue
             table, flags = memory.arrays()
-            code, token, name = _template(ids, table, flags)
-            for size in [WINDOW, *sizes] if bitmap is not None else [min(WINDOW, len(code))]:
-                h, firm = _window_hashes(code, size)
-                if size < SHORTEST:
-                    continue
-                if bitmap is not None:
-                    where = _bits(h)
-                    firm &= (bitmap[where >> 3] >> (where & 7)) & 1 == 1
-                hits = np.flatnonzero(firm).tolist()
-                copy = xxhash.xxh64_intdigest(raw) - (1 << 63) if hits else 0
-                for at in hits:
+            code, token, caps, name = _template(ids, table, flags)
+            if not len(code):
+                continue
+            values = ends = None
+            if bitmap is None or sizes[1]:
+                values = table[ids, 2:].ravel()
+                values = values[values != 0]
+                ends = np.append(((flags[ids[token[:-1]]] & _END) > 0) & (token[1:] != token[:-1]), True)
+            found = _item_windows(code, caps, name, values) if bitmap is None else _text_windows(code, name, values, ends, sizes, bitmap)
+            copy = None
+            for size, h, firm, named in found:
+                for at in np.flatnonzero(firm).tolist():
+                    copy = xxhash.xxh64_intdigest(raw) - (1 << 63) if copy is None else copy
                     words, slots = [], []
                     for i in range(at, at + size):
                         own = memory.words[ids[token[i]]]
                         word, value = own[1] if i and token[i] == token[i - 1] else own[0]
-                        word = NAME if name[i] else word
+                        word = value if named is None else NAME if named[i] else word
                         words.append(word)
-                        if word in SLOTS:
+                        if named is not None and word in SLOTS:
                             slots.append(value)
-                    for col, x in zip(out, (key, copy, at, size, len(code), h[at].astype(np.int64), " ".join(words), slots), strict=True):
+                    for col, x in zip(out, (key, copy, at, size, len(code), h[at].astype(np.int64), ("" if named is not None else EXACT) + " ".join(words), slots), strict=True):
                         col.append(x)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["id", "copy", "at", "size", "of", "h", "template", "slots"])
@@ -171,7 +215,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Both sides become template words: lower-case words, with numbers, units and names inside sentences as typed slots. An
     item's windows are WINDOW template words long (all of an item that is shorter, down to SHORTEST), with LEAST_WORDS
-    words that are no slots. Windows meet by the hash of the template and then by the template. An occurrence is the windows of one
+    words that are no slots; the first word also as a name, and names also as plain words. Shorter items and windows with fewer
+    plain words are looked up by their exact words, in any case; those of under ALONE words only as a whole sentence. Windows meet by the hash of the template and then by the template. An occurrence is the windows of one
     text and one item at the same distance. It stands if, over all its windows, equal slot values of the item are equal in the
     document, so that a question with other numbers or names is found but not a form that is filled in at random; windows
     with slots that break this drop out, unless their own values are the item's. Several occurrences do not disturb each other.
@@ -181,8 +226,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the benchmark's size. Null texts and ids match nothing; repeated documents and items count once; other columns are ignored.
     """
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), text_bytes().alias("text")).distinct()
-    own = shared(items.mapInArrow(lambda it: _windows(it, (), None), _SCHEMA))
-    sizes = [r[0] for r in own.where(F.col("size") < WINDOW).select("size").distinct().collect()]
+    own = shared(items.mapInArrow(lambda it: _windows(it, ((), ()), None), _SCHEMA).distinct())
+    kinds = own.select("size", F.col("template").startswith(EXACT).alias("exact")).distinct().collect()
+    sizes = [r["size"] for r in kinds if not r["exact"] and r["size"] < WINDOW], [r["size"] for r in kinds if r["exact"]]
     place = own.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("place"))
     cells = place.selectExpr("place div 8 as cell", "shiftleft(1, cast(place % 8 as int)) as bit").groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect()
     bitmap = np.zeros(1 << FILTER_BITS - 3, np.uint8)
