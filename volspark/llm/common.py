@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A key is hot if it holds over 1 of HEAVY rows.
+HEAVY = 1000
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,14 +40,32 @@ def fold(c: str | Column, parts: int) -> Column:
 def shared(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, in the folder that all executors share.
 
-    A session that names no folder (tests, a notebook) gets one of its own.
+    A local session that names no folder (tests, a notebook) gets one of its own; on a cluster that is an error, as no
+    machine's own folder serves the others. Spark removes the files of frames no longer used if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "volspark-checkpoints"))
     return df.checkpoint()
 
 
+def join_skewed(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """big joined with small, whose keys are unique, where some keys hold many rows of big.
+
+    hot: the keys of over 1/HEAVY of big's rows, which are at most HEAVY rows by that bound. Their part of small is
+    broadcast, so big's rows of such a key stay where they are; all others meet in a shuffle.
+    """
+    few = F.broadcast(small.join(F.broadcast(hot.select(*keys)), keys, "left_semi"))
+    marked = F.broadcast(hot.select(*keys).withColumn("__hot", F.lit(True)))
+    tagged = big.join(marked, keys, "left")
+    heavy = tagged.where("__hot").drop("__hot").join(few, keys, how)
+    rest = tagged.where("__hot is null").drop("__hot").join(small, keys, how)
+    return heavy.unionByName(rest)
+
+
 def doc_slices(offsets: np.ndarray, most: int):
     """Runs of whole rows of at most `most` bytes (one row may be longer): (first row, end row)."""
     first, rows = 0, len(offsets) - 1

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volspark.llm.common import binary_buffers, shared, text_bytes
+from volspark.llm.common import HEAVY, binary_buffers, join_skewed, shared, text_bytes
 
 GRAM = 128
 CHUNK = 1 << 21
@@ -86,19 +86,19 @@ def _windows(doc: np.ndarray, length: int):
 
 
 def _marks(batches, length: int):
-    """Rows (doc, g, c, gram, start, size) of each snippet; c is the content's hash."""
+    """Rows (doc, copy, g, c, gram, start, size) of each snippet; c is the content's hash."""
     for b in batches:
-        data, offsets = binary_buffers(b.column(1))
-        keys = b.column(0)
-        for r in range(len(keys)):
+        data, offsets = binary_buffers(b.column(2))
+        keys = b.columns[:2]
+        for r in range(b.num_rows):
             if offsets[r + 1] - offsets[r] < length:
                 continue
             doc = data[offsets[r] : offsets[r + 1]]
             raw = memoryview(doc)
             for h, gram, start, size in _windows(doc, length):
                 c = np.fromiter((xxhash.xxh3_64_intdigest(raw[s : s + n]) for s, n in zip(start.tolist(), size.tolist(), strict=True)), np.uint64, len(h))
-                doc_key = pa.array(np.full(len(h), keys[r].as_py(), np.int64))
-                yield pa.RecordBatch.from_arrays([doc_key, pa.array(h), pa.array(c.view(np.int64)), pa.array(gram), pa.array(start), pa.array(size)], ["doc", "g", "c", "gram", "start", "size"])
+                own = [pa.array(np.full(len(h), k[r].as_py(), np.int64)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(h), pa.array(c.view(np.int64)), pa.array(gram), pa.array(start), pa.array(size)], ["doc", "copy", "g", "c", "gram", "start", "size"])
 
 
 def order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -287,30 +287,33 @@ def _split_hot(hot: DataFrame, length: int) -> tuple[list[DataFrame], list[DataF
         pieces = shared(pieces.withColumn("hull", F.xxhash64("key", "a", "b", cut(F.col("b"), full - F.col("a")))))
         hulls = pieces.groupBy("key", "hull").agg(F.count("*").alias("n"))
         keys = hulls.groupBy("key").agg(F.count("*").alias("hulls"))
-        state = pieces.join(hulls, ["key", "hull"]).join(keys, "key")
+        state = shared(pieces.join(hulls, ["key", "hull"]).join(keys, "key").where("n > 1 or hulls > 1"))
         first = (F.col("gram") - F.col("b")).alias("first")
         solved.append(state.where("n > 1").select("g", "c", first, (F.col("gram") - F.col("a")).alias("last")))
-        left = state.where("hulls > 1")
-        one = left.where(F.col("hulls") <= MOST).dropDuplicates(["key", "hull"])
+        one = state.where((F.col("hulls") > 1) & (F.col("hulls") <= MOST)).dropDuplicates(["key", "hull"])
         todo.append(one.select("key", "g", "c", first.alias("low"), cut(F.col("b"), full - F.col("a")).alias("text")))
-        left = left.where(F.col("hulls") > MOST)
+        left = state.where(F.col("hulls") > MOST)
+        if left.isEmpty():
+            return todo, solved
         mid = F.floor((F.col("lo") + F.col("hi")) / 2)
         half = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"), F.greatest("a", lo).alias("a"), F.least("b", hi).alias("b"))
         left = left.withColumn("half", F.explode(F.array(half(F.col("lo"), mid), half(mid + 1, F.col("hi")))))
-        pieces = shared(left.where("half.a <= half.b").select("g", "c", "gram", "text", "half.lo", "half.hi", "half.a", "half.b"))
-        if pieces.isEmpty():
-            return todo, solved
+        pieces = left.where("half.a <= half.b").select("g", "c", "gram", "text", "half.lo", "half.hi", "half.a", "half.b")
 
 
 def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
-    """(doc, start, end): byte spans of docs (doc, text) that repeat, several of them overlapping."""
-    marks = shared(docs.mapInArrow(lambda it: _marks(it, length), "doc long, g long, c long, gram long, start long, size long"))
-    contents = marks.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "gram", "start", "size")).alias("at"))
+    """(doc, copy, start, end): byte spans of docs (doc, copy, text) that repeat, several of them overlapping.
+
+    A content in very many documents is no hot key: the few contents that hold over 1 of HEAVY snippets are broadcast, and
+    as each is there more than once, their snippets are repeats as they stand.
+    """
+    marks = shared(docs.mapInArrow(lambda it: _marks(it, length), "doc long, copy long, g long, c long, gram long, start long, size long"))
+    contents = marks.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "copy", "gram", "start", "size")).alias("at"))
     grams = contents.groupBy("g").agg(F.count("*").alias("contents"))
     contents = shared(contents.join(grams, "g").where("n > 1 or contents > 1"))
-    one = contents.where("contents > 1").select("at.doc", F.struct("g", "c", "at.gram", "at.start", "at.size").alias("s"))
-    asked = one.groupBy("doc").agg(F.collect_list("s").alias("spans"))
-    texts = docs.join(asked, "doc").select("text", "spans").mapInArrow(_cut, "g long, c long, gram long, text binary").dropDuplicates(["g", "c"])
+    one = contents.where("contents > 1").select("at.doc", "at.copy", F.struct("g", "c", "at.gram", "at.start", "at.size").alias("s"))
+    asked = one.groupBy("doc", "copy").agg(F.collect_list("s").alias("spans"))
+    texts = docs.join(asked, ["doc", "copy"]).select("text", "spans").mapInArrow(_cut, "g long, c long, gram long, text binary").dropDuplicates(["g", "c"])
     texts = shared(texts.join(contents.select("g", "c", "contents"), ["g", "c"]))
     few = texts.where(F.col("contents") <= MOST).select(F.col("g").alias("key"), "g", "c", F.lit(0).cast("long").alias("low"), "text")
     todo, solved = [few], []
@@ -325,9 +328,12 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     for s in solved:
         found = found.union(s)
     whole = contents.where("n > 1").select("g", "c", F.lit(0).cast("long").alias("first"), (F.col("at.size") - length).alias("last"))
-    ranges = found.union(whole).groupBy("g", "c").agg(F.collect_list(F.struct("first", "last")).alias("r"))
-    hits = marks.select("doc", "g", "c", "start").join(ranges, ["g", "c"]).select("doc", "start", F.explode("r").alias("r"))
-    return hits.select("doc", (F.col("start") + F.col("r.first")).alias("start"), (F.col("start") + F.col("r.last") + length).alias("end"))
+    ranges = shared(found.union(whole).groupBy("g", "c").agg(F.collect_set(F.struct("first", "last")).alias("r")))
+    total = marks.count()
+    hot = contents.where(F.col("n") > total // HEAVY + 1).select("g", "c")
+    hits = join_skewed(marks.select("doc", "copy", "g", "c", "start"), ranges, ["g", "c"], hot)
+    hits = hits.select("doc", "copy", "start", F.explode("r").alias("r"))
+    return hits.select("doc", "copy", (F.col("start") + F.col("r.first")).alias("start"), (F.col("start") + F.col("r.last") + length).alias("end"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -335,15 +341,17 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     Null texts are empty, rows repeated count as documents of their own and so remove each other, null ids
     and other columns pass through. Bytes are judged on the input: all copies go, and so do overlapping copies
-    inside one text. A cut may fall inside a character.
+    inside one text. A cut may fall inside a character. Rows are told apart by their id and a 64-bit hash of id and text,
+    so only texts under one id could be mixed up.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} bytes or more")
     rest = [c for c in docs.columns if c != "text"]
     # Equal rows share a key and get the same spans, each of them counted.
-    keyed = docs.select(*[F.col(f"`{c}`") for c in rest], text_bytes().alias("__text"), F.xxhash64("doc_id", text_bytes()).alias("__row"))
-    spans = repeated_windows(keyed.select(F.col("__row").alias("doc"), F.col("__text").alias("text")), length)
-    spans = spans.groupBy(F.col("doc").alias("__row")).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
-    joined = keyed.join(spans, "__row", "left").select(*[F.col(f"`{c}`") for c in rest], "__text", "__spans")
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__doc"), F.xxhash64("doc_id", text_bytes()).alias("__copy")]
+    keyed = docs.select(*[F.col(f"`{c}`") for c in rest], text_bytes().alias("__text"), *key)
+    spans = repeated_windows(keyed.select(F.col("__doc").alias("doc"), F.col("__copy").alias("copy"), F.col("__text").alias("text")), length)
+    spans = spans.groupBy(F.col("doc").alias("__doc"), F.col("copy").alias("__copy")).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
+    joined = keyed.join(spans, ["__doc", "__copy"], "left").select(*[F.col(f"`{c}`") for c in rest], "__text", "__spans")
     out = T.StructType([*joined.schema.fields[:-2], T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))])
     return joined.mapInArrow(_remove, out)
