@@ -76,9 +76,10 @@ def test_simhash_links_of_crowded_keys(spark):
 
     expected = groups(fps)
     frame = spark.createDataFrame([(f,) for f in fps], "fp long")
-    for most in (4, 1000):
-        got = {r["node"]: r["root"] for r in connected_components(simhash.links(frame, most_per_key=most), "a", "b").collect()}
+    for parts, most in ((None, 4), (2, 1000), (2, 4), (3, 1000), (4, 20)):
+        got = {r["node"]: r["root"] for r in connected_components(simhash.links(frame, parts=parts, most_per_key=most), "a", "b").collect()}
         assert {f: got.get(f, f) for f in fps} == expected
+    assert simhash.segments_for(10**5) == 3 and simhash.segments_for(10**9) == 2
 
 
 def removed(texts, length):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -71,20 +72,38 @@ def _midpoints(batches, radius: int):
             yield pa.RecordBatch.from_arrays([pa.array(_balls(part, masks)), pa.array(np.repeat(part, len(masks)))], ["z", "fp"])
 
 
-def links(fps: DataFrame, distance: int = 4, parts: int = 3, most_per_key: int = 256) -> DataFrame:
+def segments_for(n: int, distance: int = 4) -> int:
+    """How many segments make the fewest probes and fetched entries for a table of n fingerprints.
+
+    With more segments the balls are smaller but the keys shorter, so that more entries share one: 3 segments of 21 bits
+    up to some ten million fingerprints, 2 of 32 bits beyond. The links are the same for any number.
+    """
+
+    def cost(parts: int) -> float:
+        probes = [sum(math.comb(width, r) for r in range(distance // parts + 1)) for _, width in _segments(64, parts)]
+        return sum(p * (4 + n / 2**width) for p, (_, width) in zip(probes, _segments(64, parts), strict=True))
+
+    return min(range(2, 5), key=cost)
+
+
+def links(fps: DataFrame, distance: int = 4, parts: int | None = None, most_per_key: int = 256) -> DataFrame:
     """(a, b): links that connect exactly the distinct fingerprints (fp) at `distance` bits or fewer.
 
     Multi-index hashing: two fingerprints that differ in at most `distance` bits differ in at most
     distance // parts of one of the `parts` segments. Each fingerprint enumerates that small ball round
     each of its segments, fetches the table's entries of those keys, and the whole distance is verified in
-    the join.
+    the join. Without a number of segments the one is taken that fits the table's size.
 
-    A key that more than `most_per_key` fingerprints share (near copies of one text, or very many
-    fingerprints) is not fetched, as it would pair its group with itself. A pair that only such keys join has
+    A key that over `most_per_key` fingerprints more share than chance gives a key (near copies of one text) is not
+    fetched, as it would pair its group with itself. A pair that only such keys join has
     both ends under such keys. Those fingerprints enumerate all points within distance / 2 bits instead: two
     of them are within `distance` exactly if they share a point, and each hangs on the point's smallest
     fingerprint, so a group of g gives some g links and not g * g.
     """
+    if distance % 2:
+        raise ValueError("an odd distance has no midpoint")
+    n = fps.count()
+    parts = parts or segments_for(n, distance)
     radius = distance // parts
     table, probes = [], []
 
@@ -96,8 +115,9 @@ def links(fps: DataFrame, distance: int = 4, parts: int = 3, most_per_key: int =
         table.append(F.struct(F.lit(s).alias("s"), key.alias("k")))
         masks = [sum(1 << i for i in c) for r in range(radius + 1) for c in itertools.combinations(range(width), r)]
         probes.append(ball(s, key, masks))
+    chance = n // 2 ** min(width for _, width in _segments(64, parts))
     own = fps.select("fp", F.explode(F.array(*table)).alias("x")).select("x.s", "x.k", F.col("fp").alias("y"))
-    hot = own.groupBy("s", "k").agg(F.count("*").alias("n")).where(F.col("n") > most_per_key).select("s", "k")
+    hot = own.groupBy("s", "k").agg(F.count("*").alias("n")).where(F.col("n") > most_per_key + 8 * chance).select("s", "k")
     hot = shared(hot)
     cold = own.join(hot, ["s", "k"], "left_anti")
     asked = fps.select("fp", F.explode(F.concat(*probes)).alias("x")).select("x.s", "x.k", F.col("fp").alias("x"))
@@ -106,8 +126,6 @@ def links(fps: DataFrame, distance: int = 4, parts: int = 3, most_per_key: int =
     found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     dense = own.join(hot, ["s", "k"], "left_semi").select(F.col("y").alias("fp")).distinct()
     points = dense.mapInArrow(lambda it: _midpoints(it, distance // 2), "z long, fp long")
-    if distance % 2:
-        raise ValueError("an odd distance has no midpoint")
     least = F.min("fp").over(_by("z"))
     stars = points.select(least.alias("a"), F.col("fp").alias("b")).where("a <> b")
     return found.union(stars).distinct()
@@ -119,7 +137,7 @@ def _by(*keys):
     return Window.partitionBy(*keys)
 
 
-def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int = 3, most_per_key: int = 256) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int | None = None, most_per_key: int = 256) -> DataFrame:
     """One row of docs (doc_id, text, any others) of each near-duplicate group: of the smallest id, and of its rows in the
     group that of the smallest hash. Groups are told by their fingerprints, so rows of one id may be in several."""
     marked = shared(fingerprints(docs, shingle, (F.xxhash64(*docs.columns).alias("row"),)))
@@ -134,7 +152,7 @@ def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int
     return kept.dropDuplicates(["doc_id", "__row"]).select(*docs.columns)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int = 3, most_per_key: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int | None = None, most_per_key: int = 256) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs (doc_id, text).
 
     Fingerprints link at `distance` or fewer differing bits; component_id is the smallest doc_id reachable.
