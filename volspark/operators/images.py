@@ -1,70 +1,128 @@
-"""Element-wise work on voxels (i, j, k, hu), resampling and views."""
+"""Element-wise work on voxels (vol_id, i, j, k, hu), views and measures of images."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volspark.functions.numeric import clamp
+from volspark.functions.numeric import clamp, half, half_up
+from volspark.operators.labels import PLACE, VOXEL, small
+
+
+def truncated(vol: DataFrame, value: Column) -> DataFrame:
+    """Doubles to integers, toward zero."""
+    return vol.select(*PLACE, value.cast("int").alias("v"))
 
 
 def normalised(ct: DataFrame, low: float, high: float, mean: float, std: float) -> DataFrame:
     """Single precision throughout: clip, subtract, divide."""
     f = lambda v: F.lit(v).cast("float")
     x = F.least(F.greatest(F.col("hu").cast("float"), f(low)), f(high)) - f(mean)
-    return ct.select("i", "j", "k", (x / f(max(std, 1e-8))).cast("float").cast("double").alias("v"))
+    return ct.select(*PLACE, (x / f(max(std, 1e-8))).cast("float").cast("double").alias("v"))
 
 
-def windowed(ct: DataFrame, presets: DataFrame) -> DataFrame:
-    """Grey value of every voxel under every preset (preset, level, width); presets are a short list."""
-    gray = F.floor(clamp((F.col("hu") - (F.col("level") - F.col("width") / 2)) / F.col("width") * 255.0, 0.0, 255.0))
-    return ct.join(F.broadcast(presets), F.lit(True)).select("i", "j", "k", "preset", gray.cast("int").alias("gray"))
+def clipped(vol: DataFrame, ref: DataFrame) -> DataFrame:
+    """vol (.., v) within the smallest and greatest v of each volume of ref."""
+    ends = ref.groupBy("vol_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return vol.join(ends, "vol_id").select(*PLACE, F.least(F.greatest("v", "lo"), F.col("hi")).alias("v"))
+
+
+def displayed(vol: DataFrame, value: Column) -> DataFrame:
+    """16-bit integers for display: rounded half up, then clamped."""
+    return vol.select(*PLACE, clamp(half_up(value), -32768, 32767).cast("int").alias("v"))
 
 
-def axis_table(spark: SparkSession, name: str, n_in: int, n_out: int, order: int) -> DataFrame:
-    """(out, at, frac): where each output index falls on the input axis; one row an index of one axis."""
-    scale = (n_in - 1) / (n_out - 1) if n_out > 1 else 1.0
-    at = F.col("o") * F.lit(scale)
-    base = F.floor(at + 0.5) if order == 0 else F.floor(at)
-    base = F.least(base, F.lit(n_in - 1)) if order == 0 else F.least(base, F.lit(max(n_in - 2, 0)))
-    return spark.range(n_out).select(F.col("id").cast("int").alias("o")).select(F.col("o").alias(f"o{name}"), base.cast("int").alias(name), (at - base).alias(f"f{name}"))
+def gray(level, width) -> Column:
+    """The grey value 0 to 255 of hu under a window."""
+    return F.floor(clamp((F.col("hu") - (level - width / 2)) / width * 255.0, 0.0, 255.0)).cast("int")
 
 
-def zoomed_nearest(lab: DataFrame, shape, out_shape) -> DataFrame:
-    """Labels on another grid; an equi-join with three broadcast index tables, one row an output voxel."""
-    out = lab
-    for c, n, m in zip("ijk", shape, out_shape, strict=True):
-        out = out.join(F.broadcast(axis_table(lab.sparkSession, c, n, m, 0)), c)
-    return out.select(F.col("oi").alias("i"), F.col("oj").alias("j"), F.col("ok").alias("k"), "label")
+def windowed(ct: DataFrame, presets: DataFrame) -> DataFrame:
+    """Grey value of every voxel under every preset (preset, level, width)."""
+    return ct.join(small(presets), F.lit(True)).select(*PLACE, "preset", gray(F.col("level"), F.col("width")).alias("gray"))
 
 
-def zoomed_linear(ct: DataFrame, shape, out_shape) -> DataFrame:
-    """Order 1: every voxel goes to the outputs that it is a tap of, then each output sums its eight taps in their order."""
-    out = ct.withColumnsRenamed({c: f"v{c}" for c in "ijk"})
-    for c, n, m in zip("ijk", shape, out_shape, strict=True):
-        t = axis_table(ct.sparkSession, c, n, m, 1)
-        taps = t.select(f"o{c}", F.explode(F.array(F.struct(F.col(c).alias("at"), (1.0 - F.col(f"f{c}")).alias("w"), F.lit(0).alias("t")), F.struct((F.col(c) + 1).alias("at"), F.col(f"f{c}").alias("w"), F.lit(1).alias("t")))).alias("x"))
-        taps = taps.select(f"o{c}", F.col("x.at").alias(f"v{c}"), F.col("x.w").alias(f"w{c}"), F.col("x.t").alias(f"t{c}"))
-        out = out.join(F.broadcast(taps), f"v{c}")
-    tap = F.struct((4 * F.col("ti") + 2 * F.col("tj") + F.col("tk")).alias("t"), (F.col("hu") * F.col("wi") * F.col("wj") * F.col("wk")).alias("p"))
-    total = F.aggregate(F.sort_array(F.collect_list(tap)), F.lit(0.0), lambda s, x: s + x["p"])
-    return out.groupBy(F.col("oi").alias("i"), F.col("oj").alias("j"), F.col("ok").alias("k")).agg(total.alias("v"))
+def blended(ct: DataFrame, lab: DataFrame, colors: DataFrame, level: float, width: float, alpha: float) -> DataFrame:
+    """(.., red, green, blue): grey image with visible labels' colours (label, red, green, blue, visible) laid over, truncated to 0..255."""
+    both = ct.join(lab, PLACE, "left").join(small(colors.where("visible")), "label", "left").withColumn("gray", gray(F.lit(level), F.lit(width)))
+    mixed = [F.when(F.col(c).isNull(), F.col("gray")).otherwise(F.floor(F.col("gray") * (1 - alpha) + F.col(c) * alpha)).cast("int").alias(c) for c in ("red", "green", "blue")]
+    return both.select(*PLACE, *mixed)
 
 
 def block_average(mask: DataFrame, factor: int) -> DataFrame:
     """Mean of each block; partial blocks are divided by the full one's volume."""
-    cell = [F.floor(F.col(c) / factor).cast("int").alias(c) for c in "ijk"]
-    return mask.groupBy(*cell).agg((F.sum("mask") * (1.0 / factor**3)).alias("v"))
+    cell = [F.floor(F.col(c) / factor).cast("int").alias(c) for c in VOXEL]
+    return mask.groupBy("vol_id", *cell).agg((F.sum("mask") * (1.0 / factor**3)).alias("v"))
+
+
+def moments(ct: DataFrame) -> DataFrame:
+    """(vol_id, n, mean, variance) of integer voxels; the sums are exact, the variance is that of the population."""
+    x = F.col("hu").cast("decimal(20,0)")
+    s = ct.groupBy("vol_id").agg(F.count("*").alias("n"), F.sum(x).cast("double").alias("s"), F.sum((x * x).cast("decimal(38,0)")).cast("double").alias("q"))
+    return s.select("vol_id", "n", (F.col("s") / F.col("n")).alias("mean"), (F.col("q") / F.col("n") - F.col("s") / F.col("n") * (F.col("s") / F.col("n"))).alias("variance"))
+
+
+def half_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(vol_id, n, n_diff, max_abs) of two images (.., v) after rounding to half precision."""
+    both = a.withColumnRenamed("v", "a").join(b.withColumnRenamed("v", "b"), PLACE).withColumns({c: half(F.col(c).cast("double")) for c in "ab"})
+    return both.groupBy("vol_id").agg(F.count("*").alias("n"), F.sum((F.col("a") != F.col("b")).cast("long")).alias("n_diff"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_abs"))
+
+
+def relative_rms(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(vol_id, max_abs, rel_rms): root of the summed squared differences over those of the reference b; integer images (.., hu)."""
+    both = a.withColumnRenamed("hu", "a").join(b.withColumnRenamed("hu", "b"), PLACE)
+    d = (F.col("a") - F.col("b")).cast("long")
+    s = both.groupBy("vol_id").agg(F.max(F.abs(d)).alias("max_abs"), F.sum(d * d).alias("e"), F.sum(F.col("b").cast("long") * F.col("b")).alias("r"))
+    return s.select("vol_id", "max_abs", F.sqrt(F.col("e") / (F.col("r") + 1e-30)).alias("rel_rms"))
 
 
 def axial(ct: DataFrame, k: int, shape) -> DataFrame:
-    """(u, v, hu) of an axial slice in radiological orientation."""
-    return ct.where(F.col("k") == k).select((shape[0] - 1 - F.col("i")).alias("u"), (shape[1] - 1 - F.col("j")).alias("v"), "hu")
+    """(vol_id, u, v, hu) of an axial slice in radiological orientation."""
+    return ct.where(F.col("k") == k).select("vol_id", (shape[0] - 1 - F.col("i")).alias("u"), (shape[1] - 1 - F.col("j")).alias("v"), "hu")
 
 
 def coronal(ct: DataFrame, j: int, shape) -> DataFrame:
-    return ct.where(F.col("j") == j).select((shape[0] - 1 - F.col("i")).alias("u"), (shape[2] - 1 - F.col("k")).alias("v"), "hu")
+    return ct.where(F.col("j") == j).select("vol_id", (shape[0] - 1 - F.col("i")).alias("u"), (shape[2] - 1 - F.col("k")).alias("v"), "hu")
 
 
 def sagittal(ct: DataFrame, i: int, shape) -> DataFrame:
-    return ct.where(F.col("i") == i).select((shape[1] - 1 - F.col("j")).alias("u"), (shape[2] - 1 - F.col("k")).alias("v"), "hu")
+    return ct.where(F.col("i") == i).select("vol_id", (shape[1] - 1 - F.col("j")).alias("u"), (shape[2] - 1 - F.col("k")).alias("v"), "hu")
+
+
+def blur_weights(sigma: float) -> list[float]:
+    """Single-precision weights of a Gaussian, over max(1, ceil(3 sigma)) places to each side."""
+    import numpy as np
+
+    r = max(1, math.ceil(3 * sigma))
+    k = [np.float32(math.exp(-0.5 * t * t / (sigma * sigma))) for t in range(-r, r + 1)]
+    total = sum(float(v) for v in k)
+    return [float(np.float32(float(v) / total)) for v in k]
+
+
+def blurred(vol: DataFrame, axis: str, n: int, sigma: float) -> DataFrame:
+    """vol (.., v) blurred along one axis; outside is zero, and a sigma under 0.3 changes nothing. The weighted values of a
+    voxel are added in single precision and in the order of their places."""
+    if sigma < 0.3:
+        return vol.select(*PLACE, "v")
+    weights = blur_weights(sigma)
+    r = len(weights) // 2
+    taps = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(weights[r + t]).cast("float").alias("w")) for t in range(-r, r + 1)])
+    spread = vol.select(*PLACE, F.col("v").cast("float").alias("v"), F.explode(taps).alias("x")).withColumn(axis, F.col(axis) - F.col("x.t")).where(F.col(axis).between(0, n - 1))
+    terms = F.sort_array(F.collect_list(F.struct(F.col("x.t").alias("t"), (F.col("x.w") * F.col("v")).cast("float").alias("p"))))
+    total = F.aggregate(terms, F.lit(0.0).cast("float"), lambda s, x: (s + x["p"]).cast("float"))
+    return spread.groupBy(*PLACE).agg(total.cast("double").alias("v"))
+
+
+def world(vox: DataFrame, affine: list[float]) -> DataFrame:
+    """vox with x, y, z in millimetres; affine is row-major 4 x 4."""
+    out = [(affine[4 * r] * F.col("i") + affine[4 * r + 1] * F.col("j") + affine[4 * r + 2] * F.col("k") + affine[4 * r + 3]).alias(n) for r, n in enumerate("xyz")]
+    return vox.select("*", *out)
+
+
+def zooms(affine: list[float]) -> list[float]:
+    """Voxel sizes: the columns' lengths in single precision."""
+    import numpy as np
+
+    return [float(np.float32(math.sqrt(sum(affine[4 * r + c] ** 2 for r in range(3))))) for c in range(3)]

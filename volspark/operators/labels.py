@@ -1,21 +1,32 @@
-"""Label maps (i, j, k, label): counts, algebra, boxes, overlap."""
+"""Label maps (vol_id, i, j, k, label): counts, algebra, boxes, overlap, editing. A voxel that is missing has label 0."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOXEL = ["i", "j", "k"]
+PLACE = ["vol_id", *VOXEL]
+#: Rows up to which a caller's mapping is broadcast; 256 labels of some hundred models fit.
+SMALL = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast if its size is proven; a larger table takes part in a shuffle."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def histogram(lab: DataFrame) -> DataFrame:
-    return lab.groupBy("label").agg(F.count("*").alias("n"))
+    return lab.groupBy("vol_id", "label").agg(F.count("*").alias("n"))
 
 
-def volumes(lab: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
-    """(label, name, n, ml)."""
+def volumes(lab: DataFrame, spacing: tuple[float, float, float], names: DataFrame) -> DataFrame:
+    """(vol_id, label, name, n, ml); names (label, name): a label without one is named by its number."""
     ml = F.col("n") * spacing[0] * spacing[1] * spacing[2] / 1000.0
-    return histogram(lab).select("label", F.concat(F.lit("label_"), F.col("label").cast("string")).alias("name"), "n", ml.alias("ml"))
+    named = histogram(lab).join(small(names.select("label", "name")), "label", "left")
+    return named.select("vol_id", "label", F.coalesce("name", F.concat(F.lit("label_"), F.col("label").cast("string"))).alias("name"), "n", ml.alias("ml"))
 
 
 def keep(lab: DataFrame, wanted: list[int]) -> DataFrame:
@@ -24,88 +35,185 @@ def keep(lab: DataFrame, wanted: list[int]) -> DataFrame:
 
 
 def overlay(parts: DataFrame, mapping: DataFrame) -> DataFrame:
-    """One map from parts (i, j, k, part, label): the latest part that assigns a label wins, 0 if none does.
+    """One map from parts (vol_id, i, j, k, part, label): the latest part that assigns a label wins, 0 if none does.
 
-    mapping (part, label, task_label) is a class list of some hundreds of rows at most; (part, label) is its key, so the
-    greatest struct of a voxel is unique.
+    mapping (part, label, task_label) has (part, label) as its key, so the greatest struct of a voxel is unique.
     """
-    named = parts.join(F.broadcast(mapping), ["part", "label"], "left")
+    named = parts.join(small(mapping), ["part", "label"], "left")
     best = F.max(F.when(F.col("task_label").isNotNull(), F.struct("part", "task_label")))
-    return named.groupBy(*VOXEL).agg(F.coalesce(best["task_label"], F.lit(0)).alias("label"))
+    return named.groupBy(*PLACE).agg(F.coalesce(best["task_label"], F.lit(0)).alias("label"))
 
 
 def mask(lab: DataFrame, roi: list[int]) -> DataFrame:
-    return lab.select(*VOXEL, F.col("label").isin(roi).cast("int").alias("mask"))
+    return lab.select(*PLACE, F.col("label").isin(roi).cast("int").alias("mask"))
+
+
+def any_label(lab: DataFrame) -> DataFrame:
+    """(vol_id, some): whether a map has a label at all."""
+    return lab.groupBy("vol_id").agg(F.max(F.col("label") > 0).alias("some"))
 
 
 def boxes(lab: DataFrame, *by: str) -> DataFrame:
-    """Smallest boxes, ends included."""
-    return lab.groupBy(*by).agg(*[f(c).alias(f"{n}_{c}") for c in VOXEL for n, f in (("lo", F.min), ("hi", F.max))])
+    """Smallest boxes, ends included, of each volume and key."""
+    return lab.groupBy("vol_id", *by).agg(*[f(c).alias(f"{n}_{c}") for c in VOXEL for n, f in (("lo", F.min), ("hi", F.max))])
 
 
-def cropped(vol: DataFrame, inside: DataFrame, margin: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
-    """vol within the box of the voxels `inside` and a margin, counted from the box's corner; no voxels leave nothing.
+def grown(box: DataFrame, margin: tuple[int, int, int], shape) -> DataFrame:
+    """Boxes with a margin, within the grid."""
+    lo = [F.greatest(F.col(f"lo_{c}") - m, F.lit(0)).alias(f"lo_{c}") for c, m in zip(VOXEL, margin, strict=True)]
+    hi = [F.least(F.col(f"hi_{c}") + m, F.lit(n - 1)).alias(f"hi_{c}") for c, m, n in zip(VOXEL, margin, shape, strict=True)]
+    return box.select("vol_id", *lo, *hi)
 
-    The box is one row; both sides meet on a constant-size broadcast.
-    """
-    box = F.broadcast(boxes(inside))
-    near = vol.join(box, _within(margin))
-    return near.select(*[(F.col(c) - F.greatest(F.col(f"lo_{c}") - m, F.lit(0))).alias(c) for c, m in zip(VOXEL, margin, strict=True)], *[c for c in vol.columns if c not in VOXEL])
 
+def nonzero_boxes(lab: DataFrame, shape) -> DataFrame:
+    """The box of the labels over 0 of each volume, the whole grid of a volume without any."""
+    own = boxes(lab.where("label <> 0"))
+    every = lab.select("vol_id").distinct().join(own, "vol_id", "left")
+    ends = [F.coalesce(f"{n}_{c}", F.lit(0 if n == "lo" else s - 1)).alias(f"{n}_{c}") for c, s in zip(VOXEL, shape, strict=True) for n in ("lo", "hi")]
+    return every.select("vol_id", *ends)
 
-def _within(margin) -> Column:
+
+def _inside() -> Column:
     ok = F.lit(True)
-    for c, m in zip(VOXEL, margin, strict=True):
-        ok = ok & F.col(c).between(F.col(f"lo_{c}") - m, F.col(f"hi_{c}") + m)
+    for c in VOXEL:
+        ok = ok & F.col(c).between(F.col(f"lo_{c}"), F.col(f"hi_{c}"))
     return ok
 
 
-def pasted(grid: DataFrame, inside: DataFrame, margin: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
-    """grid with label 0 outside the box."""
-    box = F.broadcast(boxes(inside))
-    return grid.join(box, _within(margin), "left").select(*VOXEL, F.when(F.col("lo_i").isNotNull(), F.col("label")).otherwise(0).alias("label"))
+def cropped(vol: DataFrame, box: DataFrame) -> DataFrame:
+    """vol within its volume's box, counted from the box's corner; a volume without a box has no voxels left."""
+    rest = [c for c in vol.columns if c not in PLACE]
+    return vol.join(box, "vol_id").where(_inside()).select("vol_id", *[(F.col(c) - F.col(f"lo_{c}")).alias(c) for c in VOXEL], *rest)
+
+
+def pasted(grid: DataFrame, part: DataFrame, box: DataFrame, wanted: list[int] | None = None) -> DataFrame:
+    """The grid's voxels with the labels of a cropped map put back at the box's corner; 0 elsewhere and for unwanted labels."""
+    moved = part.join(box, "vol_id").select("vol_id", *[(F.col(c) + F.col(f"lo_{c}")).alias(c) for c in VOXEL], F.col("label").alias("__label"))
+    label = F.coalesce("__label", F.lit(0))
+    if wanted:
+        label = F.when(label.isin(wanted), label).otherwise(0)
+    return grid.select(*PLACE).join(moved, PLACE, "left").select(*PLACE, label.alias("label"))
+
+
+def padded(vol: DataFrame, shape, patch) -> DataFrame:
+    """vol in the middle of a grid of at least the patch's size; what is added holds no voxels, that is zeros."""
+    return vol.withColumns({c: F.col(c) + max(p - n, 0) // 2 for c, n, p in zip(VOXEL, shape, patch, strict=True)})
 
 
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(i, j, k, a, b): two maps voxel by voxel; a voxel that one lacks is 0 there."""
-    both = a.withColumnRenamed("label", "a").join(b.withColumnRenamed("label", "b"), VOXEL, "full")
-    return both.select(*VOXEL, F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+    """(vol_id, i, j, k, a, b): two maps voxel by voxel; a voxel that one lacks is 0 there."""
+    both = a.withColumnRenamed("label", "a").join(b.withColumnRenamed("label", "b"), PLACE, "full")
+    return both.select(*PLACE, F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
 
 
 def dice(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(label, n_a, n_b, n_both, dice, identical) of the labels over 0 that either map has; two partial sums a voxel."""
-    own = paired(a, b).select(F.explode(F.array_distinct(F.array("a", "b"))).alias("label"), "a", "b").where("label > 0")
-    n = own.groupBy("label").agg(*[F.sum(c.cast("long")).alias(x) for x, c in (("n_a", F.col("a") == F.col("label")), ("n_b", F.col("b") == F.col("label")), ("n_both", F.col("a") == F.col("b")))])
+    """(vol_id, label, n_a, n_b, n_both, dice, identical) of the labels over 0 that either map has; two partial sums a voxel."""
+    own = paired(a, b).select("vol_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("label"), "a", "b").where("label > 0")
+    n = own.groupBy("vol_id", "label").agg(*[F.sum(c.cast("long")).alias(x) for x, c in (("n_a", F.col("a") == F.col("label")), ("n_b", F.col("b") == F.col("label")), ("n_both", F.col("a") == F.col("b")))])
     return n.withColumn("dice", 2.0 * F.col("n_both") / (F.col("n_a") + F.col("n_b"))).withColumn("identical", (F.col("n_a") == F.col("n_both")) & (F.col("n_b") == F.col("n_both")))
 
 
+def worst_dice(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(vol_id, n_labels, n_identical, dice, label): labels present, those equal in all voxels, and the worst; 1.0 where no label is present."""
+    every = a.select("vol_id").union(b.select("vol_id")).distinct()
+    own = dice(a, b).groupBy("vol_id").agg(F.count("*").alias("n_labels"), F.sum(F.col("identical").cast("long")).alias("n_identical"), F.min(F.struct("dice", "label")).alias("w"))
+    got = every.join(own, "vol_id", "left")
+    return got.select("vol_id", F.coalesce("n_labels", F.lit(0)).alias("n_labels"), F.coalesce("n_identical", F.lit(0)).alias("n_identical"), F.coalesce("w.dice", F.lit(1.0)).alias("dice"), F.col("w.label").alias("label"))
+
+
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(n, n_diff, percent) over both maps."""
-    return paired(a, b).agg(F.count("*").alias("n"), F.sum((F.col("a") != F.col("b")).cast("long")).alias("n_diff")).withColumn("percent", 100.0 * F.col("n_diff") / F.col("n"))
+    """(vol_id, n, n_diff, percent, same_size): same_size is false if a map has voxels where the other has none."""
+    both = a.withColumnRenamed("label", "a").join(b.withColumnRenamed("label", "b"), PLACE, "full")
+    differ = F.coalesce("a", F.lit(0)) != F.coalesce("b", F.lit(0))
+    n = both.groupBy("vol_id").agg(F.count("*").alias("n"), F.sum(differ.cast("long")).alias("n_diff"), (F.count("a") == F.count("b")).alias("same_size"))
+    return n.select("vol_id", "n", "n_diff", (100.0 * F.col("n_diff") / F.col("n")).alias("percent"), "same_size")
+
+
+def confused(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(vol_id, label): labels of either map in voxels that differ."""
+    return paired(a, b).where("a <> b").select("vol_id", F.explode(F.array("a", "b")).alias("label")).distinct()
+
+
+def place_of(shape) -> Column:
+    """A voxel's place in the dense array, last axis fastest."""
+    _, ny, nz = shape
+    return (F.col("i") * ny + F.col("j")) * nz + F.col("k")
 
 
 def centroids(lab: DataFrame, shape, every: int = 7) -> DataFrame:
     """Mean voxel of each label over each `every`-th place of the dense array."""
-    place = F.col("i") + shape[0] * (F.col("j") + shape[1] * F.col("k"))
-    return lab.where((place % every == 0) & (F.col("label") > 0)).groupBy("label").agg(*[F.avg(c).alias(f"c{c}") for c in VOXEL])
+    return lab.where((place_of(shape) % every == 0) & (F.col("label") > 0)).groupBy("vol_id", "label").agg(*[F.avg(c).alias(f"c{c}") for c in VOXEL])
 
 
 def dense_hash(lab: DataFrame, shape) -> DataFrame:
-    """(k, hash): FNV-1a of each axial slice, i fastest, missing voxels 0. A slice's size is that of the image, not of the data."""
-    nx, ny, _ = shape
-    cells = F.map_from_entries(F.collect_list(F.struct((F.col("i") + nx * F.col("j")).alias("p"), F.col("label"))))
-    byte = F.transform(F.sequence(F.lit(0), F.lit(nx * ny - 1)), lambda p: F.coalesce(F.element_at("cells", p), F.lit(0)).cast("long"))
-    fold = F.aggregate(byte, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long")))
-    return lab.groupBy("k").agg(cells.alias("cells")).select("k", fold.alias("hash"))
+    """(vol_id, hash): 32-bit FNV-1a over a volume's label bytes in the order of the dense array.
+
+    Only labels over 0 are gathered, at most one image's: a run of m zero bytes multiplies by the m-th power of the prime,
+    which is looked up by the bits of m.
+    """
+    size, prime, word = math.prod(shape), 16777619, 1 << 32
+    powers = F.array(*[F.lit(pow(prime, 1 << b, word)).cast("long") for b in range(size.bit_length())])
+    low = F.lit(word - 1).cast("long")
+    times = lambda h, p: ((h * F.shiftright(p, 16)).bitwiseAND(low) * 65536 + h * p.bitwiseAND(F.lit(65535).cast("long"))).bitwiseAND(low)
+    bits = F.sequence(F.lit(0), F.lit(size.bit_length() - 1))
+
+    def skip(h: Column, m: Column) -> Column:
+        return F.aggregate(bits, h, lambda s, b: F.when(F.floor(m / F.pow(F.lit(2.0), b)) % 2 == 1, times(s, F.element_at(powers, b + 1))).otherwise(s))
 
+    cells = F.sort_array(F.collect_list(F.when(F.col("label") > 0, F.struct(place_of(shape).alias("p"), F.col("label").cast("long").alias("b")))))
+    start = F.struct(F.lit(2166136261).cast("long").alias("h"), F.lit(0).alias("at"))
+    step = lambda s, c: F.struct(times(skip(s["h"], c["p"] - s["at"]).bitwiseXOR(c["b"]), F.lit(prime).cast("long")).alias("h"), (c["p"] + 1).alias("at"))
+    return lab.groupBy("vol_id").agg(cells.alias("cells")).select("vol_id", F.aggregate("cells", start, step, lambda s: skip(s["h"], F.lit(size) - s["at"])).alias("hash"))
 
-def stamp(lab: DataFrame, centre, radius_mm: float, spacing, label: int, protect: list[int]) -> DataFrame:
-    """A ball of `label` painted over all labels but the protected ones."""
+
+def _near(centre, radius_mm: float, spacing, fixed: str | None) -> Column:
     far = sum(((F.col(c) - x) * s) * ((F.col(c) - x) * s) for c, x, s in zip(VOXEL, centre, spacing, strict=True))
-    return lab.withColumn("label", F.when((far <= radius_mm * radius_mm) & ~F.col("label").isin(protect), label).otherwise(F.col("label")))
+    near = far <= radius_mm * radius_mm
+    for c, x in zip(VOXEL, centre, strict=True):
+        if c == fixed:
+            near = near & (F.col(c) == x)
+    return near
+
+
+def stamp(lab: DataFrame, centre, radius_mm: float, spacing, label: int, protect: bool = False, hu: tuple[float, float] | None = None, fixed: str | None = None) -> DataFrame:
+    """A ball of `label`, or a disc in the plane of the axis `fixed`; other labels stay if protected, and so do voxels
+    whose hu (a column of lab then) is out of the window."""
+    ok = _near(centre, radius_mm, spacing, fixed)
+    if protect:
+        ok = ok & F.col("label").isin(0, label)
+    if hu:
+        ok = ok & F.col("hu").between(*hu)
+    return lab.withColumn("label", F.when(ok, label).otherwise(F.col("label")))
+
+
+def erased(lab: DataFrame, centre, radius_mm: float, spacing, label: int, every: bool = False, fixed: str | None = None) -> DataFrame:
+    """The ball or disc set to 0 where it has `label`, or any label."""
+    ok = _near(centre, radius_mm, spacing, fixed)
+    if not every:
+        ok = ok & (F.col("label") == label)
+    return lab.withColumn("label", F.when(ok, 0).otherwise(F.col("label")))
+
+
+def stroke(start, end, spacing, radius_mm: float) -> list[tuple[int, int, int]]:
+    """Centres of the stamps between two voxels, half a radius apart, rounded half up."""
+    gap = math.hypot(*((e - s) * m for s, e, m in zip(start, end, spacing, strict=True)))
+    n = max(1, math.ceil(gap / max(0.3, radius_mm / 2)))
+    return [tuple(math.floor(s + (e - s) * t / n + 0.5) for s, e in zip(start, end, strict=True)) for t in range(1, n + 1)]
 
 
 def replayed(lab: DataFrame, log: DataFrame, upto: int) -> DataFrame:
-    """lab after the edits (i, j, k, step, label) up to a step; earlier steps give way to later ones."""
-    last = log.where(F.col("step") <= upto).groupBy(*VOXEL).agg(F.max(F.struct("step", "label"))["label"].alias("edited"))
-    return lab.join(last, VOXEL, "left").select(*VOXEL, F.coalesce("edited", "label").alias("label"))
+    """lab after the edits (vol_id, i, j, k, step, label) up to a step; earlier steps give way to later ones. Undo is a smaller
+    step, redo a larger one."""
+    last = log.where(F.col("step") <= upto).groupBy(*PLACE).agg(F.max(F.struct("step", "label"))["label"].alias("edited"))
+    return lab.join(last, PLACE, "left").select(*PLACE, F.coalesce("edited", "label").alias("label"))
+
+
+def touched(log: DataFrame) -> DataFrame:
+    """(vol_id, step, labels): sorted labels over 0 that a step (old, label) removed or set."""
+    both = log.select("vol_id", "step", F.explode(F.array("old", "label")).alias("x")).where("x > 0")
+    return both.groupBy("vol_id", "step").agg(F.sort_array(F.collect_set("x")).alias("labels"))
+
+
+def picked(lab: DataFrame, points: DataFrame) -> DataFrame:
+    """points (vol_id, i, j, k, ...) with the columns of the voxels there; null where there is none."""
+    return points.join(lab, PLACE, "left")

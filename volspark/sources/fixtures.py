@@ -1,12 +1,13 @@
-"""Volumes, series and runs derived from the relational tables."""
+"""Volumes, series, runs, class maps and meshes derived from the relational tables; their number grows with the tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 SHAPE = (32, 32, 24)
+#: Orders whose lines fill one volume.
+ORDERS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,29 +15,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _voxel():
-    return [(F.col(c) % n).cast("int").alias(v) for c, n, v in zip(("l_orderkey", "l_partkey", "l_suppkey"), SHAPE, "ijk", strict=True)]
+    cells = [(F.col(c) % n).cast("int").alias(v) for c, n, v in zip(("l_orderkey", "l_partkey", "l_suppkey"), SHAPE, "ijk", strict=True)]
+    return [F.floor(F.col("l_orderkey") / ORDERS).cast("int").alias("vol_id"), *cells]
 
 
 def ct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(i, j, k, hu)."""
+    """(vol_id, i, j, k, hu)."""
     return table(spark, sf_dir, "lineitem").groupBy(*_voxel()).agg(F.max(40 * F.col("l_quantity") - 1000).cast("int").alias("hu"))
 
 
 def labels(spark: SparkSession, sf_dir: str, pick=F.max) -> DataFrame:
-    """(i, j, k, label); pick F.min gives a second map over the same voxels."""
+    """(vol_id, i, j, k, label); pick F.min gives a second map over the same voxels."""
     sized = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return sized.groupBy(*_voxel()).agg(pick(F.col("p_size") % 6).cast("int").alias("label"))
 
 
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series_uid, modality, nrows, localizer, pos): image headers, one series for each order."""
+    """(study, series_uid, description, modality, nrows, ncols, localizer, tilt, pos, instance, file): image headers.
+
+    One series for each order, one study for each customer; tilt is a component of the orientation, pos the place along
+    the series' normal, null where a file has none.
+    """
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return lines.select(
+        F.col("o_custkey").alias("study"),
         F.col("l_orderkey").cast("string").alias("series_uid"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "Portal venous").otherwise(F.col("o_orderpriority")).alias("description"),
         F.when(F.col("o_orderstatus") == "P", "MR").otherwise("CT").alias("modality"),
         F.when(F.col("l_returnflag") == "R", 256).otherwise(512).alias("nrows"),
+        F.when(F.col("l_linestatus") == "O", 512).otherwise(256).alias("ncols"),
         (F.col("l_discount") >= 0.09).alias("localizer"),
-        (5 * F.col("l_linenumber")).cast("double").alias("pos"),
+        F.when((F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") == 2), 0.001).otherwise(0.0).alias("tilt"),
+        F.when(F.col("l_orderkey") % 7 != 0, 5.0 * F.col("l_linenumber")).alias("pos"),
+        F.col("l_linenumber").alias("instance"),
+        F.concat_ws("_", "l_linenumber", "l_partkey", "l_suppkey").alias("file"),
     )
 
 
@@ -46,9 +58,36 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(environment, case_id, task, rep, secs, hash): benchmark records."""
+    """(environment, backend, case_id, task, rep, secs, hash): benchmark records."""
     order = Window.partitionBy("event_type", "user_id", F.col("event_id") % 3).orderBy("ts", "event_id")
     return table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("environment"), F.col("user_id").alias("case_id"), (F.col("event_id") % 3).alias("task"),
-        F.row_number().over(order).cast("long").alias("rep"), F.col("value").alias("secs"), (F.col("event_id") % 97).alias("hash"),
+        F.col("event_type").alias("environment"), F.when(F.col("event_id") % 4 == 0, "cpu (after failure)").when(F.col("event_id") % 4 == 1, "cpu").otherwise("webgpu").alias("backend"),
+        F.col("user_id").alias("case_id"), (F.col("event_id") % 3).alias("task"),
+        F.row_number().over(order).cast("long").alias("rep"), F.col("value").alias("secs"), (F.col("event_id") % 3).alias("hash"),
     )
+
+
+def class_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value): lines of a class map, every nation a structure of the task and of its region's model; one comment."""
+    n = table(spark, sf_dir, "nation")
+    task = n.select(F.concat_ws(" ", F.lit("task total"), F.col("n_nationkey") + 1, F.lower(F.regexp_replace("n_name", " ", "_"))).alias("value"))
+    part = n.select(F.concat_ws(" ", F.lit("part"), F.col("n_regionkey") + 291, F.col("n_nationkey") % 5 + 1 + F.floor(F.col("n_nationkey") / 5) * 5, F.lower(F.regexp_replace("n_name", " ", "_"))).alias("value"))
+    return task.union(part).union(spark.createDataFrame([("# classes",)], "value string"))
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(label, name, color): a registry of structures; label 5 is unnamed."""
+    return table(spark, sf_dir, "region").select((F.col("r_regionkey")).cast("int").alias("label"), F.lower("r_name").alias("name"), (F.col("r_regionkey") * 40).cast("int").alias("color"))
+
+
+def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mesh_id, vid, x, y, z)."""
+    c = table(spark, sf_dir, "customer")
+    xyz = [(F.col("c_custkey") * a % m).cast("double").alias(v) for a, m, v in ((3, 17, "x"), (5, 23, "y"), (7, 29, "z"))]
+    return c.select((F.col("c_custkey") % 5).cast("int").alias("mesh_id"), F.floor(F.col("c_custkey") / 5).cast("int").alias("vid"), *xyz)
+
+
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mesh_id, tid, a, b, c): neighbouring vertices of each mesh."""
+    v = vertices(spark, sf_dir).where("vid between 1 and 27")
+    return v.select("mesh_id", F.col("vid").alias("tid"), F.col("vid").alias("a"), (F.col("vid") + 1).alias("b"), (F.col("vid") * 7 % 29).cast("int").alias("c"))
