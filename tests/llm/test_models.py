@@ -117,3 +117,39 @@ def test_classifiers_without_rows(spark, docs, empty):
     for module in (toxicity, quality):
         assert module.classify(docs, none).count() == docs.count()
         assert module.classify(empty, none).count() == 0
+
+
+def test_walk_against_power_iteration(spark):
+    """Trust and distrust of a graph with cycles, against plain iteration in numpy."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    n = 12
+    paths = {0: "/es/", 1: "/es/", 2: "/de/", 3: "/de/"}
+    hosts = [f"h{i}.{'org' if i < 2 else 'net'}" for i in range(n)]
+    links = [[j for j in rng.permutation(n)[:3].tolist() if j != i] for i in range(n)]
+    rows = [(i, f"http://{hosts[i]}{paths.get(i, '/x/')}1", "".join(f'<a href="http://{hosts[j]}/">' for j in links[i]), None) for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = {r["page_id"]: r for r in urlfilter.judge(pages).collect()}
+    a = np.zeros((n, n))
+    for i, own in enumerate(links):
+        a[i, own] = 1
+    good, bad = (np.array([float(paths.get(i) == p) for i in range(n)]) for p in ("/de/", "/es/"))
+
+    def share(seed, m):
+        step = m / np.maximum(m.sum(1, keepdims=True), 1)
+        out = []
+        for s in (seed, np.ones(n)):
+            total, x = np.zeros(n), s
+            for _ in range(400):
+                x = 0.85 * x @ step
+                total += x
+            out.append(total)
+        return np.divide(out[0], out[1], out=np.zeros(n), where=out[1] > 0)
+
+    free = 0.85 * (1 - good - bad)
+    trust, distrust = good + free * share(good, a), bad + free * share(bad, a.T)
+    assert np.allclose([got[i]["host_trust"] for i in range(n)], trust, atol=1e-3)
+    assert np.allclose([got[i]["host_distrust"] for i in range(n)], distrust, atol=1e-3)
+    with pytest.raises(RuntimeError, match="settle"):
+        urlfilter.judge(pages, rounds=2)

@@ -16,7 +16,7 @@ from volspark.llm.common import text_bytes
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text whose words are contracted together, and rows that one query starts from.
 CHUNK, ROWS = 1 << 23, 400_000
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Longer words contract all equal pairs of a step that cannot touch each other's order.
 LONG = 48
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from volspark.operators.graph import shared  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A key is hot if it holds over 1 of HEAVY rows.
 HEAVY = 1000
@@ -37,21 +35,6 @@ def fold(c: str | Column, parts: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, in the folder that all executors share.
-
-    A local session that names no folder (tests, a notebook) gets one of its own; on a cluster that is an error, as no
-    machine's own folder serves the others. Spark removes the files of frames no longer used if
-    spark.cleaner.referenceTracking.cleanCheckpoints is set.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "volspark-checkpoints"))
-    return df.checkpoint()
-
-
 def join_skewed(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
     """big joined with small, whose keys are unique, where some keys hold many rows of big.
 

@@ -10,13 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.llm.common import shared, text_bytes
+from volspark.llm.common import HEAVY, join_skewed, shared, text_bytes
 
 WINDOW, LEAST_WORDS, SHORTEST = 10, 5, 6
 #: Exact windows of fewer words count only as a whole sentence.
 ALONE = 3
 FILTER_BITS = 24
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Item windows up to which they are broadcast.
+SMALL = 200_000
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb lbs oz t ml l s sec secs min mins h hr hrs day days ms hz khz mhz ghz w kw v kb mb gb tb usd eur gbp % $ € £ °c °f c f k kmh mph".split())
 NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
 QUANTITY = re.compile(r"([$€£]?)([+-]?\d+(?:[.,:/]\d+)*)([^\W\d_]{0,4}|%|°[cf])$")
@@ -230,17 +232,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kinds = own.select("size", F.col("template").startswith(EXACT).alias("exact")).distinct().collect()
     sizes = [r["size"] for r in kinds if not r["exact"] and r["size"] < WINDOW], [r["size"] for r in kinds if r["exact"]]
     place = own.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("place"))
-    cells = place.selectExpr("place div 8 as cell", "shiftleft(1, cast(place % 8 as int)) as bit").groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect()
+    cells = place.selectExpr("place div 8 as cell", "shiftleft(1, cast(place % 8 as int)) as bit").groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
     bitmap = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    for r in cells:
-        bitmap[r["cell"]] = r["bits"]
+    bitmap[cells["cell"].to_numpy()] = cells["bits"].to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text"))
     seen = rows.mapInArrow(lambda it: _windows(it, sizes, sent.value), _SCHEMA)
     seen = seen.select(F.col("id").alias("doc_id"), "copy", F.col("at").alias("place"), "h", "template", F.col("slots").alias("have")).distinct()
     known = own.select(F.col("id").alias("item_id"), F.col("copy").alias("item_copy"), "h", "template", "at", F.col("slots").alias("want"), (F.col("of") - F.col("size") + 1).alias("windows"))
     one = ["doc_id", "copy", "item_id", "item_copy", "shift"]
-    pairs = shared(seen.join(known, ["h", "template"]).select(*one[:-1], (F.col("place") - F.col("at")).alias("shift"), "at", "want", "have", "windows"))
+    if own.count() <= SMALL:
+        met = seen.join(F.broadcast(known), ["h", "template"])
+    else:
+        seen = shared(seen)
+        hot = seen.groupBy("h", "template").agg(F.count("*").alias("n")).where(F.col("n") > seen.count() // HEAVY + 1)
+        met = join_skewed(seen, known, ["h", "template"], shared(hot))
+    pairs = shared(met.select(*one[:-1], (F.col("place") - F.col("at")).alias("shift"), "at", "want", "have", "windows"))
     slots = pairs.select(*one, F.explode(F.arrays_zip("want", "have")).alias("s")).select(*one, "s.want", "s.have")
     broken = slots.groupBy(*one, "want").agg(F.min("have").alias("a"), F.max("have").alias("b")).where("a <> b")
     broken = broken.groupBy(*one).agg(F.collect_set("want").alias("broken"))

@@ -1,7 +1,17 @@
-"""Language-model scores: a log-bilinear model beside smoothed unigram counts of the whole corpus."""
+"""Language-model scores: a log-bilinear model beside smoothed unigram counts of the whole corpus.
+
+The model predicts a word from the two before it. The most frequent words have vectors of their own; all other words fall
+into SPELLINGS classes by their last two bytes, with the smoothed count of the word inside its class. Outputs are factored
+into classes, so that normalising costs a few hundred products a token: words sorted by their ends, CLASS of them a class.
+
+Training is noise-contrastive estimation in numpy. The training texts are dealt into shards by a hash of the row, as
+many as the corpus has tokens for; each shard is learnt from the same start in the order of that hash, the parameters are
+averaged, and that goes on for some rounds. Nothing of this depends on how the input is split.
+"""
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -14,18 +24,27 @@ from volspark.llm.common import fold, shared, text_bytes
 
 #: How the end token is kept among the words; no word is empty.
 END = b""
-CHUNK = 1 << 21
 #: Distinct words that a task counts before it hands them on.
 HELD = 300_000
 #: Most occurrences of a trigram that make one training row.
 HEAVY = 16
+#: Classes of the words outside the vocabulary, and words in a class of it.
+SPELLINGS, CLASS = 64, 64
+#: Tokens whose probabilities are worked out at once, and that are trained on before the next are read.
+BLOCK, LESSON = 1 << 14, 1 << 19
 LOG10 = float(np.log(10))
+#: Parts of a model whose rows are averaged.
+NEAR, FAR, CLASSES, WORDS = range(4)
 
 
 def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def spelling(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % SPELLINGS
+
+
 def _counts(batches):
     """(word, n): sums over a task, handed on whenever HELD distinct words are reached."""
     seen: Counter = Counter()
@@ -51,170 +70,248 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class LogBilinear:
-    """P(w | two words before) over the vocabulary, a class of all other words, and the end."""
+    """P(word | two before). Entities: the vocabulary, the spelling classes, the end, and as context the front."""
 
-    place: dict[bytes, int]  # words; then the other words, then the end, then the front (context only)
+    place: dict[bytes, int]
     near: np.ndarray  # context vectors of the word before
-    far: np.ndarray  # context vectors of the word before that
-    out: np.ndarray
-    bias: np.ndarray
+    far: np.ndarray  # of the word before that
+    classes: np.ndarray  # output vectors of the classes, the bias last
+    words: np.ndarray  # output vectors of the vocabulary, the bias last
 
     @property
-    def other(self) -> int:
-        return len(self.place)
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(near part, far part, log normaliser): with two words of context the normaliser of every pair is one entry of a
-        matrix product, so all token probabilities are normalised over the whole vocabulary at the cost of three lookups."""
-        a = (self.near @ self.out.T + self.bias).astype(np.float64)
-        b = (self.far @ self.out.T).astype(np.float64)
-        top_a, top_b = a.max(1, keepdims=True), b.max(1, keepdims=True)
-        z = np.log(np.exp(b - top_b) @ np.exp(a - top_a).T) + top_b + top_a.T
-        return a.astype(np.float32), b.astype(np.float32), z.astype(np.float32)
+    def class_of(self) -> np.ndarray:
+        """The class of each entity that can come out: one for CLASS words, one for each spelling, one for the end."""
+        v = len(self.place)
+        blocks = -(-v // CLASS)
+        return np.concatenate((np.arange(v) // CLASS, blocks + np.arange(SPELLINGS + 1)))
+
+    def log_probabilities(self, c2: np.ndarray, c1: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Natural logarithms for tokens e after c2 c1, normalised over classes and then over the words of a class."""
+        out, owner, v = np.empty(len(e)), self.class_of[e], len(self.place)
+        for at in range(0, len(e), BLOCK):
+            part = slice(at, at + BLOCK)
+            q, own = self.near[c1[part]] + self.far[c2[part]], owner[part]
+            logit = q @ self.classes[:, :-1].T + self.classes[:, -1]
+            got = _chosen(logit, own)
+            word = np.flatnonzero(e[part] < v)
+            order = word[np.argsort(own[word], kind="stable")]
+            ends = np.flatnonzero(np.append(np.diff(own[order]) != 0, True)) + 1 if len(order) else []
+            first = 0
+            for end in ends:
+                rows, block = order[first:end], slice(int(own[order[first]]) * CLASS, (int(own[order[first]]) + 1) * CLASS)
+                inside = q[rows] @ self.words[block, :-1].T + self.words[block, -1]
+                got[rows] += _chosen(inside, e[part][rows] - block.start)
+                first = end
+            out[part] = got
+        return out
+
+
+def _chosen(logit: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """log softmax at one column of each row."""
+    top = logit.max(1)
+    return (logit[np.arange(len(which)), which] - top - np.log(np.exp(logit - top[:, None]).sum(1))).astype(float)
 
 
 def ids_of(words: list[bytes], place: dict[bytes, int]) -> np.ndarray:
     """Front, front, words, end."""
     n, get = len(place), place.get
-    out = np.empty(len(words) + 3, np.int64)
-    out[:2], out[-1] = n + 2, n + 1
-    out[2:-1] = np.fromiter((get(w, n) for w in words), np.int64, len(words))
+    out = np.empty(len(words) + 3, np.int32)
+    out[:2], out[-1] = n + SPELLINGS + 1, n + SPELLINGS
+    out[2:-1] = np.fromiter((i if (i := get(w)) is not None else n + spelling(w) for w in words), np.int32, len(words))
     return out
 
 
-def _train(batches, model: LogBilinear, noise: np.ndarray, samples: int, size: int, least_steps: int, rate: float):
-    """One pass of noise-contrastive estimation over a task's texts: rows (part, row, values, weight) of its parameters.
-
-    Each minibatch tells its tokens from `samples` words drawn from the unigram distribution, all in matrix products. A
-    task with few tokens goes over them until it has made `least_steps` steps.
-    """
-    v = len(noise)
-    near, far, out, bias = (np.array(x, np.float32) for x in (model.near, model.far, model.out, model.bias))
-    grown = [np.full(x.shape[:1] + (1,) * (x.ndim - 1), 1e-3, np.float32) for x in (near, far, out, bias)]
-    rng = np.random.default_rng(11)
-    log_noise = np.log(samples * noise).astype(np.float32)
-    pick = np.cumsum(noise)
-    total = 0
-
-    def move(at: int, rows: np.ndarray, grad: np.ndarray) -> None:
-        """Adagrad by rows; equal rows of a batch are summed first."""
-        x = (near, far, out, bias)[at]
+def _ids(batches, place: dict[bytes, int]):
+    """Rows (shard, row, ids) of (shard, row, text)."""
+    for b in batches:
+        ids = [ids_of(tokens(t.as_py()), place) for t in b.column(2)]
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), flat)], ["shard", "row", "ids"])
+
+
+class _Pupil:
+    """One shard's parameters, by Adagrad."""
+
+    def __init__(self, model: LogBilinear, noise: np.ndarray, samples: int, inside: int, size: int, rate: float):
+        self.owner, self.v = model.class_of, len(model.place)
+        self.parts = [np.array(x, np.float32) for x in (model.near, model.far, model.classes, model.words)]
+        self.grown = [np.full((len(x), 1), 1e-3, np.float32) for x in self.parts]
+        self.samples, self.inside, self.size, self.rate = samples, inside, size, rate
+        self.pick, self.log_noise = np.cumsum(noise), np.log(samples * noise).astype(np.float32)
+        self.rng = np.random.default_rng(11)
+        self.held, self.n_held, self.total = [], 0, 0
+
+    def _move(self, part: int, rows: np.ndarray, grad: np.ndarray) -> None:
+        """Equal rows of a batch are summed first."""
         order = np.argsort(rows, kind="stable")
         rows, grad = rows[order], grad[order]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
         rows, grad = rows[first], np.add.reduceat(grad, first, axis=0)
-        square = (grad**2).mean(axis=1, keepdims=True) if grad.ndim > 1 else grad**2
-        grown[at][rows] += square
-        x[rows] -= rate * grad / np.sqrt(grown[at][rows])
+        self.grown[part][rows] += (grad**2).mean(axis=1, keepdims=True)
+        self.parts[part][rows, : grad.shape[1]] -= self.rate * grad / np.sqrt(self.grown[part][rows])
 
-    def step(c2, c1, w, weight) -> None:
+    def _step(self, c2, c1, e, weight) -> None:
+        """Tell a batch's classes from `samples` classes drawn by their counts, and its words from `inside` words of their class."""
+        near, far, classes, words = self.parts
         q = near[c1] + far[c2]
-        fake = np.minimum(np.searchsorted(pick, rng.random(samples) * pick[-1]), v - 1)
-        s_true = (q * out[w]).sum(1) + bias[w] - log_noise[w]
-        s_fake = q @ out[fake].T + bias[fake] - log_noise[fake]
-        d_true = (-1 / (1 + np.exp(np.clip(s_true, -30, 30)))) * weight
-        d_fake = (1 / (1 + np.exp(-np.clip(s_fake, -30, 30)))) * weight[:, None]
-        d_q = d_true[:, None] * out[w] + d_fake @ out[fake]
-        d_out = np.concatenate((d_true[:, None] * q, d_fake.T @ q))
-        d_bias = np.concatenate((d_true, d_fake.sum(0)))
-        rows = np.concatenate((w, fake))
-        move(0, c1, d_q), move(1, c2, d_q), move(2, rows, d_out), move(3, rows, d_bias)
-
-    def learn(ids: list, times: int) -> None:
-        """Equal trigrams of the pieces go together by up to HEAVY, weighted."""
-        flat = np.concatenate([(x[:-2] * (v + 1) + x[1:-1]) * (v + 1) + x[2:] for x in ids])
+        one = np.ones((len(q), 1), np.float32)
+        y = self.owner[e]
+        fake = np.minimum(np.searchsorted(self.pick, self.rng.random(self.samples) * self.pick[-1]), len(self.pick) - 1)
+        true = (q * classes[y, :-1]).sum(1) + classes[y, -1] - self.log_noise[y]
+        false = q @ classes[fake, :-1].T + classes[fake, -1] - self.log_noise[fake]
+        d_true = -weight / (1 + np.exp(np.clip(true, -30, 30)))
+        d_false = weight[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))
+        d_q = d_true[:, None] * classes[y, :-1] + d_false @ classes[fake, :-1]
+        full = np.concatenate((q, one), 1)
+        self._move(CLASSES, np.concatenate((y, fake)), np.concatenate((d_true[:, None] * full, d_false.T @ full)))
+        w = np.flatnonzero(e < self.v)
+        if len(w):
+            low = y[w] * CLASS
+            many = np.minimum(CLASS, self.v - low)
+            other = low[:, None] + (self.rng.random((len(w), self.inside)) * many[:, None]).astype(np.int64)
+            chance = np.log(self.inside / many).astype(np.float32)
+            qw, own, oth = q[w], words[e[w]], words[other]
+            true = (qw * own[:, :-1]).sum(1) + own[:, -1] - chance
+            false = np.matmul(oth[:, :, :-1], qw[:, :, None])[:, :, 0] + oth[:, :, -1] - chance[:, None]
+            d_true = -weight[w] / (1 + np.exp(np.clip(true, -30, 30)))
+            d_false = weight[w, None] / (1 + np.exp(-np.clip(false, -30, 30)))
+            d_q[w] += d_true[:, None] * own[:, :-1] + np.matmul(d_false[:, None, :], oth[:, :, :-1])[:, 0]
+            fw = full[w]
+            self._move(WORDS, np.concatenate((e[w], other.ravel())), np.concatenate((d_true[:, None] * fw, (d_false[:, :, None] * fw[:, None, :]).reshape(-1, fw.shape[1]))))
+        self._move(NEAR, c1, d_q), self._move(FAR, c2, d_q)
+
+    def read(self, ids: np.ndarray) -> None:
+        self.held.append(ids), self._count(len(ids))
+        if self.n_held >= LESSON:
+            self.learn()
+
+    def _count(self, n: int) -> None:
+        self.n_held += n
+        self.total += n - 2
+
+    def learn(self) -> None:
+        """Equal trigrams go together by up to HEAVY, weighted."""
+        if not self.held:
+            return
+        m = self.v + SPELLINGS + 2
+        flat = np.concatenate([(x[:-2].astype(np.int64) * m + x[1:-1]) * m + x[2:] for x in self.held])
         keys, count = np.unique(flat, return_counts=True)
-        times_each = -(-count // HEAVY)
-        keys, count = np.repeat(keys, times_each), np.repeat((count / times_each).astype(np.float32), times_each)
-        for _ in range(times):
-            order = rng.permutation(len(keys))
-            for at in range(0, len(order), size):
-                k, n = keys[order[at : at + size]], count[order[at : at + size]]
-                step(k // (v + 1) ** 2, k // (v + 1) % (v + 1), k % (v + 1), n / n.sum())
-
-    held, n_held, begun = [], 0, False
+        times = -(-count // HEAVY)
+        keys, count = np.repeat(keys, times), np.repeat((count / times).astype(np.float32), times)
+        order = self.rng.permutation(len(keys))
+        for at in range(0, len(order), self.size):
+            k, n = keys[order[at : at + self.size]], count[order[at : at + self.size]]
+            self._step(k // m**2, k // m % m, k % m, n / n.sum())
+        self.held, self.n_held = [], 0
+
+    def rows(self):
+        for part, x in enumerate(self.parts):
+            wide = np.zeros((len(x), self.parts[WORDS].shape[1]), np.float32)
+            wide[:, : x.shape[1]] = x
+            lead = [np.full(len(x), part, np.int32), np.arange(len(x), dtype=np.int32), np.full(len(x), self.total, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*lead, *wide.T)], ["part", "row", "weight", *(f"x{i}" for i in range(wide.shape[1]))])
+
+
+def _train(batches, model: LogBilinear, noise: np.ndarray, **how):
+    """Rows (part, row, weight, x0, x1, ..) of the parameters of each shard among rows (shard, row, ids) in their order."""
+    pupil, shard = None, None
     for b in batches:
-        for text in b.column(0):
-            x = ids_of(tokens(text.as_py()), model.place)
-            held.append(x)
-            n_held += len(x)
-            total += len(x) - 2
-            if n_held >= 1 << 19:
-                learn(held, 1)
-                held, n_held, begun = [], 0, True
-    if held:
-        learn(held, 1 if begun else max(1, min(20, least_steps * size // max(n_held, 1))))
-    if total:
-        for name, x in enumerate((near, far, out, bias[:, None])):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(x), name, np.int32)), pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x.tolist(), pa.list_(pa.float32())), pa.array(np.full(len(x), total, np.int64))],
-                ["part", "row", "x", "weight"],
-            )
-
-
-def fit(texts: DataFrame, top: list[tuple[bytes, int]], n_tokens: int, n_ends: int, width: int = 16, samples: int = 48, size: int = 512, rounds: int = 1, least_steps: int = 2000, rate: float = 0.1) -> LogBilinear:
-    """A model of the words `top` (word, count) from all texts. Every task learns from its texts by noise-contrastive
-    estimation from the same start; the parameters are averaged over tasks by their tokens, `rounds` times."""
+        lists = b.column(2)
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        for r, own in enumerate(b.column(0).to_pylist()):
+            if own != shard:
+                if pupil:
+                    pupil.learn()
+                    yield from pupil.rows()
+                pupil, shard = _Pupil(model, noise, **how), own
+            pupil.read(flat[ends[r] : ends[r + 1]])
+    if pupil:
+        pupil.learn()
+        yield from pupil.rows()
+
+
+def fit(texts: DataFrame, top: list[tuple[bytes, int]], rare: np.ndarray, n_ends: int, n_tokens: int, width: int = 16, samples: int = 32, inside: int = 6, size: int = 1024, rounds: int = 2, rate: float = 0.1, shard: int = 1 << 20) -> LogBilinear:
+    """A model of the words `top` (word, count) from all texts (row, text): n_tokens // `shard` + 1 shards, `rounds` rounds.
+
+    rare: the smoothed counts of the spelling classes. Only the averaged parameters come to the driver.
+    """
+    top = sorted(top, key=lambda x: x[0][::-1])
     place = {w: i for i, (w, _) in enumerate(top)}
-    v = len(place) + 2
-    count = np.array([*(c for _, c in top), max(n_tokens - n_ends - sum(c for _, c in top), 0), n_ends], float) + 0.5
-    noise = count / count.sum()
-    rng = np.random.default_rng(3)
-    model = LogBilinear(place, *(rng.normal(0, 0.05, (n, width)).astype(np.float32) for n in (v + 1, v + 1, v)), np.log(noise).astype(np.float32))
+    v, rng = len(place), np.random.default_rng(3)
+    count = np.array([*(c for _, c in top), *rare, n_ends], float) + 0.5
+    model = LogBilinear(place, *(rng.normal(0, 0.05, (v + SPELLINGS + 2, width)).astype(np.float32) for _ in range(2)), np.zeros(0), np.zeros(0))
+    owner = model.class_of
+    noise = np.bincount(owner, count)
+    noise /= noise.sum()
+    inner = np.log(count[:v] / np.bincount(owner[:v], count[:v])[owner[:v]]) if v else np.zeros(0)
+    model.classes, model.words = (np.concatenate((rng.normal(0, 0.05, (len(b), width)), np.reshape(b, (-1, 1))), 1).astype(np.float32) for b in (np.log(noise), inner))
     sc = texts.sparkSession.sparkContext
+    shards = n_tokens // shard + 1
+    sent = sc.broadcast(place)
+    dealt = texts.select(F.pmod("row", F.lit(shards)).alias("shard"), "row", "text").mapInArrow(lambda it: _ids(it, sent.value), "shard long, row long, ids array<int>")
+    dealt = shared(dealt.repartition(shards, "shard").sortWithinPartitions("shard", "row"))
+    schema = "part int, row int, weight long, " + ", ".join(f"x{i} float" for i in range(width + 1))
+    how = {"samples": samples, "inside": inside, "size": size, "rate": rate}
     for _ in range(rounds):
-        sent = sc.broadcast(model)
-        parts = texts.select("text").mapInArrow(lambda it, sent=sent: _train(it, sent.value, noise, samples, size, least_steps, rate), "part int, row int, x array<float>, weight long")
-        cells = parts.select("part", "row", "weight", F.posexplode("x").alias("at", "value"))
-        mean = cells.groupBy("part", "row", "at").agg((F.sum(F.col("value").cast("double") * F.col("weight")) / F.sum("weight")).alias("value"))
-        rows = mean.toPandas()
-        fresh = [np.array(x) for x in (model.near, model.far, model.out, model.bias[:, None])]
-        for part, own in rows.groupby("part"):
-            fresh[part][own["row"].to_numpy(), own["at"].to_numpy()] = own["value"].to_numpy()
-        model = LogBilinear(place, *fresh[:3], fresh[3][:, 0])
+        start = sc.broadcast(model)
+        learnt = dealt.mapInArrow(lambda it, start=start: _train(it, start.value, noise, **how), schema)
+        # sums of whole numbers, so that their order does not count
+        exact = [F.sum(F.round(F.col(f"x{i}").cast("double") * (1 << 24)).cast("decimal(20,0)") * F.col("weight")).alias(f"x{i}") for i in range(width + 1)]
+        mean = learnt.groupBy("part", "row").agg(F.sum("weight").alias("weight"), *exact)
+        got = mean.select("part", "row", *[(F.col(f"x{i}").cast("double") / F.col("weight") / (1 << 24)).alias(f"x{i}") for i in range(width + 1)]).toArrow()
+        if got.num_rows == 0:
+            break
+        part, row = got["part"].to_numpy(), got["row"].to_numpy()
+        x = np.stack([got[f"x{i}"].to_numpy() for i in range(width + 1)], 1).astype(np.float32)
+        fresh = [np.array(a) for a in (model.near, model.far, model.classes, model.words)]
+        for p, a in enumerate(fresh):
+            a[row[part == p]] = x[part == p][:, : a.shape[1]]
+        model = LogBilinear(place, *fresh)
+        start.unpersist()
     return model
 
 
 def _score(batches, model: dict):
-    """Rows (doc, held_out, word, n, tokens, known, base, lm): one for each text, with what its frequent words give and the
+    """Rows (doc, word, n, tokens, known, base, lm): one for each text, with what its frequent words give and the
     word in a place of its own, and one for each of its rare words."""
-    place, frequent, tables, other, end_cost = (model[k] for k in ("place", "frequent", "tables", "other", "end"))
-    near, far, z = tables
+    lbl, frequent, inside, end_cost = (model[k] for k in ("model", "frequent", "inside", "end"))
+    place = lbl.place
+    v = len(place)
     for b in batches:
-        cols: list[list] = [[] for _ in range(7)]
-        done = 0
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            words = tokens(text.as_py())
-            x = ids_of(words, place)
-            c2, c1, w = x[:-2], x[1:-1], x[2:]
-            lm = float((near[c1, w] + far[c2, w] - z[c2, c1]).astype(np.float64).sum()) / LOG10
-            (base, known), inside = end_cost, 0.0
-            own = Counter(words)
-            out = [b" " + doc], [0]
-            for word, n in own.items():
-                hit = frequent.get(word)
-                if hit is None:
-                    out[0].append(word)
-                    out[1].append(n)
-                else:
-                    base += n * hit
-                    known += n
-                    if word not in place:
-                        inside += n * hit
-            n_rows = len(out[0])
-            cols[0].extend([doc] * n_rows)
-            cols[1].extend(out[0])
-            cols[2].extend(out[1])
-            # of the words outside the vocabulary the frequent ones' counts are here, the rare ones' come from the join
-            lm += inside + other * int((w == len(place)).sum())
-            for col, first in zip(cols[3:], (len(words) + 1, known, base, lm), strict=True):
-                col.append(first)
-                col.extend([0] * (n_rows - 1))
-            done += n_rows
-            if done >= 1 << 16:
-                yield _batch(cols)
-                cols, done = [[] for _ in range(7)], 0
-        if done:
+        names, texts = b.column(0).to_pylist(), b.column(1)
+        at = 0
+        while at < b.num_rows:
+            cols: list[list] = [[] for _ in range(7)]
+            ids, firsts = [], []
+            while at < b.num_rows and sum(map(len, ids[-64:])) < BLOCK and len(ids) < 64:
+                words = tokens(texts[at].as_py())
+                ids.append(ids_of(words, place))
+                base, known = end_cost
+                lm = 0.0
+                doc, own, out = names[at], Counter(words), [[b" " + names[at]], [0]]
+                for word, n in own.items():
+                    hit = frequent.get(word)
+                    if hit is None:
+                        out[0].append(word)
+                        out[1].append(n)
+                    else:
+                        base += n * hit
+                        known += n
+                        if word not in place:
+                            lm += n * hit
+                more = len(out[0]) - 1
+                firsts.append(len(cols[0]))
+                for col, x in zip(cols, ([doc] * (more + 1), *out, *([x] + [0] * more for x in (len(words) + 1, known, base, lm))), strict=True):
+                    col.extend(x)
+                at += 1
+            e = np.concatenate([x[2:] for x in ids])
+            got = lbl.log_probabilities(np.concatenate([x[:-2] for x in ids]), np.concatenate([x[1:-1] for x in ids]), e) / LOG10
+            # of the words outside the vocabulary the counts within all words come from above or from the join
+            got += np.concatenate((np.zeros(v), inside, [0.0]))[e]
+            starts = np.cumsum([0, *(len(x) - 2 for x in ids[:-1])])
+            for first, x in zip(firsts, np.add.reduceat(got, starts).tolist(), strict=True):
+                cols[6][first] += x
             yield _batch(cols)
 
 
@@ -223,30 +320,45 @@ def _batch(cols):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc", "word", "n", "tokens", "known", "base", "lm"])
 
 
-def score_texts(docs: DataFrame, parts: int = 10, vocabulary: int = 1024, frequent: int = 100_000, add: float = 0.1, **training) -> DataFrame:
+def score_texts(docs: DataFrame, parts: int = 10, vocabulary: int = 4096, frequent: int = 100_000, add: float = 0.1, **training) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (doc_id, text).
 
     Training texts are those whose crc32 of the id modulo `parts` is not 0. base_score is the log10 probability under their
-    smoothed unigram counts; score that of the log-bilinear model, which gives the `vocabulary` most frequent words, the
-    end and the class of all other words, times the smoothed count of the word within that class. Counts are of the whole
-    corpus. The `frequent` most frequent words travel to all tasks; the counts of all other words meet the documents'
-    words in a join. Null texts are empty, a null id is in the fold of the empty text, rows repeated repeat.
+    smoothed unigram counts; score that of the log-bilinear model, in which the `vocabulary` most frequent words have vectors, and
+    the others the class of their spelling, times the smoothed count of the word within it; each such class has room for
+    one unseen word. Counts are of the whole corpus. At most `frequent` words, the most frequent ones, travel to all tasks;
+    the counts of all other words meet the documents' words in a join. Ties at the border go by bytes, for the vocabulary, and stay
+    outside, for the frequent words. Null texts are empty, a null id is in the fold of the empty text, rows repeated repeat.
+    Without a training text every word is unseen.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", parts) == 0).alias("held_out"), text_bytes().alias("text"))
     counts = shared(word_counts(rows.where("not held_out")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = (counts.where(F.octet_length("word") == 0).select("c").first() or [0])[0]
     words = counts.where(F.octet_length("word") > 0)
-    often = [(bytes(r["word"]), r["c"]) for r in words.orderBy(F.desc("c"), "word").limit(frequent).collect()]
+    # the least count of the frequent words, from the sizes of some hundred steps of counts
+    step = F.floor(F.log2("c") * 16)
+    left, least = frequent, float("inf")
+    for r in words.groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("s")).collect():
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["c"]
+    got = words.where(F.col("c") >= F.lit(least)).toArrow()
+    often = sorted(zip(got["word"].to_pylist(), got["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     top = often[:vocabulary]
-    model = fit(rows.where("not held_out"), top, n, ends, **training)
+    sums = words.groupBy((F.crc32(F.substring("word", -2, 2)) % SPELLINGS).alias("s")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
+    rare = np.full(SPELLINGS, add)
+    for r in sums:
+        rare[r["s"]] += r["c"] + add * r["n"]
+    for w, c in top:
+        rare[spelling(w)] -= c + add
+    rare = np.maximum(rare, add)
+    keyed = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    model = fit(keyed.where("not held_out").select("row", "text"), top, rare, ends, n, **training)
     whole = n + add * (v + 1)
     cost = lambda c: float(np.log10((c + add) / whole))
-    left = n - ends - sum(c for _, c in top) + add * (v + 1 - len(top) - (ends > 0))
-    table = {
-        "place": model.place, "frequent": {w: cost(c) for w, c in often}, "tables": model.tables(),
-        "other": float(np.log10(whole / left)), "end": (cost(ends), int(ends > 0)),
-    }
+    table = {"model": model, "frequent": {w: cost(c) for w, c in often}, "inside": np.log10(whole / rare), "end": (cost(ends), int(ends > 0))}
     sent = docs.sparkSession.sparkContext.broadcast(table)
     # equal rows share a key; their scores are equal and go back to each of them
     keyed = rows.withColumn("doc", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.hex(F.xxhash64("text"))).cast("binary"))

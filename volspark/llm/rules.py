@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from volspark.llm import simhash
 from volspark.llm.common import shared
 from volspark.llm.textstats import COUNTS, text_stats
 
@@ -108,13 +109,18 @@ def filter_quality(docs: DataFrame, labels: DataFrame, least_words: int = 50, mo
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, stratum) of every row of docs.
 
     base_failed: fewer than `least_words` words, or over `most_repeat` percent of them in repeated 3-word windows. Of the rest
-    those go that break a rule of their stratum (lang; null is one of its own). Cutoffs are learnt from labels.quality;
-    null labels are skipped, null texts are empty, other columns are ignored.
+    those go that break a rule of their stratum (lang; null is one of its own). Cutoffs are learnt from labels.quality,
+    near copies (4 bits of the text fingerprint) counted once; a value just at a cutoff stays, null labels are skipped, null texts are empty, other columns are ignored.
     """
     stats = text_stats(docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum")), ["stratum"])
     stats = shared(stats.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))))
     marked = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("good"))
-    chosen = cutoffs(stats.where("not base_failed").join(marked, "doc_id"), **risk)
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marked, "doc_id", "left_semi")
+    groups = simhash.near_duplicates(some).groupBy("doc_id").agg(F.min("component_id").alias("copies"))
+    labelled = stats.where("not base_failed").join(marked, "doc_id").join(groups, "doc_id")
+    # near copies are one draw, not several: the row of the least id stands for them
+    labelled = labelled.groupBy("stratum", "good", "copies").agg(F.min(F.struct("doc_id", *dict.fromkeys(stat for stat, _ in RULES))).alias("r")).select("stratum", "good", "r.*")
+    chosen = cutoffs(shared(labelled), **risk)
     fails = F.lit(False)
     for s in sorted(chosen):
         fails = F.when(F.col("stratum") == s, _fails(chosen[s])).otherwise(fails)

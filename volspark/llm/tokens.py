@@ -15,7 +15,7 @@ from volspark.llm.common import text_bytes
 PRE_TOKEN = re.compile(r" *[^ ]+| +")
 #: Bytes of text whose pre-tokens are counted together, and pre-tokens whose piece counts a task remembers.
 CHUNK = 1 << 23
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 @cache

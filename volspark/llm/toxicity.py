@@ -41,7 +41,7 @@ LONGEST = 40
 UNIT = re.compile(r"[^\W\d_]+(?:['*.\-_@$!0-9]+[^\W\d_]+)*")
 LETTERS = re.compile(r"[^\W\d_]+")
 SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_]\s){2,}[^\W\d_](?!\w)")
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 #: Highest score of all texts if the labels teach nothing; under the threshold, so that all are kept.
 UNKNOWN = 0.25
 #: Bytes of text whose words are scored together.
@@ -241,8 +241,8 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = 256, most_clean:
 
     def described(some: list[list[str]]) -> np.ndarray:
         out = np.zeros((len(some), whiten.shape[1]), np.float32)
-        for at in range(0, len(some), 2000):
-            part = some[at : at + 2000]
+        for at in range(0, len(some), 500):
+            part = some[at : at + 500]
             used = {u: i for i, u in enumerate(dict.fromkeys(u for s in part for u in s))}
             values = (marks.kernel(list(used)) @ whiten).astype(np.float32)
             width = np.array([len(s) for s in part])

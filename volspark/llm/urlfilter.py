@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volspark.llm.common import ascii_lower, shared
+from volspark.llm.common import HEAVY, ascii_lower, join_skewed, shared
 
 #: (verdict, host, path prefix)
 RULES = [
@@ -62,21 +62,25 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, tole
 
     Both columns walk together and end together, so mass / whole is a share whatever the number of links. The seeds' own
     mass is not counted; mass that reaches a host without outgoing edges leaves the walk. A small join a round; the lineage
-    is cut each round, and the walk ends when a round moves less than the share `tolerance` of the seeds.
+    is cut each round, and the walk ends when a round moves less than the share `tolerance` of the seeds. As each round
+    moves at most `damping` of the one before, that takes log(tolerance) / log(damping) rounds; fewer `rounds` are an error.
     """
     start = seeds.agg(F.sum("whole")).first()[0] or 0.0
-    step, got = seeds, None
+    zero = F.lit(0.0)
+    state = seeds.select("host", "mass", "whole", zero.alias("got_mass"), zero.alias("got_whole"))
     for _ in range(rounds):
-        moved = step.join(edges, step["host"] == edges["src"]).groupBy(F.col("dst").alias("host"))
-        step = shared(moved.agg(*((damping * F.sum(F.col(c) * F.col("share"))).alias(c) for c in ("mass", "whole"))))
-        got = step if got is None else shared(got.union(step).groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("whole").alias("whole")))
-        if not (step.agg(F.sum("whole")).first()[0] or 0.0) > tolerance * start:
-            break
-    return got
+        step = state.where("whole > 0").join(edges, state["host"] == edges["src"]).groupBy(F.col("dst").alias("host"))
+        step = step.agg(*((damping * F.sum(F.col(c) * F.col("share"))).alias(c) for c in ("mass", "whole")))
+        both = step.select("host", "mass", "whole", F.col("mass").alias("got_mass"), F.col("whole").alias("got_whole"))
+        both = both.union(state.select("host", zero, zero, "got_mass", "got_whole"))
+        state = shared(both.groupBy("host").agg(*(F.sum(c).alias(c) for c in state.columns[1:])))
+        if not (state.agg(F.sum("whole")).first()[0] or 0.0) > tolerance * start:
+            return state.select("host", F.col("got_mass").alias("mass"), F.col("got_whole").alias("whole"))
+    raise RuntimeError("the walk did not settle")
 
 
-def host_verdicts(pages: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6, distrust_share: float = 0.8, least_distrust: float = 0.5) -> DataFrame:
-    """(host, trust, distrust, blocked) from pages (host, html, verdict of the rules).
+def host_verdicts(pages: DataFrame, damping: float = 0.85, rounds: int = 200, tolerance: float = 1e-4, distrust_share: float = 0.8, least_distrust: float = 0.5) -> DataFrame:
+    """(host, n, trust, distrust, blocked) from pages (host, html, verdict of the rules); n is its number of pages.
 
     Every host seeds both walks, with the share of its pages that the rules allow (trust) or block (distrust), beside a whole
     mass of 1; hosts that are only linked to have the whole mass alone. Trust walks along links, distrust against them:
@@ -86,6 +90,7 @@ def host_verdicts(pages: DataFrame, damping: float = 0.85, rounds: int = 20, tol
     its distrust is at least `least_distrust` and makes up at least `distrust_share` of trust and distrust together.
     """
     votes = pages.where("host <> ''").groupBy("host").agg(
+        F.count("*").alias("n"),
         (F.sum(F.when(F.col("verdict") == "allow", 1).otherwise(0)) / F.count("*")).alias("good"),
         (F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)) / F.count("*")).alias("bad"),
     )
@@ -103,7 +108,7 @@ def host_verdicts(pages: DataFrame, damping: float = 0.85, rounds: int = 20, tol
 
     both = votes.join(walk("good", False, "near_good"), "host", "left").join(walk("bad", True, "near_bad"), "host", "left")
     free = damping * (1 - F.col("good") - F.col("bad"))
-    both = both.select("host", *((F.col(own) + free * F.coalesce(near, F.lit(0.0))).alias(name) for own, near, name in (("good", "near_good", "trust"), ("bad", "near_bad", "distrust"))))
+    both = both.select("host", "n", *((F.col(own) + free * F.coalesce(near, F.lit(0.0))).alias(name) for own, near, name in (("good", "near_good", "trust"), ("bad", "near_bad", "distrust"))))
     return both.withColumn("blocked", (F.col("distrust") >= least_distrust) & (F.col("distrust") >= distrust_share * (F.col("trust") + F.col("distrust"))))
 
 
@@ -111,12 +116,15 @@ def judge(pages: DataFrame, rules=RULES, **graph) -> DataFrame:
     """(page_id, host, path, rule, verdict, host_trust, host_distrust) of every row of pages (page_id, url, html).
 
     A rule's verdict stands; other pages get their host's; trust and distrust are shares from 0 to 1. Null or odd urls have an empty host and path and
-    are allowed, null html has no links, repeated rows repeat, other columns are ignored.
+    are allowed, null html has no links, null ids and repeated rows stay, other columns are ignored. Of rules of one length
+    that fit, the first by its text counts. Pages meet their host's verdict in a shuffle, but for hosts of very many pages.
     """
     url, host, path = F.col("url").cast("string"), F.col("host"), F.col("path")
     name, verdict = rule_of(host, path, rules)
     judged = pages.select("page_id", "html", host_of(url).alias("host"), path_of(url).alias("path")).withColumns({"rule": name, "verdict": verdict})
-    hosts = host_verdicts(judged.select("host", "html", "verdict"), **graph)
-    out = judged.drop("html").join(hosts, "host", "left")
+    hosts = shared(host_verdicts(judged.select("host", "html", "verdict"), **graph))
+    total = hosts.agg(F.sum("n")).first()[0] or 0
+    hot = hosts.where(F.col("n") > total // HEAVY + 1).select("host").union(hosts.sparkSession.createDataFrame([("",)], "host string"))
+    out = join_skewed(judged.drop("html"), hosts, ["host"], hot, "left")
     own = F.when(F.col("blocked"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("host_trust"), F.coalesce("distrust", F.lit(0.0)).alias("host_distrust"))
