@@ -150,7 +150,7 @@ def test_lm(docs, rows, empty):
     counts = Counter(t for r, ts in zip(rows, toks, strict=True) if fold(r) for t in ts)
     n, v = sum(counts.values()), len(counts)
     for frequent in (100_000, 20):
-        got = sorted(lm.score_texts(docs, vocabulary=16, frequent=frequent, width=4, samples=8).collect(), key=key)
+        got = sorted(lm.score_texts(docs, vocabulary=16, frequent=frequent, width=4, samples=8, inside=2).collect(), key=key)
         expected = sorted(
             ((r[0], fold(r) == 0, len(ts), sum(t in counts for t in ts), n, sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts)) for r, ts in zip(rows, toks, strict=True)), key=key
         )
@@ -158,15 +158,51 @@ def test_lm(docs, rows, empty):
         assert np.allclose([g[5] for g in got], [e[5] for e in expected], rtol=1e-9)
         assert all(g[6] < 0 and math.isfinite(g[6]) for g in got)
     assert lm.score_texts(empty).count() == 0
+    few = lm.score_texts(docs.where("doc_id in (1, 66, 67)"), vocabulary=16)
+    assert few.count() == 3 and not few.where("score is null or score >= 0").count()
 
 
 def test_lm_normalises():
+    """Over all words, with one unseen word for each spelling class, probabilities sum to 1 after every context."""
     rng = np.random.default_rng(0)
-    m = lm.LogBilinear({b"a": 0, b"b": 1}, rng.normal(size=(5, 3)).astype("f4"), rng.normal(size=(5, 3)).astype("f4"), rng.normal(size=(4, 3)).astype("f4"), rng.normal(size=4).astype("f4"))
-    near, far, z = m.tables()
-    for c2 in range(5):
-        for c1 in range(5):
-            assert abs(np.exp(near[c1] + far[c2] - z[c2, c1]).sum() - 1) < 1e-5
+    place = {w: i for i, w in enumerate(sorted((f"w{i}".encode() for i in range(130)), key=lambda w: w[::-1]))}
+    n = len(place) + lm.SPELLINGS
+    shape = lambda *s: rng.normal(size=s).astype("f4")
+    m = lm.LogBilinear(place, shape(n + 2, 3), shape(n + 2, 3), shape(3 + lm.SPELLINGS + 1, 4), shape(130, 4))
+    e = np.arange(n + 1)
+    for c2, c1 in ((0, 1), (n + 1, n + 1), (140, 20), (130, n)):
+        assert abs(np.exp(m.log_probabilities(np.full(n + 1, c2), np.full(n + 1, c1), e)).sum() - 1) < 1e-4
+
+
+def test_lm_scores_by_hand(spark):
+    """The score of a text is the sum of its tokens' probabilities, whatever the number of partitions."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, 60) % 90) for _ in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [sorted((r["doc_id"], r["score"]) for r in lm.score_texts(docs.repartition(n), vocabulary=20, frequent=30, shard=2000).collect()) for n in (1, 6)]
+    assert np.allclose([x[1] for x in got[0]], [x[1] for x in got[1]], rtol=1e-9)
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for t in train for w in [*t.encode().split(), None])
+    top = sorted((w for w in counts if w), key=lambda w: (-counts[w], w))[:20]
+    rare = np.full(lm.SPELLINGS, 0.1)
+    for w in counts:
+        if w and w not in top:
+            rare[lm.spelling(w)] += counts[w] + 0.1
+    frame = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0").selectExpr("xxhash64(doc_id, cast(text as binary)) row", "cast(text as binary) text")
+    model = lm.fit(frame, [(w, counts[w]) for w in top], rare, counts[None], sum(counts.values()), shard=2000)
+    for i in (0, 7, 40):
+        words = texts[i].encode().split()
+        ids = lm.ids_of(words, model.place)
+        want = model.log_probabilities(ids[:-2], ids[1:-1], ids[2:]).sum() / math.log(10)
+        want += sum(math.log10((counts[w] + 0.1) / rare[lm.spelling(w)]) for w in words if w not in model.place)
+        assert math.isclose(want, got[0][i][1], rel_tol=1e-5)
+
+
+def test_lm_beats_the_unigrams(spark):
+    """On held-out rows at sf0.01 the model is at least 2 % better than the base score."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = lm.score_texts(d).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
+    assert r["s"] > 0.98 * r["b"]
 
 
 def base_rules(text):
