@@ -48,6 +48,8 @@ with recursive state(word, step, pos, tok, next_pos, next_tok, rank) as (
 select s.word, s.pos, s.tok from state s join (select word, max(step) as last from state group by word) e on e.word = s.word and e.last = s.step
 """
 
+#: Steps of long words that one query keeps; what is left open goes into the next one.
+STEPS = 256
 #: The same for long words: if no pair made with the new token outranks it, all equal pairs go at once, of overlapping ones the first.
 LONG_STEP = """
 with recursive state(word, step, pos, tok, next_pos, next_tok, rank) as (
@@ -55,7 +57,7 @@ with recursive state(word, step, pos, tok, next_pos, next_tok, rank) as (
     from (select *, lead(pos) over w as next_pos, lead(tok) over w as next_tok from start window w as (partition by word order by pos)) s
     left join merges m on m.a = s.tok and m.b = s.next_tok
     union all (
-        with open as (select word, min(rank) as best from state where rank is not null group by word),
+        with open as (select word, min(rank) as best from state where rank is not null and step < {STEPS} group by word),
         hits as (
             select *, sum(case when touches then 0 else 1 end) over (partition by word order by pos) as island, row_number() over (partition by word order by pos) as place
             from (
@@ -88,6 +90,12 @@ with recursive state(word, step, pos, tok, next_pos, next_tok, rank) as (
     )
 )
 select s.word, s.pos, s.tok from state s join (select word, max(step) as last from state group by word) e on e.word = s.word and e.last = s.step
+""".replace("{STEPS}", str(STEPS))
+
+#: Words that still have a pair to merge.
+OPEN = """
+select count(*) from (select tok, lead(tok) over (partition by word order by pos) as next_tok from tokens) t
+join merges m on m.a = t.tok and m.b = t.next_tok
 """
 
 #: The bytes that each word's tokens stand for, in their order.
@@ -122,9 +130,10 @@ def _engine(name: str):
     con = duckdb.connect()
     con.execute("set threads = 1")
     con.execute("set memory_limit = '400MB'")
+    con.execute("set temp_directory = ''")  # nothing is written beside the worker; a group of words is bounded by ROWS
     vocabulary = ranks(name)
     merges, unsafe = merge_rows(vocabulary)
-    pieces = pa.table({"tok": pa.array(list(vocabulary.values()), pa.int32()), "hex": [t.hex() for t in vocabulary]})
+    pieces = pa.table({"tok": pa.array(list(vocabulary.values()), pa.int32()), "bytes": pa.array(list(vocabulary), pa.binary()), "hex": [t.hex() for t in vocabulary]})
     for table, rows in (("merges", merges), ("unsafe", unsafe), ("pieces", pieces)):
         con.register("given", rows)
         con.execute(f"create table {table} as select * from given")
@@ -132,14 +141,32 @@ def _engine(name: str):
     return con
 
 
+#: Words that are tokens: the library looks for these first, and so they start as one row.
+WHOLE = "select w.word, p.tok from words w join pieces p on p.bytes = w.bytes"
+
+
 def _contract(con, words: list[bytes], single: np.ndarray, query: str) -> list[tuple[str, bytes]]:
     """(ids joined by commas, decoded bytes) of each word."""
+    con.register("words", pa.table({"word": np.arange(len(words), dtype=np.int32), "bytes": pa.array(words, pa.binary())}))
+    whole = con.execute(WHOLE).fetchnumpy()
+    con.unregister("words")
     sizes = np.array([len(w) for w in words], np.int64)
     at = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     pos = (np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-    con.register("start", pa.table({"word": at, "pos": pos, "tok": single[np.frombuffer(b"".join(words), np.uint8)]}))
+    letter = np.ones(len(words), bool)
+    letter[whole["word"]] = False
+    rows = letter[at]
+    start = {
+        "word": np.concatenate((at[rows], whole["word"].astype(np.int32))), "pos": np.concatenate((pos[rows], np.zeros(len(whole["word"]), np.int32))),
+        "tok": np.concatenate((single[np.frombuffer(b"".join(words), np.uint8)][rows], whole["tok"].astype(np.int32))),
+    }
+    con.register("start", pa.table(start))
     con.execute(f"create or replace temp table tokens as {query}")
     con.unregister("start")
+    while query is LONG_STEP and con.execute(OPEN).fetchone()[0]:
+        con.execute("create or replace temp table start as select * from tokens")
+        con.execute(f"create or replace temp table tokens as {query}")
+        con.execute("drop table start")
     got = con.execute("select word, tok from tokens order by word, pos").fetchnumpy()
     ends = np.cumsum(np.bincount(got["word"], minlength=len(words))).tolist()
     ids = list(map(str, got["tok"].tolist()))
@@ -152,11 +179,14 @@ def _contract(con, words: list[bytes], single: np.ndarray, query: str) -> list[t
 
 
 def encode_words(words: list[bytes], name: str) -> dict[bytes, tuple[str, bytes]]:
-    """(ids joined by commas, decoded bytes) of each distinct word, by queries over at most ROWS bytes or one word."""
+    """(ids joined by commas, decoded bytes) of each distinct word, by queries over at most ROWS bytes or one word.
+
+    Words of up to LONG bytes take one step a merge. A longer word would take thousands and takes all equal pairs of a step
+    at once, with the same result: its steps still grow with its length, so words of some ten thousand letters are slow.
+    """
     con, vocabulary = _engine(name), ranks(name)
     single = np.array([vocabulary[bytes([i])] for i in range(256)], np.int32)
-    found = {w: (str(vocabulary[w]), w) for w in words if w in vocabulary}  # the library looks for the whole word first
-    words = [w for w in words if w not in found]
+    found: dict[bytes, tuple[str, bytes]] = {}
     for query, some in ((SHORT_STEP, [w for w in words if len(w) <= LONG]), (LONG_STEP, [w for w in words if len(w) > LONG])):
         part, size = [], 0
         for w in [*some, None]:
@@ -256,9 +286,11 @@ def _encode(batches, name: str):
 
 
 def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] = ("doc_id",)) -> DataFrame:
-    """(keep, n_tokens, ids_sha256, decoded) of every row of docs; null texts are empty and have no tokens.
+    """(keep, n_tokens, ids_sha256, decoded) of every row of docs; null texts are empty and have no tokens, null ids and repeated
+    rows stay, other columns are ignored.
 
-    Texts are split by the vocabulary's pattern; the distinct words of some megabytes of texts are contracted at once.
+    Texts are split by the vocabulary's pattern; the distinct words of some megabytes of texts are contracted at once, and
+    all of them are looked up, merged and decoded in DuckDB. A task remembers words it has met.
     """
     rows = docs.select(*keep, text_bytes().alias("__text"))
     schema = rows.drop("__text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded", "binary")

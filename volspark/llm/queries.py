@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volspark.llm import bpe, decontam, lm, quality, rules, simhash, suffix, tokens, toxicity, urlfilter
-from volspark.llm.common import table
+from volspark.llm.common import LOWER, UPPER, table
+from volspark.llm.textstats import COUNTS, text_stats
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op1 that no walk decides: host, path and rule of every page."""
+    return urlfilter.parsed(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7 that nothing is learnt for: the counts of every text."""
+    return text_stats(table(spark, sf_dir, "documents").select("doc_id", "text"), []).select("doc_id", *COUNTS)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -60,9 +71,27 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_simhash_dedup, op3_suffix_dedup, op4_token_counts, op5_toxicity, op6_lm_scores,
-        op7_quality_rules, op8_quality_classifier, op9_byte_bpe, op10_decontamination, pipeline,
+        op7_quality_rules, op8_quality_classifier, op9_byte_bpe, op10_decontamination, url_rules, quality_counts, pipeline,
     )
 }
 
-#: All of these learn, iterate or call a tokenizer, which SQL cannot express; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = f"translate({{}}, '{UPPER}', '{LOWER}')"
+_FITS = "(host='{0}' OR ends_with(host,'.{0}')) AND starts_with(path,'{1}')"
+_CASES = [(v, h, p) for v, h, p in sorted(urlfilter.RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))]
+_WORD = r"[^\x20\x09-\x0D]+"
+
+#: The opN queries learn, iterate to a fixpoint, hash by functions or call tokenizers that the SQL engine does not have; tests/llm
+#: holds them against brute force. What of them SQL can express is registered apart.
+ORACLE_SQL: dict[str, str] = {
+    "url_rules": "SELECT page_id, host, path, CASE "
+    + " ".join(f"WHEN {_FITS.format(h, p)} THEN '{h + p}'" for _, h, p in _CASES)
+    + " END AS rule, CASE "
+    + " ".join(f"WHEN {_FITS.format(h, p)} THEN '{v}'" for v, h, p in _CASES)
+    + f" END AS verdict FROM (SELECT page_id, {_LOWER.format("coalesce(regexp_extract(t,'^[^/?#]*'),'')")} AS host, coalesce(regexp_extract(t,'^[^/?#]*([^?#]*)',1),'') AS path FROM (SELECT page_id, CASE WHEN contains(url,'://') THEN substr(url, strpos(url,'://')+3) END AS t FROM pages))",
+    "quality_counts": f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text,'') AS text FROM documents), w AS (SELECT r, doc_id, text, regexp_extract_all(text,'{_WORD}') AS ws FROM d),"
+    " g AS (SELECT r, unnest(range(1,len(ws)-1)) AS i, ws FROM w WHERE len(ws)>2), h AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i]||' '||ws[i+1]||' '||ws[i+2]) AS n FROM g),"
+    " c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i,i+1,i+2]) AS p FROM h WHERE n>1) GROUP BY 1),"
+    f" l AS (SELECT r, count(*)-count(DISTINCT x) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x,'{_WORD}') GROUP BY 1)"
+    " SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))),0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text,'[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(l.n,0) AS n_dup_lines, coalesce(c.n,0) AS n_repeat_words"
+    " FROM w LEFT JOIN c ON c.r=w.r LEFT JOIN l ON l.r=w.r",
+}

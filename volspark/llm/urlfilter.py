@@ -112,6 +112,13 @@ def host_verdicts(pages: DataFrame, damping: float = 0.85, rounds: int = 200, to
     return both.withColumn("blocked", (F.col("distrust") >= least_distrust) & (F.col("distrust") >= distrust_share * (F.col("trust") + F.col("distrust"))))
 
 
+def parsed(pages: DataFrame, rules=RULES) -> DataFrame:
+    """(page_id, html, host, path, rule, verdict) of every page; rule and verdict are null where none fits."""
+    url, host, path = F.col("url").cast("string"), F.col("host"), F.col("path")
+    name, verdict = rule_of(host, path, rules)
+    return pages.select("page_id", "html", host_of(url).alias("host"), path_of(url).alias("path")).withColumns({"rule": name, "verdict": verdict})
+
+
 def judge(pages: DataFrame, rules=RULES, **graph) -> DataFrame:
     """(page_id, host, path, rule, verdict, host_trust, host_distrust) of every row of pages (page_id, url, html).
 
@@ -119,9 +126,7 @@ def judge(pages: DataFrame, rules=RULES, **graph) -> DataFrame:
     are allowed, null html has no links, null ids and repeated rows stay, other columns are ignored. Of rules of one length
     that fit, the first by its text counts. Pages meet their host's verdict in a shuffle, but for hosts of very many pages.
     """
-    url, host, path = F.col("url").cast("string"), F.col("host"), F.col("path")
-    name, verdict = rule_of(host, path, rules)
-    judged = pages.select("page_id", "html", host_of(url).alias("host"), path_of(url).alias("path")).withColumns({"rule": name, "verdict": verdict})
+    judged = parsed(pages, rules)
     hosts = shared(host_verdicts(judged.select("host", "html", "verdict"), **graph))
     total = hosts.agg(F.sum("n")).first()[0] or 0
     hot = hosts.where(F.col("n") > total // HEAVY + 1).select("host").union(hosts.sparkSession.createDataFrame([("",)], "host string"))
