@@ -31,7 +31,7 @@ HEAVY = 16
 #: Classes of the words outside the vocabulary, and words in a class of it.
 SPELLINGS, CLASS = 64, 64
 #: Tokens whose probabilities are worked out at once, and that are trained on before the next are read.
-BLOCK, LESSON = 1 << 14, 1 << 19
+BLOCK, LESSON = 1 << 15, 1 << 19
 LOG10 = float(np.log(10))
 #: Parts of a model whose rows are averaged.
 NEAR, FAR, CLASSES, WORDS = range(4)
@@ -147,8 +147,10 @@ class _Pupil:
         order = np.argsort(rows, kind="stable")
         rows, grad = rows[order], grad[order]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        rows, grad = rows[first], np.add.reduceat(grad, first, axis=0)
-        self.grown[part][rows] += (grad**2).mean(axis=1, keepdims=True)
+        self._apply(part, rows[first], np.add.reduceat(grad, first, axis=0))
+
+    def _apply(self, part: int, rows: np.ndarray, grad: np.ndarray) -> None:
+        self.grown[part][rows] += (grad * grad).mean(axis=1, keepdims=True)
         self.parts[part][rows, : grad.shape[1]] -= self.rate * grad / np.sqrt(self.grown[part][rows])
 
     def _step(self, c2, c1, e, weight) -> None:
@@ -164,7 +166,12 @@ class _Pupil:
         d_false = weight[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))
         d_q = d_true[:, None] * classes[y, :-1] + d_false @ classes[fake, :-1]
         full = np.concatenate((q, one), 1)
-        self._move(CLASSES, np.concatenate((y, fake)), np.concatenate((d_true[:, None] * full, d_false.T @ full)))
+        # few classes: one product with the indicator of each token's class instead of a sort
+        is_in = np.zeros((len(classes), len(q)), np.float32)
+        is_in[y, np.arange(len(q))] = d_true
+        grad = is_in @ full
+        np.add.at(grad, fake, d_false.T @ full)
+        self._apply(CLASSES, np.arange(len(classes)), grad)
         w = np.flatnonzero(e < self.v)
         if len(w):
             low = y[w] * CLASS
@@ -231,7 +238,7 @@ def _train(batches, model: LogBilinear, noise: np.ndarray, **how):
         yield from pupil.rows()
 
 
-def fit(texts: DataFrame, top: list[tuple[bytes, int]], rare: np.ndarray, n_ends: int, n_tokens: int, width: int = 16, samples: int = 32, inside: int = 6, size: int = 1024, rounds: int = 2, rate: float = 0.1, shard: int = 1 << 20) -> LogBilinear:
+def fit(texts: DataFrame, top: list[tuple[bytes, int]], rare: np.ndarray, n_ends: int, n_tokens: int, width: int = 16, samples: int = 32, inside: int = 3, size: int = 2048, rounds: int = 2, rate: float = 0.5, shard: int = 1 << 20) -> LogBilinear:
     """A model of the words `top` (word, count) from all texts (row, text): n_tokens // `shard` + 1 shards, `rounds` rounds.
 
     rare: the smoothed counts of the spelling classes. Only the averaged parameters come to the driver.
