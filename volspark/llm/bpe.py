@@ -48,8 +48,8 @@ with recursive state(word, step, pos, tok, next_pos, next_tok, rank) as (
 select s.word, s.pos, s.tok from state s join (select word, max(step) as last from state group by word) e on e.word = s.word and e.last = s.step
 """
 
-#: Steps of long words that one query keeps; what is left open goes into the next one.
-STEPS = 256
+#: Rows of all steps that one query over long words keeps at most; what is left open goes into the next one.
+KEPT = 2_000_000
 #: The same for long words: if no pair made with the new token outranks it, all equal pairs go at once, of overlapping ones the first.
 LONG_STEP = """
 with recursive state(word, step, pos, tok, next_pos, next_tok, rank) as (
@@ -90,7 +90,7 @@ with recursive state(word, step, pos, tok, next_pos, next_tok, rank) as (
     )
 )
 select s.word, s.pos, s.tok from state s join (select word, max(step) as last from state group by word) e on e.word = s.word and e.last = s.step
-""".replace("{STEPS}", str(STEPS))
+"""
 
 #: Words that still have a pair to merge.
 OPEN = """
@@ -161,11 +161,12 @@ def _contract(con, words: list[bytes], single: np.ndarray, query: str) -> list[t
         "tok": np.concatenate((single[np.frombuffer(b"".join(words), np.uint8)][rows], whole["tok"].astype(np.int32))),
     }
     con.register("start", pa.table(start))
-    con.execute(f"create or replace temp table tokens as {query}")
+    once = "create or replace temp table tokens as " + query.replace("{STEPS}", str(min(256, max(4, KEPT // max(1, len(start["pos"]))))))
+    con.execute(once)
     con.unregister("start")
     while query is LONG_STEP and con.execute(OPEN).fetchone()[0]:
         con.execute("create or replace temp table start as select * from tokens")
-        con.execute(f"create or replace temp table tokens as {query}")
+        con.execute(once)
         con.execute("drop table start")
     got = con.execute("select word, tok from tokens order by word, pos").fetchnumpy()
     ends = np.cumsum(np.bincount(got["word"], minlength=len(words))).tolist()
