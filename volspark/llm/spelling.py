@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volspark.llm.common import ascii_lower, shared
@@ -11,6 +11,8 @@ from volspark.llm.common import ascii_lower, shared
 BETWEEN = "[^A-Za-zÀ-ÿ]+"
 #: An edit touches two bigrams at most, so of any three of a word one is left alone.
 RAREST = 3
+#: Letters of a word's equal side from which few words share it.
+STRONG = 6
 
 
 def word_counts(docs: DataFrame, least_length: int = 7, least_count: int = 2, every: int = 31) -> DataFrame:
@@ -41,23 +43,35 @@ def rarest_bigrams(words: DataFrame) -> DataFrame:
     return ranked.select("word", "n", "size", F.explode(F.slice("g", 1, RAREST)).alias("g")).select("word", "n", "size", F.col("g.at").alias("at"))
 
 
+def _keys(size: Column, at: Column, differ: int, behind: bool) -> Column:
+    """Keys of a word's bigram under which it meets words that have an edit behind the bigram, or else before it. size and at are those of
+    the shorter word of a pair whose sizes differ by 0 or 1; `word` may be either of the two.
+
+    All on the bigram's side of the edit is equal. Where that side is short, what lies across is halved: the edit is in one
+    half, so the other half is equal, too.
+    """
+    left = lambda n: F.substr("word", F.lit(1), n)
+    right = lambda n: F.substr("word", F.length("word") - n + 1)
+    key = lambda kind, *parts: F.xxhash64(F.lit(4 * kind + 2 * differ + behind), size, at, *parts)
+    side = at + 1 if behind else size - at + 1
+    own, other = (left, right) if behind else (right, left)
+    near = F.floor((size - side) / 2).cast("int")
+    return F.when(side >= STRONG, F.array(key(0, own(side)))).otherwise(F.array(key(1, own(side + near)), key(2, own(side), other(size - side - near))))
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n): both directions of all pairs of words (word, n, size) that differ by one inserted, deleted or replaced
     code point; the words are distinct and have four letters or more.
 
-    Two such words share a bigram among the three rarest of each. The edit lies behind it, and then all up to it is equal and
-    its place the same, or before it, and then all from it on is equal and its place moves by the difference in length. So
-    the join is on the bigram with the equal side of the word, the place and the length; candidates are then compared whole.
+    Two such words share a bigram that the edit leaves alone among the three rarest of each, in the same place if the edit is behind
+    it, else moved by the difference in size. The join is on hashes of the bigram's place, the size and the part of the word
+    that must then be equal; candidates are compared whole.
     """
-    rare = rarest_bigrams(words)
-    head = F.xxhash64(F.lit(0), F.substr("word", F.lit(1), F.col("at") + 1))
-    tail = F.xxhash64(F.lit(1), F.substr("word", F.col("at")))
-    key = lambda side, at, size: F.struct(side.alias("side"), at.alias("at"), size.alias("size"))
-    at, size = F.col("at"), F.col("size")
-    longer = rare.select(F.col("word").alias("b"), F.col("n").alias("nb"), F.explode(F.array(key(head, at, size), key(tail, at, size))).alias("k"))
-    keys = F.array(key(head, at, size), key(tail, at, size), key(head, at, size + 1), key(tail, at + 1, size + 1))
-    shorter = rare.select(F.col("word").alias("a"), F.col("n").alias("na"), size.alias("asize"), F.explode(keys).alias("k"))
-    met = shorter.join(longer, "k").where((F.col("asize") < F.col("k.size")) | (F.col("a") < F.col("b"))).where(F.levenshtein("a", "b", 1) == 1)
+    rare, at, size = rarest_bigrams(words), F.col("at"), F.col("size")
+    keys = lambda less, moved: [_keys(size - less, at, less, True), _keys(size - less, at - moved, less, False)]
+    shorter = rare.select(F.col("word").alias("a"), F.col("n").alias("na"), F.explode(F.concat(*keys(0, 0), *[_keys(size, at, 1, behind) for behind in (True, False)])).alias("k"))
+    longer = rare.select(F.col("word").alias("b"), F.col("n").alias("nb"), F.explode(F.concat(*keys(0, 0), *keys(1, 1))).alias("k"))
+    met = shorter.join(longer, "k").where((F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))).where(F.levenshtein("a", "b", 1) == 1)
     pairs = met.select("a", "na", "b", "nb").distinct()
     both = F.array(F.struct(F.col("a").alias("word"), F.col("na").alias("n"), F.col("b").alias("near"), F.col("nb").alias("near_n")), F.struct(F.col("b").alias("word"), F.col("nb").alias("n"), F.col("a").alias("near"), F.col("na").alias("near_n")))
     return pairs.select(F.inline(both))
