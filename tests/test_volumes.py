@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from volspark.operators import components, labels, planning, registry, resample, series, tiles
+from volspark.operators import components, hashing, labels, planning, registry, resample, series, tiles
 from volspark.sources import nifti
 
 
@@ -206,8 +206,9 @@ def test_hash_of_a_dense_array(spark):
 
     lab = frame(spark, grids, "label")
     want = {n: fnv(g.ravel()) for n, g in enumerate(grids)}
-    assert {r["vol_id"]: r["hash"] for r in labels.dense_hash(lab, shape).collect()} == want
-    assert {r["vol_id"]: r["hash"] for r in labels.dense_hash(lab.where("label > 0 or i = 0"), shape).collect()} == want
+    own = lab.select("vol_id").distinct().selectExpr("vol_id", "5 nx", "4 ny", "7 nz")
+    assert {r["vol_id"]: r["hash"] for r in hashing.dense_hash(lab, own).collect()} == want
+    assert {r["vol_id"]: r["hash"] for r in hashing.dense_hash(lab.where("label > 0 or i = 0"), own).collect()} == want
 
 
 def test_series_without_a_usable_one(spark):

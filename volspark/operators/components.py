@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from volspark.operators.graph import connected_components
 from volspark.operators.labels import PLACE, VOXEL, place_of
 
+#: A shape that holds all volumes, for places across volumes of different shapes; 2 ** 21 volumes fit into a long.
+BOUND = (1 << 14, 1 << 14, 1 << 14)
+
 
 def _runs(lab: DataFrame, shape, along: str = "k") -> DataFrame:
     """Voxels over 0 with `run`: a number of its run of neighbours with one label along an axis, the place of its first voxel

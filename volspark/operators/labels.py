@@ -137,7 +137,7 @@ def confused(a: DataFrame, b: DataFrame) -> DataFrame:
 def place_of(shape) -> Column:
     """A voxel's place in the dense array, last axis fastest."""
     _, ny, nz = shape
-    return (F.col("i") * ny + F.col("j")) * nz + F.col("k")
+    return (F.col("i").cast("long") * ny + F.col("j")) * nz + F.col("k")
 
 
 def centroids(lab: DataFrame, shape, every: int = 7) -> DataFrame:
@@ -145,27 +145,6 @@ def centroids(lab: DataFrame, shape, every: int = 7) -> DataFrame:
     return lab.where((place_of(shape) % every == 0) & (F.col("label") > 0)).groupBy("vol_id", "label").agg(*[F.avg(c).alias(f"c{c}") for c in VOXEL])
 
 
-def dense_hash(lab: DataFrame, shape) -> DataFrame:
-    """(vol_id, hash): 32-bit FNV-1a over a volume's label bytes in the order of the dense array.
-
-    Only labels over 0 are gathered, at most one image's: a run of m zero bytes multiplies by the m-th power of the prime,
-    which is looked up by the bits of m.
-    """
-    size, prime, word = math.prod(shape), 16777619, 1 << 32
-    powers = F.array(*[F.lit(pow(prime, 1 << b, word)).cast("long") for b in range(size.bit_length())])
-    low = F.lit(word - 1).cast("long")
-    times = lambda h, p: ((h * F.shiftright(p, 16)).bitwiseAND(low) * 65536 + h * p.bitwiseAND(F.lit(65535).cast("long"))).bitwiseAND(low)
-    bits = F.sequence(F.lit(0), F.lit(size.bit_length() - 1))
-
-    def skip(h: Column, m: Column) -> Column:
-        return F.aggregate(bits, h, lambda s, b: F.when(F.floor(m / F.pow(F.lit(2.0), b)) % 2 == 1, times(s, F.element_at(powers, b + 1))).otherwise(s))
-
-    cells = F.sort_array(F.collect_list(F.when(F.col("label") > 0, F.struct(place_of(shape).alias("p"), F.col("label").cast("long").alias("b")))))
-    start = F.struct(F.lit(2166136261).cast("long").alias("h"), F.lit(0).alias("at"))
-    step = lambda s, c: F.struct(times(skip(s["h"], c["p"] - s["at"]).bitwiseXOR(c["b"]), F.lit(prime).cast("long")).alias("h"), (c["p"] + 1).alias("at"))
-    return lab.groupBy("vol_id").agg(cells.alias("cells")).select("vol_id", F.aggregate("cells", start, step, lambda s: skip(s["h"], F.lit(size) - s["at"])).alias("hash"))
-
-
 def _near(centre, radius_mm: float, spacing, fixed: str | None) -> Column:
     far = sum(((F.col(c) - x) * s) * ((F.col(c) - x) * s) for c, x, s in zip(VOXEL, centre, spacing, strict=True))
     near = far <= radius_mm * radius_mm

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from volspark.functions.numeric import half
-from volspark.operators import components, images, labels, mesh, planning, registry, resample, series, tiles, verify
+from volspark.operators import components, hashing, images, labels, mesh, planning, registry, resample, series, tiles, verify
 from volspark.sources import fixtures as fx
 
 SHAPE = fx.SHAPE
@@ -455,7 +455,8 @@ def label_centroid(spark, d):
     " FROM (SELECT z.vol_id, p, coalesce(label,0) b FROM (SELECT DISTINCT vol_id FROM fx_lab) z CROSS JOIN (SELECT unnest(range(24576)) p) c LEFT JOIN fx_lab l ON l.vol_id=z.vol_id AND (l.i*32+l.j)*24+l.k=p) GROUP BY vol_id"
 )
 def label_hash_fnv1a(spark, d):
-    return labels.dense_hash(fx.labels(spark, d), SHAPE)
+    lab = fx.labels(spark, d)
+    return hashing.dense_hash(lab, lab.select("vol_id").distinct().withColumns({n: F.lit(s) for n, s in zip(("nx", "ny", "nz"), SHAPE, strict=True)}))
 
 
 _BALL = "((i-15)*0.8e0)*((i-15)*0.8e0)+((j-15)*0.8e0)*((j-15)*0.8e0)+((k-11)*1.5e0)*((k-11)*1.5e0)<=36e0"

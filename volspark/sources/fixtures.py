@@ -30,6 +30,41 @@ def labels(spark: SparkSession, sf_dir: str, pick=F.max) -> DataFrame:
     return sized.groupBy(*_voxel()).agg(pick(F.col("p_size") % 6).cast("int").alias("label"))
 
 
+def _own_sides(vol):
+    """Sides of a volume's own grid."""
+    return [32 - 4 * (vol % 3), 28 + 2 * (vol % 2), 24 - 3 * (vol % 4)]
+
+
+def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vol_id, nx, ny, nz, affine): a grid of its own shape, spacing and orientation for each volume of own_ct and own_labels."""
+    vol = F.col("vol_id")
+    sx, sy, sz = 0.7 + 0.1 * (vol % 3), F.lit(0.8), F.when(vol % 2 == 0, 1.5).otherwise(5.0)
+    o, one = F.lit(0.0), F.lit(1.0)
+    flipped = F.array(-sx, o, o, F.lit(90.0), o, -sy, o, F.lit(80.5), o, o, sz, F.lit(-7.0), o, o, o, one)
+    swapped = F.array(o, sy, o, F.lit(-3.0), o, o, -sz, F.lit(12.0), sx, o, o, F.lit(4.25), o, o, o, one)
+    turned = F.array(sx * 0.96, sy * -0.28, o, F.lit(1.0), sx * 0.28, sy * 0.96, o, F.lit(2.0), o, o, sz, F.lit(3.0), o, o, o, one)
+    vols = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / ORDERS).cast("int").alias("vol_id")).distinct()
+    sides = [n.cast("int").alias(s) for n, s in zip(_own_sides(vol), ("nx", "ny", "nz"), strict=True)]
+    return vols.select("vol_id", *sides, F.when(vol % 3 == 0, flipped).when(vol % 3 == 1, swapped).otherwise(turned).alias("affine"))
+
+
+def _own_voxel():
+    vol = F.floor(F.col("l_orderkey") / ORDERS).cast("int")
+    cells = [(F.col(c) % n).cast("int").alias(v) for c, n, v in zip(("l_orderkey", "l_partkey", "l_suppkey"), _own_sides(vol), "ijk", strict=True)]
+    return [vol.alias("vol_id"), *cells]
+
+
+def own_ct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vol_id, i, j, k, v): images on grids of their own."""
+    return table(spark, sf_dir, "lineitem").groupBy(*_own_voxel()).agg(F.max(40 * F.col("l_quantity") - 1000).cast("int").alias("v"))
+
+
+def own_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vol_id, i, j, k, label): label maps on the same grids."""
+    sized = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return sized.groupBy(*_own_voxel()).agg(F.max(F.col("p_size") % 6).cast("int").alias("label"))
+
+
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(study, series_uid, description, modality, nrows, ncols, localizer, tilt, pos, instance, file): image headers.
 
