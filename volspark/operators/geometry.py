@@ -164,33 +164,34 @@ def _taps(x: Column, n: Column, m: Column, order: int, grid: bool) -> Column:
     return F.filter(F.flatten(F.transform(_near_outputs(x, n, m, grid), own)), lambda s: s["p"] == x)
 
 
-def zoomed(vox: DataFrame, plan: DataFrame, order: int, grid: bool = False, value: str = "v") -> DataFrame:
-    """vox on grids of mx x my x mz; plan (vol_id, nx, ny, nz, mx, my, mz). Order 0 keeps the value's type, 1 and 3 give doubles.
+def zoomed(vox: DataFrame, plan: DataFrame, order: int, grid: bool = False, value: str = "v", by: tuple[str, ...] = ()) -> DataFrame:
+    """vox on grids of mx x my x mz; plan (vol_id, nx, ny, nz, mx, my, mz). Order 0 keeps the value's type, 1 and 3 give doubles. `by`
+    names further key columns of vox, such as a class.
 
     Orders 0 and 1: the outputs that a voxel is a tap of are computed in its row from the volume's sizes; an output then sums its
     eight taps in their order. Order 3 gathers lines of one axis after the other and filters them by splines.
     """
     if order not in (0, 1, 3):
         raise ValueError("order must be 0, 1 or 3")
-    own = on_grid(vox.select(*PLACE, value), plan, *SIDES, *OUT)
+    own = on_grid(vox.select(*PLACE, *by, value), plan, *SIDES, *OUT)
     if order == 3:
         own = own.withColumnRenamed(value, "v")
         for axis in VOXEL:
-            own = _spline_axis(own, axis, grid)
-        return own.select(*PLACE, F.col("v").alias(value))
+            own = _spline_axis(own, axis, grid, by)
+        return own.select(*PLACE, *by, F.col("v").alias(value))
     for c, n, m in zip(VOXEL, SIDES, OUT, strict=True):
         own = own.withColumn(f"__{c}", F.explode(_taps(F.col(c), F.col(n), F.col(m), order, grid)))
     out = [F.col(f"__{c}.o").alias(c) for c in VOXEL]
     if order == 0:
-        return own.select("vol_id", *out, value)
+        return own.select("vol_id", *out, *by, value)
     tap = F.struct((4 * F.col("__i.t") + 2 * F.col("__j.t") + F.col("__k.t")).alias("t"), (F.col(value) * F.col("__i.w") * F.col("__j.w") * F.col("__k.w")).alias("p"))
     total = F.aggregate(F.sort_array(F.collect_list("tap")), F.lit(0.0), lambda s, x: s + x["p"])
-    return own.select("vol_id", *out, tap.alias("tap")).groupBy(*PLACE).agg(total.alias(value))
+    return own.select("vol_id", *out, *by, tap.alias("tap")).groupBy(*PLACE, *by).agg(total.alias(value))
 
 
-def _spline_axis(own: DataFrame, axis: str, grid: bool) -> DataFrame:
+def _spline_axis(own: DataFrame, axis: str, grid: bool, by: tuple[str, ...]) -> DataFrame:
     """Order 3 along one axis of voxels with their volume's sizes; a line that has a voxel is whole, its missing ones are 0."""
-    rest = [c for c in PLACE if c != axis]
+    rest = [*[c for c in PLACE if c != axis], *by]
 
     @F.pandas_udf("array<double>")
     def resampled(places: pd.Series, values: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
@@ -262,25 +263,25 @@ def _nearest_to(x: Column, n: Column, m: Column) -> Column:
     return F.filter(_near_outputs(x, n, m, True), lambda o: F.least(F.greatest(F.floor(n / m * (o + 0.5) - 0.5 + 0.5), F.lit(0)), n - 1) == x)
 
 
-def resized(vox: DataFrame, plan: DataFrame, order: int, axes: Column) -> DataFrame:
+def resized(vox: DataFrame, plan: DataFrame, order: int, axes: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """vox in grid mode on mx x my x mz. Where `axes` (of plan) names an axis, each slice across it is resized for itself and kept within its
     own range, then the nearest slices are taken along it. Volumes whose size does not change stay as they are."""
     same = (F.col("nx") == F.col("mx")) & (F.col("ny") == F.col("my")) & (F.col("nz") == F.col("mz"))
     plan = shared(plan.select("vol_id", *SIDES, *OUT, F.when(same, -2).otherwise(F.coalesce(axes, F.lit(-1))).alias("axis")))
     kinds = {r["axis"] for r in plan.select("axis").distinct().collect()}  # five kinds at most
-    vox = vox.select(*PLACE, F.col("v").cast("double").alias("v"))
-    out = on_grid(vox, plan.where("axis = -2")).select(*PLACE, "v")
+    vox = vox.select(*PLACE, *by, F.col("v").cast("double").alias("v"))
+    out = on_grid(vox, plan.where("axis = -2")).select(*PLACE, *by, "v")
     if -1 in kinds:
-        out = out.unionByName(zoomed(vox, plan.where("axis = -1"), order, True))
+        out = out.unionByName(zoomed(vox, plan.where("axis = -1"), order, True, by=by))
     for n, (name, side, to) in enumerate(zip(VOXEL, SIDES, OUT, strict=True)):
         if n not in kinds:
             continue
         own = plan.where(F.col("axis") == n)
-        flat = zoomed(vox, own.withColumn(to, F.col(side)), order, True)
-        flat = _within(flat, ranges(on_grid(vox, own), own, name), ["vol_id", name])
+        flat = zoomed(vox, own.withColumn(to, F.col(side)), order, True, by=by)
+        flat = _within(flat, ranges(on_grid(vox, own), own, name, *by), ["vol_id", name, *by])
         outer = own.select("vol_id", *[F.col(m if c != name else s).alias(s) for c, s, m in zip(VOXEL, SIDES, OUT, strict=True)], F.col(to).alias("__m"))
         flat = on_grid(flat, outer, side, "__m")
-        out = out.unionByName(flat.withColumn(name, F.explode(_nearest_to(F.col(name), F.col(side), F.col("__m")))).select(*PLACE, "v"))
+        out = out.unionByName(flat.withColumn(name, F.explode(_nearest_to(F.col(name), F.col(side), F.col("__m")))).select(*PLACE, *by, "v"))
     return out
 
 

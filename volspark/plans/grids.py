@@ -41,8 +41,8 @@ _CTE |= {
 }
 
 
-def _linear(plan: str, grid: bool) -> str:
-    """Order 1 of own_ct by the sizes of a plan; outputs with a voxel among their taps."""
+def _linear(plan: str, grid: bool, src: str = "own_ct", key: str = "") -> str:
+    """Order 1 of a table of voxels by the sizes of a plan; outputs with a voxel among their taps. key: one more column of the table."""
 
     def axis(n: str, m: str) -> str:
         c = "(o+0.5e0)*(n/m)-0.5e0" if grid else "o*CASE WHEN m>1 THEN (n-1)/(m-1) ELSE 1e0 END"
@@ -50,9 +50,10 @@ def _linear(plan: str, grid: bool) -> str:
 
     taps = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
     total = "+".join(f"coalesce(t{a}{b}{c}.v*x.w{a}*y.w{b}*z.w{c},0e0)" for a, b, c in taps)
-    joins = " ".join(f"LEFT JOIN own_ct t{a}{b}{c} ON t{a}{b}{c}.vol_id=x.vol_id AND t{a}{b}{c}.i=x.p{a} AND t{a}{b}{c}.j=y.p{b} AND t{a}{b}{c}.k=z.p{c}" for a, b, c in taps)
+    joins = " ".join(f"LEFT JOIN {src} t{a}{b}{c} ON t{a}{b}{c}.vol_id=x.vol_id AND{f" t{a}{b}{c}.{key}=e.{key} AND" if key else ""} t{a}{b}{c}.i=x.p{a} AND t{a}{b}{c}.j=y.p{b} AND t{a}{b}{c}.k=z.p{c}" for a, b, c in taps)
     some = " OR ".join(f"t{a}{b}{c}.v IS NOT NULL" for a, b, c in taps)
-    return f"SELECT x.vol_id, CAST(x.o AS INT) AS i, CAST(y.o AS INT) AS j, CAST(z.o AS INT) AS k, {total} AS v FROM {axis('nx', 'mx')} x JOIN {axis('ny', 'my')} y ON y.vol_id=x.vol_id JOIN {axis('nz', 'mz')} z ON z.vol_id=x.vol_id {joins} WHERE {some}"
+    every = f"JOIN (SELECT DISTINCT vol_id, {key} FROM {src}) e ON e.vol_id=x.vol_id" if key else ""
+    return f"SELECT x.vol_id, CAST(x.o AS INT) AS i, CAST(y.o AS INT) AS j, CAST(z.o AS INT) AS k, {f'e.{key}, ' if key else ''}{total} AS v FROM {axis('nx', 'mx')} x {every} JOIN {axis('ny', 'my')} y ON y.vol_id=x.vol_id JOIN {axis('nz', 'mz')} z ON z.vol_id=x.vol_id {joins} WHERE {some}"
 
 
 def _zoom_plan(spark, d):
@@ -104,10 +105,12 @@ def grid_uncrop(spark, d):
     return geometry.uncropped(geometry.cropped(fx.own_ct(spark, d), fx.grids(spark, d), boxes), boxes)
 
 
-@_query(
-    "SELECT l.vol_id, CAST(x.o AS INT) AS i, CAST(y.o AS INT) AS j, CAST(z.o AS INT) AS k, label FROM own_lab l"
-    + "".join(f" JOIN (SELECT vol_id, o, least(floor(o*CASE WHEN m>1 THEN (n-1)/(m-1) ELSE 1e0 END+0.5e0),n-1) p FROM (SELECT vol_id, CAST({n} AS DOUBLE) n, CAST({m} AS DOUBLE) m, unnest(range({m})) o FROM own_zoom)) {t} ON {t}.vol_id=l.vol_id AND {t}.p={c}" for t, c, n, m in (("x", "i", "nx", "mx"), ("y", "j", "ny", "my"), ("z", "k", "nz", "mz")))
-)
+def _nearest(plan: str, src: str) -> str:
+    """Order 0 of a table of labels."""
+    return f"SELECT l.vol_id, CAST(x.o AS INT) AS i, CAST(y.o AS INT) AS j, CAST(z.o AS INT) AS k, label FROM {src} l" + "".join(f" JOIN (SELECT vol_id, o, least(floor(o*CASE WHEN m>1 THEN (n-1)/(m-1) ELSE 1e0 END+0.5e0),n-1) p FROM (SELECT vol_id, CAST({n} AS DOUBLE) n, CAST({m} AS DOUBLE) m, unnest(range({m})) o FROM {plan})) {t} ON {t}.vol_id=l.vol_id AND {t}.p={c}" for t, c, n, m in (("x", "i", "nx", "mx"), ("y", "j", "ny", "my"), ("z", "k", "nz", "mz")))
+
+
+@_query(_nearest("own_zoom", "own_lab"))
 def grid_zoom_nearest(spark, d):
     return geometry.zoomed(fx.own_labels(spark, d), _zoom_plan(spark, d), 0, value="label")
 
