@@ -87,6 +87,16 @@ def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def organs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vol_id, i, j, k, label): two ellipsoids in each volume, on the grids of own_labels."""
+    cells = grids(spark, sf_dir)
+    for c, n in zip("ijk", ("nx", "ny", "nz"), strict=True):
+        cells = cells.withColumn(c, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    far = lambda x, y, z, r: sum(F.pow((F.col(c) - F.col(n) * f) / s, 2) for c, n, f, s in zip("ijk", ("nx", "ny", "nz"), (x, y, z), r, strict=True))
+    label = F.when(far(0.3, 0.4, 0.5, (6.5, 8.0, 5.5)) <= 1, 2).when(far(0.75, 0.6, 0.45, (4.0, 5.0, 6.0)) <= 1, 5)
+    return cells.select("vol_id", "i", "j", "k", label.alias("label")).where("label is not null")
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image slices with their pixels (operators.building), a series for each order: unpositioned, tilted, uneven, doubled and turned ones among
     them. Images of 4 x 3 words of 16 bits, of which 12 or all are stored."""
