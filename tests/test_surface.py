@@ -34,7 +34,7 @@ def closed(triangles):
     return all(c == 1 and n[m, q, p] == 1 for (m, p, q), c in n.items())
 
 
-def test_balls(spark, scene, monkeypatch):
+def test_balls(spark, scene):
     lab, grids, rows = scene
     opts = spark.createDataFrame([(3, 1.0, 1.5, 20, 0.0), (4, 0.0, 1.0, 20, 0.03)], "label int, target_mm double, sigma_mm double, taubin int, least_ml double")
     vertices, triangles = (df.cache() for df in surface.surfaces(lab, grids, opts))
@@ -42,15 +42,23 @@ def test_balls(spark, scene, monkeypatch):
     got = {r["mesh_id"]: r["ml"] for r in mesh.volumes(triangles, vertices).collect()}
     # a blur of width s moves the half level of a ball of radius r inwards by s * s / r
     want = {m: 4 / 3 * math.pi * (r - s * s / r) ** 3 / 1000 for m, r, s in ((3, 12.0, 1.5), (260, 9.0, 1.0))}
-    print(got, want)
     assert set(got) == set(want) and all(abs(abs(got[m]) / want[m] - 1) < 0.02 for m in want)
     assert got[260] > 0  # normals point outwards where the affine keeps the hand
     points = np.array([(r["x"], r["y"], r["z"]) for r in vertices.where("mesh_id = 260").collect()])
     assert np.abs(points.mean(0) - 12.64).max() < 0.1  # no vertex of the speck
-    monkeypatch.setattr(surface, "BRICK", 5)
-    monkeypatch.setattr(surface, "TURNS", 3)
-    again = surface.surfaces(lab, grids, opts)[0]
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, vertices.collect()))  # the bricks' size changes nothing
+
+
+def test_bricks(spark, scene, monkeypatch):
+    """The size of bricks changes nothing."""
+    lab, grids, _ = scene
+    opts = spark.createDataFrame([(4, 0.0, 0.0, 2)], "label int, target_mm double, sigma_mm double, taubin int")
+    one = lab.where("label = 4")
+    own = surface.frames(one, grids, opts)
+    vertices, triangles = surface.net(surface.crossed_cells(surface.blocks(one, own)).cache())
+    whole = sorted(map(tuple, surface.smoothed(vertices, triangles, own).collect()))
+    monkeypatch.setattr(surface, "BRICK", 9)
+    monkeypatch.setattr(surface, "TURNS", 2)
+    assert sorted(map(tuple, surface.smoothed(vertices, triangles, own).collect())) == whole
 
 
 def test_blur(spark, scene):

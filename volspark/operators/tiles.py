@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volspark.functions.numeric import half
@@ -18,11 +18,15 @@ def starts(n: int, tile: int, step: float) -> list[int]:
     return [round((n - tile) / (count - 1) * s) if count > 1 else 0 for s in range(count)]
 
 
-def tile_table(spark: SparkSession, shape, tile, step: float) -> DataFrame:
-    """(tile, si, sj, sk), the last axis fastest; a plan of one volume's tiles."""
-    a, b, c = (starts(n, t, step) for n, t in zip(shape, tile, strict=True))
-    rows = [(x, y, z) for x in a for y in b for z in c]
-    return spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "tile int, si int, sj int, sk int")
+def tile_list(grids: DataFrame, tile, step: float) -> DataFrame:
+    """(vol_id, tile, si, sj, sk) of every volume (vol_id, nx, ny, nz), each padded to a tile at least: starts evenly spread along each axis and
+    rounded half to even, numbered with the last axis fastest."""
+    out = grids.select("vol_id", "nx", "ny", "nz")
+    for c, n, t in zip(VOXEL, ("nx", "ny", "nz"), tile, strict=True):
+        room = F.greatest(F.col(n) - t, F.lit(0))
+        out = out.withColumn(f"n{c}", (F.ceil(room / (t * step)) + 1).cast("int")).withColumn(f"t{c}", F.explode(F.sequence(F.lit(0), F.col(f"n{c}") - 1)))
+        out = out.withColumn(f"s{c}", F.when(F.col(f"n{c}") > 1, F.rint(room / (F.col(f"n{c}") - 1) * F.col(f"t{c}"))).otherwise(0.0).cast("int"))
+    return out.select("vol_id", ((F.col("ti") * F.col("nj") + F.col("tj")) * F.col("nk") + F.col("tk")).alias("tile"), "si", "sj", "sk")
 
 
 def covering(vol: DataFrame, shape, tile, step: float) -> DataFrame:

@@ -24,7 +24,7 @@ _CTE = {
     "fx_slices": "SELECT o_custkey study, CAST(l_orderkey AS VARCHAR) series_uid, CASE WHEN o_orderpriority='1-URGENT' THEN 'Portal venous' ELSE o_orderpriority END AS description, CASE WHEN o_orderstatus='P' THEN 'MR' ELSE 'CT' END modality,"
     " CASE WHEN l_returnflag='R' THEN 256 ELSE 512 END nrows, CASE WHEN l_linestatus='O' THEN 512 ELSE 256 END ncols, l_discount>=0.09 localizer, CASE WHEN l_orderkey%5=0 AND l_linenumber=2 THEN 0.001e0 ELSE 0e0 END tilt,"
     " CASE WHEN l_orderkey%7<>0 THEN 5e0*l_linenumber END pos, l_linenumber AS instance, l_linenumber||'_'||l_partkey||'_'||l_suppkey AS file FROM lineitem JOIN orders ON l_orderkey=o_orderkey",
-    "fx_runs": "SELECT event_type environment, CASE WHEN event_id%4<2 THEN 'cpu' ELSE 'webgpu' END path, user_id case_id, event_id%3 task, row_number() OVER (PARTITION BY event_type,user_id,event_id%3 ORDER BY ts,event_id) rep, value AS secs, event_id%3 AS hash FROM events",
+    "fx_runs": "SELECT *, case_id*10+task+CASE WHEN case_id%5=0 AND rep=2 THEN 1 ELSE 0 END+CASE WHEN case_id%3=0 AND path='cpu' THEN 2 ELSE 0 END AS hash FROM (SELECT event_type environment, CASE WHEN event_id%4<2 THEN 'cpu' ELSE 'webgpu' END path, user_id case_id, event_id%3 task, row_number() OVER (PARTITION BY event_type,user_id,event_id%3 ORDER BY ts,event_id) rep, value AS secs FROM events)",
     "fx_want": "SELECT case_id, task, path, max(hash) AS want FROM fx_runs WHERE case_id%2=0 AND rep=1 GROUP BY 1,2,3",
     "fx_both": "SELECT coalesce(x.vol_id,y.vol_id) vol_id, coalesce(x.i,y.i) i, coalesce(x.j,y.j) j, coalesce(x.k,y.k) k, coalesce(x.label,0) a, coalesce(y.label,0) b FROM fx_lab x FULL JOIN fx_lab2 y ON x.vol_id=y.vol_id AND x.i=y.i AND x.j=y.j AND x.k=y.k",
     "modal": "SELECT series_uid, nrows, ncols, n FROM (SELECT *, row_number() OVER (PARTITION BY series_uid ORDER BY n DESC, nrows, ncols) r FROM (SELECT series_uid, nrows, ncols, count(*) n FROM fx_slices WHERE NOT localizer GROUP BY 1,2,3)) WHERE r=1",
@@ -35,7 +35,7 @@ _CTE = {
     "ranked": "SELECT *, row_number() OVER (PARTITION BY study ORDER BY problem IS NOT NULL, modality<>'CT', n_slices DESC, series_uid) AS place FROM cat",
     "inside": "SELECT vol_id, greatest(min(i)-2,0) li, least(max(i)+2,31) hi, greatest(min(j)-2,0) lj, least(max(j)+2,31) hj, greatest(min(k)-1,0) lk, least(max(k)+1,23) hk FROM fx_lab WHERE label=5 AND i BETWEEN 6 AND 12 AND j BETWEEN 8 AND 20 AND k<9 GROUP BY 1",
     "fx_cls": "SELECT 'task' kind, 'total' AS owner, CAST(n_nationkey+1 AS INT) idx, lower(replace(n_name,' ','_')) AS name FROM nation UNION ALL SELECT 'part', CAST(n_regionkey+291 AS VARCHAR), CAST(n_nationkey%5+1+n_nationkey//5*5 AS INT), lower(replace(n_name,' ','_')) FROM nation",
-    "fx_ver": "SELECT CAST(c_custkey%5 AS INT) mesh_id, CAST(c_custkey//5 AS INT) vid, CAST(c_custkey*3%17 AS DOUBLE) x, CAST(c_custkey*5%23 AS DOUBLE) y, CAST(c_custkey*7%29 AS DOUBLE) z FROM customer",
+    "fx_ver": "SELECT CAST(c_custkey//30 AS INT) mesh_id, CAST(c_custkey%30 AS INT) vid, CAST(c_custkey*3%17 AS DOUBLE) x, CAST(c_custkey*5%23 AS DOUBLE) y, CAST(c_custkey*7%29 AS DOUBLE) z FROM customer",
     "fx_tri": "SELECT mesh_id, vid AS tid, vid AS a, vid+1 AS b, CAST(vid*7%29 AS INT) AS c FROM fx_ver WHERE vid BETWEEN 1 AND 27",
     "pts": "SELECT t.mesh_id, t.tid, t.a, t.b, t.c, p.x ax, p.y ay, p.z az, q.x bx, q.y b_y, q.z bz, r.x cx, r.y cy, r.z cz FROM fx_tri t JOIN fx_ver p ON p.mesh_id=t.mesh_id AND p.vid=t.a JOIN fx_ver q ON q.mesh_id=t.mesh_id AND q.vid=t.b JOIN fx_ver r ON r.mesh_id=t.mesh_id AND r.vid=t.c",
     "facets": "SELECT *, (b_y-ay)*(cz-az)-(bz-az)*(cy-ay) u, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) v, (bx-ax)*(cy-ay)-(b_y-ay)*(cx-ax) w FROM pts",
@@ -229,14 +229,12 @@ def relative_rms(spark, d):
     return images.relative_rms(ct, ct.withColumn("hu", F.col("hu") - F.col("hu") % 7))
 
 
-_TAPS = images.blur_weights(0.9)
-_R = len(_TAPS) // 2
+_BELL = "(SELECT t, CAST(g/sum(g) OVER () AS FLOAT) w FROM (SELECT t, CAST(CAST(exp(-0.5e0*t*t/(0.9e0*0.9e0)) AS FLOAT) AS DOUBLE) g FROM (SELECT unnest(range(-3,4)) t)))"
 
 
 @_query(
-    "SELECT vol_id, i, j, o AS k, CAST(list_reduce(list_prepend(CAST(0 AS FLOAT), list(p ORDER BY t)), lambda s, x: s+x) AS DOUBLE) AS v FROM (SELECT vol_id, i, j, CAST(k-t AS INT) o, t, CAST(CAST(w AS FLOAT)*CAST(hu AS FLOAT) AS FLOAT) p FROM fx_ct, (VALUES "
-    + ",".join(f"({t},{_TAPS[_R + t]!r})" for t in range(-_R, _R + 1))
-    + ") f(t,w)) WHERE o BETWEEN 0 AND 23 GROUP BY 1,2,3,4"
+    "SELECT vol_id, i, j, o AS k, CAST(list_reduce(list_prepend(CAST(0 AS FLOAT), list(p ORDER BY t)), lambda s, x: s+x) AS DOUBLE) AS v FROM (SELECT vol_id, i, j, CAST(k-t AS INT) o, t, CAST(w*CAST(hu AS FLOAT) AS FLOAT) p"
+    f" FROM fx_ct, {_BELL} f) WHERE o BETWEEN 0 AND 23 GROUP BY 1,2,3,4"
 )
 def gaussian_blur(spark, d):
     return images.blurred(fx.ct(spark, d).withColumn("v", F.col("hu")), "k", SHAPE[2], 0.9)
@@ -367,13 +365,11 @@ def voxel_probe(spark, d):
     return labels.picked(fx.ct(spark, d), labels.picked(fx.labels(spark, d), points))
 
 
-_STARTS = [tiles.starts(n, t, STEP) for n, t in zip(SHAPE, TILE, strict=True)]
-_COVER = "SELECT c.*, si, sj, sk FROM fx_ct c" + "".join(f" JOIN (SELECT unnest({s}) s{a}) t{a} ON s{a}<={a} AND {a}<s{a}+{t}" for a, s, t in zip("ijk", _STARTS, TILE, strict=True))
+def _starts(n: int, t: int, name: str) -> str:
+    return f"(SELECT CAST(round_even({n - t}e0/(c-1)*x,0) AS INT) {name} FROM (SELECT c, unnest(range(c)) x FROM (SELECT CAST(ceil({n - t}/({t}*{STEP}e0))+1 AS INT) c)))"
 
 
-@_query(f"SELECT CAST(row_number() OVER (ORDER BY si, sj, sk)-1 AS INT) tile, si, sj, sk FROM (SELECT unnest({_STARTS[0]}) si) CROSS JOIN (SELECT unnest({_STARTS[1]}) sj) CROSS JOIN (SELECT unnest({_STARTS[2]}) sk)")
-def tile_list(spark, d):
-    return tiles.tile_table(spark, SHAPE, TILE, STEP)
+_COVER = "SELECT c.*, si, sj, sk FROM fx_ct c" + "".join(f" JOIN {_starts(n, t, f's{a}')} t{a} ON s{a}<={a} AND {a}<s{a}+{t}" for a, n, t in zip("ijk", SHAPE, TILE, strict=True))
 
 
 @_query(f"SELECT vol_id, si, sj, sk, count(*) n FROM ({_COVER}) GROUP BY 1,2,3,4")
@@ -390,22 +386,28 @@ def tile_accumulate_fp16(spark, d):
     return tiles.accumulated_half(tiles.covering(fx.ct(spark, d), SHAPE, TILE, STEP), value)
 
 
-_GAUSS = "(" + str(tiles.importance(TILE).ravel().tolist()) + ")[((i-si)*12+j-sj)*10+k-sk+1]"
+def _line(n: int, c: str) -> str:
+    """A Gaussian of an eighth of a tile's side, cut at four widths, with sum 1."""
+    sigma, reach = n / 8, int(4 * n / 8 + 0.5)
+    return f"(SELECT x s{c}, CASE WHEN abs(x-{n // 2})<={reach} THEN exp(-0.5e0/({sigma}e0*{sigma}e0)*(x-{n // 2})*(x-{n // 2}))/(SELECT sum(exp(-0.5e0/({sigma}e0*{sigma}e0)*y*y)) FROM (SELECT unnest(range(-{reach},{reach + 1})) y)) ELSE 0e0 END g{c} FROM (SELECT unnest(range({n})) x))"
+
+
+_CTE["fx_bell"] = f"SELECT *, CASE WHEN h=0 THEN min(h) FILTER (h>0) OVER () ELSE h END AS weight FROM (SELECT xi, xj, xk, list_transform([CAST(CAST(g/(max(g) OVER ()/10e0) AS FLOAT) AS DOUBLE)], lambda x: {_HALF})[1] h FROM (SELECT si xi, sj xj, sk xk, gi*gj*gk g FROM {_line(12, 'i')}, {_line(12, 'j')}, {_line(10, 'k')}))"
 _BLEND = (
     f"SELECT {_P}, class, list_transform([CAST(CAST({_FOLD.format('p')} AS FLOAT)/CAST({_FOLD.format('weight')} AS FLOAT) AS DOUBLE)], lambda x: {_HALF})[1] AS logit"
-    f" FROM (SELECT *, list_transform([(CASE class WHEN 0 THEN hu*0.25e0 ELSE si-sj+k*class END)*weight], lambda x: {_HALF})[1] AS p FROM (SELECT *, {_GAUSS} AS weight FROM ({_COVER}), (VALUES (0),(1),(2)) f(class) WHERE vol_id=0)) GROUP BY vol_id,i,j,k,class"
+    f" FROM (SELECT *, list_transform([(CASE class WHEN 0 THEN hu*0.25e0 ELSE si-sj+k*class END)*weight], lambda x: {_HALF})[1] AS p FROM (SELECT c.*, weight, class FROM ({_COVER}) c JOIN fx_bell ON xi=i-si AND xj=j-sj AND xk=k-sk, (VALUES (0),(1),(2)) f(class))) GROUP BY vol_id,i,j,k,class"
 )
 
 
 def _blended(spark, d):
-    cover = tiles.weighed(tiles.covering(fx.ct(spark, d).where("vol_id = 0"), SHAPE, TILE, STEP), TILE).withColumn("class", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    cover = tiles.weighed(tiles.covering(fx.ct(spark, d), SHAPE, TILE, STEP), TILE).withColumn("class", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     score = F.when(F.col("class") == 0, F.col("hu") * 0.25).otherwise((F.col("si") - F.col("sj") + F.col("k") * F.col("class")).cast("double"))
     return tiles.blended(cover.withColumn("score", score))
 
 
 @_query(_BLEND)
 def tile_blend_gaussian(spark, d):
-    """Class scores of the first volume's tiles, blended with the tiles' importance."""
+    """Class scores of the volumes' tiles, blended with the tiles' importance."""
     return _blended(spark, d)
 
 
@@ -475,7 +477,10 @@ def erase_disc(spark, d):
 _CENTRES = labels.stroke((4, 6, 11), (24, 20, 11), SPACING, 4.0)
 
 
-@_query(f"SELECT {_P}, CASE WHEN {' OR '.join(f'((i-{a})*0.8e0)*((i-{a})*0.8e0)+((j-{b})*0.8e0)*((j-{b})*0.8e0)+((k-{c})*1.5e0)*((k-{c})*1.5e0)<=16e0' for a, b, c in _CENTRES)} THEN 9 ELSE label END AS label FROM fx_lab")
+_PATH = "SELECT floor(4+20*t/n+0.5e0) ci, floor(6+14*t/n+0.5e0) cj, 11 AS ck FROM (SELECT n, unnest(range(1,CAST(n AS INT)+1)) t FROM (SELECT ceil(sqrt((20*0.8e0)*(20*0.8e0)+(14*0.8e0)*(14*0.8e0))/greatest(0.3e0,4e0/2)) n))"
+
+
+@_query(f"SELECT {_P}, CASE WHEN EXISTS (SELECT 1 FROM ({_PATH}) WHERE ((i-ci)*0.8e0)*((i-ci)*0.8e0)+((j-cj)*0.8e0)*((j-cj)*0.8e0)+((k-ck)*1.5e0)*((k-ck)*1.5e0)<=16e0) THEN 9 ELSE label END AS label FROM fx_lab")
 def brush_stroke(spark, d):
     lab = fx.labels(spark, d)
     for centre in _CENTRES:
@@ -591,7 +596,10 @@ def mesh_stl(spark, d):
     return mesh.stl(fx.triangles(spark, d), fx.vertices(spark, d))
 
 
-@_query(None)
+_RAY = "SELECT *, ux*hx+uy*hy+uz*hz det, sy*uz-sz*uy qx, sz*ux-sx*uz qy, sx*uy-sy*ux qz FROM (SELECT *, 0.6e0*vz-0.5e0*vy hx, 0.5e0*vx-0.7e0*vz hy, 0.7e0*vy-0.6e0*vx hz FROM (SELECT mesh_id, tid, bx-ax ux, b_y-ay uy, bz-az uz, cx-ax vx, cy-ay vy, cz-az vz, -50e0-ax sx, -40e0-ay sy, -30e0-az sz FROM pts))"
+
+
+@_query(f"SELECT mesh_id, CAST(arg_min(tid, struct_pack(a := t, b := tid)) AS INT) AS tid, min(t) AS t FROM (SELECT *, (sx*hx+sy*hy+sz*hz)/det p, (0.7e0*qx+0.6e0*qy+0.5e0*qz)/det q, (vx*qx+vy*qy+vz*qz)/det t FROM ({_RAY}) WHERE abs(det)>1e-12) WHERE p>=0 AND q>=0 AND p+q<=1 AND t>0 GROUP BY 1")
 def mesh_pick(spark, d):
     return mesh.picked(fx.triangles(spark, d), fx.vertices(spark, d), (-50.0, -40.0, -30.0), (0.7, 0.6, 0.5))
 
@@ -635,9 +643,9 @@ def runs_identical(spark, d):
     return verify.identical_runs(fx.runs(spark, d))
 
 
-@_query("SELECT environment, case_id, task, CAST(sum(CAST(secs AS DECIMAL(18,6))) AS DOUBLE)/count(*) AS mean, count(*) n FROM fx_runs WHERE rep IN (2,3) GROUP BY 1,2,3")
+@_query("SELECT environment, case_id, task, CAST(sum(CAST(secs AS DECIMAL(18,6))) AS DOUBLE)/count(*) AS mean, count(*) n FROM fx_runs WHERE rep IN (2,3) AND path='webgpu' GROUP BY 1,2,3")
 def gpu_mean_runs_2_3(spark, d):
-    return verify.mean_of_later(fx.runs(spark, d), [2, 3])
+    return verify.mean_of_later(fx.runs(spark, d).where(verify.path() == "webgpu"), [2, 3])
 
 
 def _want(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from volspark.operators import components, geometry, hashing
+from volspark.operators import components, geometry, hashing, tiles
 from volspark.operators.graph import shared
 from volspark.plans.catalogue import _CTE, _query
 from volspark.sources import fixtures as fx
@@ -152,3 +152,12 @@ def grid_label_hash(spark, d):
 @_query(None)
 def grid_component_sizes(spark, d):
     return components.sizes(components.components(fx.own_labels(spark, d), components.BOUND))
+
+
+def _own_starts(n: str, t: int, c: str) -> str:
+    return f"(SELECT vol_id, m n{c}, t t{c}, CAST(CASE WHEN m>1 THEN round_even(greatest({n}-{t},0)/CAST(m-1 AS DOUBLE)*t,0) ELSE 0 END AS INT) s{c} FROM (SELECT *, unnest(range(m)) t FROM (SELECT vol_id, {n}, CAST(ceil(greatest({n}-{t},0)/({t}*0.5e0))+1 AS INT) m FROM own_grid)))"
+
+
+@_query(f"SELECT a.vol_id, CAST((ti*nj+tj)*nk+tk AS INT) AS tile, si, sj, sk FROM {_own_starts('nx', 12, 'i')} a JOIN {_own_starts('ny', 30, 'j')} b ON b.vol_id=a.vol_id JOIN {_own_starts('nz', 10, 'k')} c ON c.vol_id=a.vol_id")
+def tile_list(spark, d):
+    return tiles.tile_list(fx.grids(spark, d), (12, 30, 10), 0.5)
