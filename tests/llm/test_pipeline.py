@@ -73,3 +73,29 @@ def test_replay(spark, rows, tmp_path):
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = [(r[0], len(ids := enc.encode_ordinary(r[1])), sha(",".join(map(str, ids)).encode()), sha(r[1].encode())) for r in left]
     assert got == sorted(want, key=repr)
+
+
+def test_columns_of_any_names(spark, docs, tmp_path):
+    """Extra columns with names that operators use inside pass through all stages."""
+    from pyspark.sql import functions as F
+
+    names = ("score", "kept", "n_bytes", "n_removed", "n_spans", "__text", "fp", "row", "__row", "leak", "item_id", "a.b", "component_id")
+    few = docs.select("doc_id", "text").limit(30).withColumns({c: F.lit(c) for c in names})
+    few.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "what is the capital of the country that lies between the two rivers")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, few, str(tmp_path))
+        assert out.columns == few.columns, name
+        for r in out.collect():
+            assert [r[c] for c in names] == list(names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, few, str(tmp_path)).count() == few.count()
+
+
+def test_links_with_a_url_inside(spark):
+    """A relative link that carries another url is no link to that host."""
+    from volspark.llm import urlfilter
+
+    html = '<a href="/r?u=http://bad.org/es/1">a</a><a href="https://good.com/x?u=http://bad.org/">b</a><a href="//third.net/p">c</a><a href="q//bad.org">d</a>'
+    pages = spark.createDataFrame([("own.io", html)], "host string, html string")
+    assert sorted((r["src"], r["dst"]) for r in urlfilter.host_edges(pages).collect()) == [("own.io", "good.com"), ("own.io", "third.net")]

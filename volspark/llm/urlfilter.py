@@ -46,11 +46,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
+#: A link with a host of its own; // further on is part of a path or query.
+ABSOLUTE = r"^([A-Za-z][A-Za-z0-9+.-]*:)?//"
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n): links between different hosts; relative links stay on their host and drop out."""
     links = pages.select(
         F.col("host").alias("src"),
-        F.explode(F.filter(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), 1)), lambda u: u.contains("//"))).alias("u"),
+        F.explode(F.filter(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), 1)), lambda u: u.rlike(ABSOLUTE))).alias("u"),
     )
     url = F.when(F.col("u").startswith("//"), F.concat(F.lit("http:"), F.col("u"))).otherwise(F.col("u"))
     edges = links.select("src", host_of(url).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
