@@ -36,7 +36,7 @@ _CTE |= {
     + " FROM (SELECT *, 3-t0-t1 t2 FROM (SELECT *, " + _first_most([f"CASE WHEN t0={r} THEN -1 ELSE {x} END" for r, x in enumerate(_LEAN[1])]) + " t1 FROM (SELECT *, " + _first_most(_LEAN[0]) + " t0 FROM own_grid))))",
     "own_box": "SELECT vol_id, CAST(greatest(li-CAST(trunc(2e0/x) AS INT),0) AS INT) lo_i, CAST(least(hi+CAST(trunc(2e0/x) AS INT),nx-1) AS INT) hi_i, CAST(greatest(lj-CAST(trunc(2e0/y) AS INT),0) AS INT) lo_j, CAST(least(hj+CAST(trunc(2e0/y) AS INT),ny-1) AS INT) hi_j, CAST(greatest(lk-CAST(trunc(2e0/z) AS INT),0) AS INT) lo_k, CAST(least(hk+CAST(trunc(2e0/z) AS INT),nz-1) AS INT) hi_k, affine a"
     f" FROM (SELECT g.*, b.* EXCLUDE (vol_id), {_SIZE[0]} x, {_SIZE[1]} y, {_SIZE[2]} z FROM own_grid g JOIN (SELECT vol_id, min(i) li, max(i) hi, min(j) lj, max(j) hj, min(k) lk, max(k) hk FROM own_lab WHERE label=5 AND i BETWEEN 3 AND 12 AND j BETWEEN 8 AND 20 AND k<9 AND vol_id%4<3 GROUP BY 1) b ON b.vol_id=g.vol_id)",
-    "own_zoom": "SELECT vol_id, nx, ny, nz, CAST(20+vol_id%5 AS INT) mx, CAST(33 AS INT) my, CAST(1+vol_id%4*9 AS INT) mz FROM own_grid",
+    "own_zoom": "SELECT vol_id, nx, ny, nz, CAST(20+vol_id%5 AS INT) mx, CAST(33 AS INT) my, CAST(5+vol_id%4*9 AS INT) mz FROM own_grid",
     "own_step": "SELECT vol_id, nx, ny, nz, CAST(round_even(nx*zx,0) AS INT) mx, CAST(round_even(ny*zy,0) AS INT) my, CAST(round_even(nz*zz,0) AS INT) mz, [" + ",".join(f"affine[{4 * r + c + 1}]" + (f"/z{'xyz'[c]}" if c < 3 and r < 3 else "") for r in range(4) for c in range(4)) + f"] AS moved FROM (SELECT *, {_SIZE[0]}/1.5e0 zx, 1e0 zy, CASE WHEN {_SIZE[2]}=1.5e0 THEN 1e0 ELSE {_SIZE[2]}/1.5e0 END zz FROM own_grid)",
 }
 
@@ -58,7 +58,7 @@ def _linear(plan: str, grid: bool, src: str = "own_ct", key: str = "") -> str:
 
 def _zoom_plan(spark, d):
     vol = F.col("vol_id")
-    sizes = {"mx": 20 + vol % 5, "my": F.lit(33), "mz": 1 + vol % 4 * 9}
+    sizes = {"mx": 20 + vol % 5, "my": F.lit(33), "mz": 5 + vol % 4 * 9}
     return fx.grids(spark, d).withColumns({m: c.cast("int") for m, c in sizes.items()})
 
 
