@@ -180,7 +180,8 @@ def test_lm_scores_by_hand(spark):
     texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, 60) % 90) for _ in range(80)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = [sorted((r["doc_id"], r["score"]) for r in lm.score_texts(docs.repartition(n), vocabulary=20, frequent=30, shard=2000).collect()) for n in (1, 6)]
-    assert np.allclose([x[1] for x in got[0]], [x[1] for x in got[1]], rtol=1e-9)
+    # scores are sums of single-precision products (eps 6e-8), whose last bits depend on the batch and the machine's matrix library
+    assert np.allclose([x[1] for x in got[0]], [x[1] for x in got[1]], rtol=1e-7)
     train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
     counts = Counter(w for t in train for w in [*t.encode().split(), None])
     top = sorted((w for w in counts if w), key=lambda w: (-counts[w], w))[:20]
