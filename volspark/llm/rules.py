@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from volspark.llm import simhash
 from volspark.llm.common import shared
 from volspark.llm.textstats import COUNTS, text_stats
+from volspark.operators.labels import small
 
 #: (statistic, 1: large values are bad, -1: small values are bad)
 RULES = [
     ("symbols_per_word", 1), ("dup_line_share", 1), ("repeat_share", 1), ("upper_share", 1), ("shouts_per_word", 1),
     ("bars_per_word", 1), ("top_word_share", 1), ("echo_share", 1), ("long_word_share", 1), ("word_length", 1), ("word_length", -1), ("stops_per_word", -1),
 ]
-#: Share of good documents that each rule may cut off at most, from lenient to strict.
-LEVELS = [0.0002, 0.0005, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01]
+#: Share of good documents that all rules together may cut off, as seen by the cutoffs' own fold, from lenient to strict.
+LEVELS = [0.0002, 0.0005, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01, 0.0125, 0.015]
+#: A rule's unit is the distance from good documents' median to the first of these quantiles that lies beyond it.
+TAILS = [0.99, 0.999, 1.0]
 POOLED = "*"
 
 
@@ -38,70 +41,85 @@ def upper_bound(k: int, n: int, risk: float) -> float:
     return hi
 
 
-def _fails(cuts: list[float]) -> Column:
-    """Some rule rejects; cuts are in the order of RULES."""
+def _signed() -> list[Column]:
+    """The statistics of RULES, large values bad."""
+    return [F.col(stat) * F.lit(float(sign)) for stat, sign in RULES]
+
+
+def _fails(cuts: Column) -> Column:
+    """Some rule rejects; cuts hold the largest value that stays, of each of RULES; a null is no cutoff."""
     bad = F.lit(False)
-    for (stat, sign), cut in zip(RULES, cuts, strict=True):
-        bad = bad | ((F.col(stat) > F.lit(cut)) if sign > 0 else (F.col(stat) < F.lit(cut)))
+    for i, x in enumerate(_signed()):
+        bad = bad | F.coalesce(x > cuts[i], F.lit(False))
     return bad
 
 
-def cutoffs(labelled: DataFrame, loss: float = 0.02, risk: float = 0.1, most_strata: int = 64, least: int = 50) -> dict[str, list[float]]:
-    """{stratum: cutoffs in the order of RULES} from labelled statistics (stratum, doc_id, good, RATIOS).
+def _family(good: DataFrame, bad: DataFrame) -> dict[str, list[list[float | None]]]:
+    """{stratum: cutoffs of each of LEVELS, each in the order of RULES} from the first fold (stratum, statistics).
 
-    All labelled good documents count, in two folds by the hash of their id. The first gives each level's cutoffs, as
-    quantiles of good documents. The second, which the cutoffs have not seen, gives each level's false rejections; the levels
+    One family a stratum, each level's cutoffs within the next one's: a document's excess is the largest, over the rules, of its
+    distance from the good documents' median in units of their tail. A level's cutoffs are the excess that this share of
+    good documents exceeds. Rules that find no larger share of bad documents than of good ones beyond the 0.99 quantile are left out.
+    """
+    quantiles = [F.percentile_approx(x, [0.5, *TAILS], 100_000).alias(f"q{i}") for i, x in enumerate(_signed())]
+    tails = [(r["stratum"], [r[f"q{i}"] for i in range(len(RULES))]) for r in good.groupBy("stratum").agg(*quantiles).collect()]
+    if not tails:
+        return {}
+    units = []
+    for stratum, rules in tails:
+        spread = [next((q - rule[0] for q in rule[1:] if q > rule[0]), 1e-6 * max(1.0, abs(rule[0]))) for rule in rules]
+        units.append((stratum, [rule[0] for rule in rules], spread, [rule[1] for rule in rules]))
+    known = F.broadcast(good.sparkSession.createDataFrame(units, "stratum string, mid array<double>, unit array<double>, tail array<double>"))
+    beyond = [F.avg((x > F.col("tail")[i]).cast("int")).alias(f"s{i}") for i, x in enumerate(_signed())]
+    share = {name: {r["stratum"]: r for r in rows.join(known, "stratum").groupBy("stratum").agg(*beyond).collect()} for name, rows in (("good", good), ("bad", bad))}
+    used = [(s, [s in share["bad"] and share["bad"][s][f"s{i}"] > share["good"][s][f"s{i}"] for i in range(len(RULES))]) for s, *_ in units]
+    known = known.join(F.broadcast(good.sparkSession.createDataFrame(used, "stratum string, used array<boolean>")), "stratum")
+    excess = F.greatest(*[F.when(F.col("used")[i], (x - F.col("mid")[i]) / F.col("unit")[i]) for i, x in enumerate(_signed())])
+    scored = good.join(F.broadcast(known), "stratum").groupBy("stratum").agg(F.percentile_approx(excess, [1 - x for x in LEVELS], 100_000).alias("t")).collect()
+    at, use = {r["stratum"]: r["t"] for r in scored}, dict(used)
+    # a little more than the quantile, so that documents just at it stay whatever the rounding
+    return {s: [[m + (t + 1e-9 * max(1.0, abs(t))) * u if on else None for m, u, on in zip(mid, unit, use[s], strict=True)] for t in at[s]] for s, mid, unit, _ in units if at[s]}
+
+
+def _broken(rows: DataFrame, families: dict[str, list[list[float | None]]]) -> dict[str, tuple[int, list[int]]]:
+    """{stratum: (rows, of these the rejected ones at each level)} of the strata with a family."""
+    table = rows.sparkSession.createDataFrame(list(families.items()), "stratum string, cuts array<array<double>>")
+    counts = [F.sum(_fails(F.col("cuts")[v]).cast("int")).alias(f"k{v}") for v in range(len(LEVELS))]
+    out = rows.join(F.broadcast(table), "stratum").groupBy("stratum").agg(F.count("*").alias("n"), *counts).collect()
+    return {r["stratum"]: (r["n"], [r[f"k{v}"] for v in range(len(LEVELS))]) for r in out}
+
+
+def cutoffs(labelled: DataFrame, loss: float = 0.02, risk: float = 0.1, most_strata: int = 64, least: int = 200) -> dict[str, list[float | None]]:
+    """{stratum: cutoffs in the order of RULES, large values bad} from labelled statistics (stratum, doc_id, good, RATIOS).
+
+    All labelled documents count, in two folds by the hash of their id, one third and two thirds. The first gives a nested family of
+    cutoffs, one for each level (see `_family`): to each of the `most_strata` largest strata with `least` good documents in it its own, to all others
+    the pooled one of all rows. Good documents of the second fold, which no cutoff has seen, give each level's false rejections; the levels
     are tested from lenient to strict and pass as long as the exact upper bound stays within `loss`; of those that pass, the
     most lenient one counts that rejects most bad documents. Such an ordered
-    test needs no correction for the number of levels; the risk is divided by the number of strata (Bonferroni), so all
-    strata keep their bound at once with probability 1 - risk. The `most_strata` largest strata with `least` good documents
-    in each fold have their own cutoffs. The rest take the pooled cutoffs of all rows, if these and all more lenient
-    ones pass the same test on the stratum's own good documents. A stratum where no level passes, or with too few good
-    documents to tell, has none and rejects nothing.
+    test needs no correction for the number of levels; the risk is divided by the number of tested strata (Bonferroni), so all
+    strata keep their bound at once with probability 1 - risk. Strata whose good documents are too few to pass even without a false
+    rejection are not tested. They, and those where no level passes, have no cutoffs and reject nothing.
     """
-    good = labelled.where("good = 1").withColumn("half", F.pmod(F.xxhash64(F.lit("rules"), "doc_id"), F.lit(2)))
-    sizes = good.groupBy("stratum").agg(F.sum(1 - F.col("half")).alias("n0"), F.sum("half").alias("n1")).where((F.col("n0") >= least) & (F.col("n1") >= least))
-    own = [r["stratum"] for r in sizes.orderBy(F.desc(F.col("n0") + F.col("n1")), "stratum").limit(most_strata).collect()]
+    labelled = labelled.withColumn("second", F.pmod(F.xxhash64(F.lit("rules"), "doc_id"), F.lit(3)) > 0)
+    good, bad = labelled.where("good = 1"), labelled.where("good = 0")
+    sizes = good.groupBy("stratum").agg(F.count_if(~F.col("second")).alias("n0"), F.count_if("second").alias("n1"))
+    own = [r["stratum"] for r in sizes.where(F.col("n0") >= least).orderBy(F.desc("n0"), "stratum").limit(most_strata).collect()]
+    could = [(r["n1"], r["stratum"]) for r in sizes.where(F.col("n1") >= log(risk) / np.log1p(-loss)).orderBy(F.desc("n1"), "stratum").collect()]
+    tested = [s for i, (n, s) in enumerate(could) if n >= log(risk / (i + 1)) / np.log1p(-loss)]
     strata = F.array(F.lit(POOLED), F.when(F.col("stratum").isin(own), F.col("stratum"))) if own else F.array(F.lit(POOLED))
-    # with fewer good documents the bound is over `loss` even without a false rejection
-    could = good.where("half = 1").groupBy("stratum").agg(F.count("*").alias("n")).where(F.col("n") >= log(risk) / np.log1p(-loss))
-    others = [r["stratum"] for r in could.where(~F.col("stratum").isin(own)).collect()]
-    rest = good.where((F.col("half") == 1) & F.col("stratum").isin(others))
-    good = good.withColumn("stratum", F.explode(strata)).where("stratum is not null")
-    wanted = [[1 - x for x in LEVELS] if sign > 0 else LEVELS for _, sign in RULES]
-    quantiles = [F.percentile_approx(stat, q, 100_000).alias(f"q{i}") for i, ((stat, _), q) in enumerate(zip(RULES, wanted, strict=True))]
-    levels = {r["stratum"]: [[r[f"q{i}"][v] for i in range(len(RULES))] for v in range(len(LEVELS))] for r in good.where("half = 0").groupBy("stratum").agg(*quantiles).collect()}
-    if not levels:
+    first = [rows.where("not second").withColumn("stratum", F.explode(strata)).where("stratum is not null") for rows in (good, bad)]
+    families = _family(*first)
+    plan = {s: families[f] for s in tested if (f := s if s in own else POOLED) in families}
+    if not plan:
         return {}
-    tested = good.where("half = 1").groupBy("stratum")
-    by_level = []
-    for v in range(len(LEVELS)):
-        fails = F.lit(False)
-        for s, cuts in levels.items():
-            fails = F.when(F.col("stratum") == s, _fails(cuts[v])).otherwise(fails)
-        by_level.append(F.sum(fails.cast("int")).alias(f"k{v}"))
-    bad = labelled.where("good = 0").withColumn("stratum", F.explode(strata)).where("stratum is not null")
-    caught = {r["stratum"]: [r[f"k{v}"] for v in range(len(LEVELS))] for r in bad.groupBy("stratum").agg(*by_level).collect()}
-
-    def passing(r) -> list[int]:
-        passed = []
-        for v in range(len(LEVELS)):
-            if upper_bound(r[f"k{v}"], r["n"], risk / (len(levels) + len(others))) > loss:
-                break
-            passed.append(v)
-        return passed
-
-    best = {}
-    for r in tested.agg(F.count("*").alias("n"), *by_level).collect():
-        s, passed = r["stratum"], passing(r)
-        if passed and s in caught:
-            best[s] = max(passed, key=lambda v: (caught[s][v], -v))
-    chosen = {s: levels[s][v] for s, v in best.items() if s != POOLED or POOLED in own}
-    if others and POOLED in best:
-        pooled = [F.sum(_fails(levels[POOLED][v]).cast("int")).alias(f"k{v}") for v in range(len(LEVELS))]
-        for r in rest.groupBy("stratum").agg(F.count("*").alias("n"), *pooled).collect():
-            if best[POOLED] in passing(r):
-                chosen[r["stratum"]] = levels[POOLED][best[POOLED]]
+    lost, caught, chosen = _broken(good.where("second"), plan), _broken(bad, plan), {}
+    for s in plan:
+        n, k = lost[s]
+        passed = next((v for v in range(len(LEVELS)) if upper_bound(k[v], n, risk / len(tested)) > loss), len(LEVELS))
+        found = caught.get(s, (0, [0] * len(LEVELS)))[1][:passed]
+        if found:
+            chosen[s] = plan[s][found.index(max(found))]
     return chosen
 
 
@@ -121,7 +139,6 @@ def filter_quality(docs: DataFrame, labels: DataFrame, least_words: int = 50, mo
     # near copies are one draw, not several: the row of the least id stands for them
     labelled = labelled.groupBy("stratum", "good", "copies").agg(F.min(F.struct("doc_id", *dict.fromkeys(stat for stat, _ in RULES))).alias("r")).select("stratum", "good", "r.*")
     chosen = cutoffs(shared(labelled), **risk)
-    fails = F.lit(False)
-    for s in sorted(chosen):
-        fails = F.when(F.col("stratum") == s, _fails(chosen[s])).otherwise(fails)
-    return stats.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~fails).alias("kept"), "stratum")
+    cuts = small(docs.sparkSession.createDataFrame(sorted(chosen.items()), "stratum string, __cuts array<double>"))
+    kept = ~F.col("base_failed") & ~_fails(F.col("__cuts"))
+    return stats.join(cuts, "stratum", "left").select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), "stratum")
