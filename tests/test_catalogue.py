@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from volspark.plans import build, catalogue, flow, grids, surfaces  # noqa: F401
+from volspark.plans import build, catalogue, files, flow, grids, surfaces  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

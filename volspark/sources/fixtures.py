@@ -157,3 +157,29 @@ def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(mesh_id, tid, a, b, c): neighbouring vertices of each mesh."""
     v = vertices(spark, sf_dir).where("vid between 1 and 27")
     return v.select("mesh_id", F.col("vid").alias("tid"), F.col("vid").alias("a"), (F.col("vid") + 1).alias("b"), (F.col("vid") * 7 % 29).cast("int").alias("c"))
+
+
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vol_id, seq, action, n, event_id): what each user edited, undid and redid."""
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    kind = F.col("event_id") % 7
+    action = F.when(kind < 4, "edit").when(kind < 6, "undo").otherwise("redo")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("vol_id"), seq.alias("seq"), action.alias("action"), (1 + F.col("event_id") % 3).alias("n"), "event_id")
+
+
+def edit_voxels(actions: DataFrame) -> DataFrame:
+    """(vol_id, seq, i, j, k, label): the n voxels of each edit."""
+    rows = actions.where("action = 'edit'").withColumn("x", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    p = (F.col("event_id") + 5 * F.col("x")) % 16
+    return rows.select("vol_id", "seq", (p % 4).cast("int").alias("i"), F.floor(p / 4).cast("int").alias("j"), (F.col("vol_id") % 3).cast("int").alias("k"), (F.col("event_id") % 5).cast("int").alias("label"))
+
+
+def label_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Files (file, vol_id), cells (file, i, j, k, v), grids and side-cars of the own label maps; some hold values that are not whole or over 255."""
+    name = F.concat(F.lit("f"), F.col("vol_id").cast("string"))
+    some = (F.col("i") + F.col("j") + F.col("k")) % 50 == 0
+    v = F.col("label") + F.when(some & (F.col("vol_id") % 6 == 4), 0.5).when(some & (F.col("vol_id") % 6 == 5), 300.0).otherwise(0.0004)
+    own = grids(spark, sf_dir).withColumn("file", name)
+    text = F.when(F.col("vol_id") % 7 == 6, '{"labels":').when(F.col("vol_id") % 3 < 2, '{"labels":[{"id":1,"name":"one"},{"id":2,"name":""},{"id":3,"name":"x"},{"id":3,"name":"lever","color":[0.1,0.2,0.3],"verified":true}]}')
+    sidecars = own.select("file", text.alias("json")).where("json is not null")
+    return own.select("file", "vol_id"), own_labels(spark, sf_dir).select(name.alias("file"), "i", "j", "k", v.alias("v")), own.drop("vol_id"), sidecars

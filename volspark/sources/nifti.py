@@ -105,16 +105,17 @@ def bad_files(heads: DataFrame) -> DataFrame:
     return heads.where("problem is not null").groupBy("problem").agg(F.count("*").alias("n"), F.min("path").alias("example"))
 
 
-def header_bytes(shape, affine: list[float]) -> bytes:
-    """The header of an image of unsigned bytes with an sform."""
+def header_bytes(shape, affine: list[float], code: int = 2) -> bytes:
+    """The header of an image with an sform in millimetres; code: the scalar type, unsigned bytes by default."""
     from volspark.operators.images import zooms
 
     head = bytearray(HEADER)
     struct.pack_into("<i", head, 0, 348)
     struct.pack_into("<8h", head, 40, 3, *shape, 1, 1, 1, 1)
-    struct.pack_into("<2h", head, 70, 2, 8)
+    struct.pack_into("<2h", head, 70, code, 8 * BYTES[code])
     struct.pack_into("<4f", head, 76, 1.0, *zooms(affine))
     struct.pack_into("<3f", head, 108, float(HEADER), 1.0, 0.0)
+    head[123] = 10  # fixed value: millimetres and seconds
     struct.pack_into("<2h", head, 252, 0, 1)
     struct.pack_into("<12f", head, 280, *affine[:12])
     head[344:348] = b"n+1\0"
