@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from volspark.operators import geometry, history
 from volspark.operators.graph import shared
+from volspark.plans import grids  # noqa: F401
 from volspark.plans.catalogue import _CTE, _query
 from volspark.sources import fixtures as fx
 from volspark.sources import labelmaps, sinks
 
 STEPS, BYTES = 4, 60
 _POPPED = "list_slice({0},1,len({0})-1)"
-_KEPT = f"list_filter(list_append(w.u,{{'s':a.seq,'b':6*a.n}}), lambda x, at: at=len(w.u)+1 OR (len(w.u)+1-at<{STEPS} AND list_sum(list_transform(list_append(w.u,{{'s':a.seq,'b':6*a.n}})[at:], lambda y: y.b))<={BYTES}))"
+_KEPT = f"list_filter(list_append(w.u,{{'s':a.seq,'b':6*a.n}}), lambda x, q: q=len(w.u)+1 OR (len(w.u)+1-q<{STEPS} AND list_sum(list_transform(list_append(w.u,{{'s':a.seq,'b':6*a.n}})[q:], lambda y: y.b))<={BYTES}))"
 _CTE |= {
     "hist_act": "SELECT user_id vol_id, row_number() OVER (PARTITION BY user_id ORDER BY ts,event_id) seq, CASE WHEN event_id%7<4 THEN 'edit' WHEN event_id%7<6 THEN 'undo' ELSE 'redo' END AS action, 1+event_id%3 AS n, event_id FROM events",
     "hist_walk": "WITH RECURSIVE walk AS (SELECT DISTINCT vol_id, CAST(0 AS BIGINT) seq, '' AS action, CAST(NULL AS BIGINT) target, CAST([] AS STRUCT(s BIGINT, b BIGINT)[]) u, CAST([] AS STRUCT(s BIGINT, b BIGINT)[]) r FROM hist_act UNION ALL"
@@ -53,17 +54,17 @@ def nifti_planes(spark, d):
 
 
 _CTE |= {
-    "imp_cell": "SELECT l.vol_id, l.i, l.j, l.k, label+CASE WHEN (l.i+l.j+l.k)%50=0 AND l.vol_id%6=4 THEN 0.5e0 WHEN (l.i+l.j+l.k)%50=0 AND l.vol_id%6=5 THEN 300e0 ELSE 0.0004e0 END v FROM own_lab l",
-    "imp_bad": "SELECT 'f'||p.vol_id AS file, p.vol_id, CASE WHEN p.vol_id%8=2 THEN 'no such volume' WHEN off THEN 'label values that are not whole numbers from 0 to 255' WHEN most>=255.5 THEN 'label values over 255' WHEN p.vol_id%4=3 THEN 'grid '||mx||'x'||my||'x'||mz||' instead of '||mx||'x'||my||'x'||(mz+1) END AS problem"
-    " FROM own_plan p JOIN (SELECT vol_id, bool_or(abs(v-floor(v+0.5e0))>1e-3) off, max(v) most FROM imp_cell GROUP BY 1) c ON c.vol_id=p.vol_id",
-    "imp_lab": "SELECT p.vol_id, [o0,o1,o2][s0+1] AS i, [o0,o1,o2][s1+1] AS j, [o0,o1,o2][s2+1] AS k, CAST(floor(v+0.5e0) AS INT) AS label FROM (SELECT c.vol_id, v, s0, s1, s2, CASE WHEN f0 THEN nx-1-i ELSE i END o0, CASE WHEN f1 THEN ny-1-j ELSE j END o1, CASE WHEN f2 THEN nz-1-k ELSE k END o2 FROM imp_cell c JOIN own_plan q ON q.vol_id=c.vol_id) p JOIN imp_bad b ON b.vol_id=p.vol_id WHERE b.problem IS NULL AND v>=0.5e0",
-    "imp_name": "SELECT vol_id, label, CASE WHEN vol_id%7<>6 AND vol_id%3<2 AND label=1 THEN 'one' WHEN vol_id%7<>6 AND vol_id%3<2 AND label=3 THEN 'lever' ELSE 'label_'||label END AS name FROM (SELECT DISTINCT vol_id, label FROM imp_lab)",
+    "imp_cell": "SELECT x||l.vol_id AS file, l.vol_id, l.i, l.j, l.k, label+CASE WHEN x='f' OR l.i%2=0 THEN 0.0004e0 WHEN l.vol_id%2=1 THEN 0.5e0 ELSE 300e0 END v FROM own_lab l, (VALUES ('f'),('g')) t(x)",
+    "imp_bad": "SELECT c.file, p.vol_id, CASE WHEN p.vol_id%8=2 THEN 'no such volume' WHEN off THEN 'label values that are not whole numbers from 0 to 255' WHEN most>=255.5 THEN 'label values over 255' WHEN p.vol_id%4=3 THEN 'grid '||mx||'x'||my||'x'||mz||' instead of '||mx||'x'||my||'x'||(mz+1) END AS problem"
+    " FROM own_plan p JOIN (SELECT file, vol_id, bool_or(abs(v-floor(v+0.5e0))>1e-3) off, max(v) most FROM imp_cell GROUP BY 1,2) c ON c.vol_id=p.vol_id",
+    "imp_lab": "SELECT p.file, p.vol_id, [o0,o1,o2][s0+1] AS i, [o0,o1,o2][s1+1] AS j, [o0,o1,o2][s2+1] AS k, CAST(floor(v+0.5e0) AS INT) AS label FROM (SELECT c.file, c.vol_id, v, s0, s1, s2, CASE WHEN f0 THEN nx-1-i ELSE i END o0, CASE WHEN f1 THEN ny-1-j ELSE j END o1, CASE WHEN f2 THEN nz-1-k ELSE k END o2 FROM imp_cell c JOIN own_plan q ON q.vol_id=c.vol_id) p JOIN imp_bad b ON b.file=p.file WHERE b.problem IS NULL AND v>=0.5e0",
+    "imp_name": "SELECT file, vol_id, label, CASE WHEN vol_id%7<>6 AND vol_id%3<2 AND label=1 THEN 'one' WHEN vol_id%7<>6 AND vol_id%3<2 AND label=3 THEN 'lever' ELSE 'label_'||label END AS name FROM (SELECT DISTINCT file, vol_id, label FROM imp_lab)",
 }
 
 
 def _imported(spark, d):
     files, cells, grids, sidecars = fx.label_files(spark, d)
-    plan = geometry.canonical_plan(grids.withColumnRenamed("file", "vol_id")).select(F.substring("vol_id", 2, 20).cast("int").alias("vol_id"), "mx", "my", "mz")
+    plan = geometry.canonical_plan(fx.grids(spark, d)).select("vol_id", "mx", "my", "mz")
     targets = plan.where("vol_id % 8 <> 2").select("vol_id", F.col("mx").alias("nx"), F.col("my").alias("ny"), F.when(F.col("vol_id") % 4 == 3, F.col("mz") + 1).otherwise(F.col("mz")).alias("nz"))
     return *labelmaps.imported(files, shared(cells), grids, targets), sidecars
 
@@ -73,12 +74,12 @@ def label_import_refusals(spark, d):
     return _imported(spark, d)[1]
 
 
-@_query("SELECT 'f'||vol_id AS file, * FROM imp_lab")
+@_query("SELECT * FROM imp_lab")
 def label_import_voxels(spark, d):
     return _imported(spark, d)[0]
 
 
-@_query("SELECT 'f'||n.vol_id AS file, n.vol_id, n.label, n.name, CAST(CASE n.name WHEN 'label_4' THEN 1 WHEN 'lever' THEN 2 ELSE 2+row_number() OVER (PARTITION BY n.vol_id, n.name IN ('label_4','lever') ORDER BY n.label) END AS INT) AS new FROM imp_name n")
+@_query("SELECT n.file, n.vol_id, n.label, n.name, CAST(CASE n.name WHEN 'label_4' THEN 1 WHEN 'lever' THEN 2 ELSE 2+row_number() OVER (PARTITION BY n.vol_id, n.name IN ('label_4','lever') ORDER BY n.label) END AS INT) AS new FROM imp_name n")
 def label_import_ids(spark, d):
     """Imported labels under the ids of volumes that have label_4 and lever already."""
     cells, _, sidecars = _imported(spark, d)

@@ -175,11 +175,13 @@ def edit_voxels(actions: DataFrame) -> DataFrame:
 
 
 def label_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Files (file, vol_id), cells (file, i, j, k, v), grids and side-cars of the own label maps; some hold values that are not whole or over 255."""
-    name = F.concat(F.lit("f"), F.col("vol_id").cast("string"))
-    some = (F.col("i") + F.col("j") + F.col("k")) % 50 == 0
-    v = F.col("label") + F.when(some & (F.col("vol_id") % 6 == 4), 0.5).when(some & (F.col("vol_id") % 6 == 5), 300.0).otherwise(0.0004)
-    own = grids(spark, sf_dir).withColumn("file", name)
-    text = F.when(F.col("vol_id") % 7 == 6, '{"labels":').when(F.col("vol_id") % 3 < 2, '{"labels":[{"id":1,"name":"one"},{"id":2,"name":""},{"id":3,"name":"x"},{"id":3,"name":"lever","color":[0.1,0.2,0.3],"verified":true}]}')
+    """Files (file, vol_id), cells (file, i, j, k, v), grids and side-cars of the own label maps: f<volume> as they are, g<volume> with
+    values that are not whole or over 255."""
+    vol, odd = F.col("vol_id"), F.col("i") % 2 == 1
+    named = F.explode(F.array(*[F.concat(F.lit(x), vol.cast("string")) for x in "fg"]))
+    wrong = F.when(odd & (vol % 2 == 1), 0.5).when(odd, 300.0).otherwise(0.0004)
+    cells = own_labels(spark, sf_dir).select("*", named.alias("file")).withColumn("v", F.col("label") + F.when(F.col("file").startswith("g"), wrong).otherwise(0.0004))
+    own = grids(spark, sf_dir).select("*", named.alias("file"))
+    text = F.when(vol % 7 == 6, '{"labels":').when(vol % 3 < 2, '{"labels":[{"id":1,"name":"one"},{"id":2,"name":""},{"id":3,"name":"x"},{"id":3,"name":"lever","color":[0.1,0.2,0.3],"verified":true}]}')
     sidecars = own.select("file", text.alias("json")).where("json is not null")
-    return own.select("file", "vol_id"), own_labels(spark, sf_dir).select(name.alias("file"), "i", "j", "k", v.alias("v")), own.drop("vol_id"), sidecars
+    return own.select("file", "vol_id"), cells.select("file", "i", "j", "k", "v"), own.drop("vol_id"), sidecars
