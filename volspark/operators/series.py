@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PORTAL = r"(?i)portal|venous|\bpv\b"
+PORTAL = r"(?i)portal|venous|\bpv\b|門脈"
 
 
 def modal_size(slices: DataFrame) -> DataFrame:

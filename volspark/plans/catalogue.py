@@ -266,7 +266,7 @@ def usable_series(spark, d):
 
 
 @_query(
-    "SELECT study, series_uid, fits AS matched FROM (SELECT *, row_number() OVER (PARTITION BY study ORDER BY NOT fits, NOT ct, NOT ok, place) r FROM (SELECT *, ct AND regexp_matches(description,'portal|venous|\\bpv\\b','i') AND n_slices>=0.8e0*most AS fits FROM"
+    "SELECT study, series_uid, fits AS matched FROM (SELECT *, row_number() OVER (PARTITION BY study ORDER BY NOT fits, NOT ct, NOT ok, place) r FROM (SELECT *, ct AND regexp_matches(description,'portal|venous|\\bpv\\b|門脈','i') AND n_slices>=0.8e0*most AS fits FROM"
     " (SELECT *, max(CASE WHEN ct THEN n_slices END) OVER (PARTITION BY study) most FROM (SELECT *, ok AND modality='CT' AS ct FROM (SELECT *, n_slices>=2 AND problem IS NULL AS ok FROM ranked))))) WHERE r=1"
 )
 def suggest_series(spark, d):

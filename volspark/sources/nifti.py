@@ -32,8 +32,10 @@ def files(spark: SparkSession, folder: str, glob: str = "*.nii*") -> DataFrame:
     return found.where(~zipped).union(found.where(zipped).select("path", _unzipped("content").alias("content")))
 
 
-def headers(found: DataFrame) -> DataFrame:
-    """(path, content, nx, ny, nz, datatype, big, offset, slope, inter, affine, problem) of files (path, content).
+def headers(found: DataFrame, *keep: str) -> DataFrame:
+    """(path, content, nx, ny, nz, datatype, big, offset, slope, inter, affine, problem, keep) of files (path, content).
+
+    With a column size, content may be the header alone and size tells the file's bytes (null: not known).
 
     Either byte order; a fourth axis is read at its first place. The affine is the sform, else the qform's rotation, else the
     voxel sizes. A slope of 0 is no scaling. Files that cannot be read keep a row that says why.
@@ -59,13 +61,14 @@ def headers(found: DataFrame) -> DataFrame:
     affine = F.when(F.col("__s") > 0, F.col("__srow")).when(F.col("__q") > 0, F.array(*qrow)).otherwise(F.array(*plain))
     width = F.coalesce(*[F.when(F.col("datatype") == t, F.lit(n)) for t, n in BYTES.items()])
     need = F.col("offset") + F.col("nx").cast("long") * F.col("ny") * F.col("nz") * width
+    have = F.col("size") if "size" in found.columns else F.octet_length("content")
     problem = (
         F.when(F.col("big").isNull(), "not a NIfTI-1 file").when(width.isNull(), "unsupported scalar type")
-        .when((F.col("nx") < 1) | (F.col("ny") < 1), "no voxels").when(F.octet_length("content") < need, "truncated file")
+        .when((F.col("nx") < 1) | (F.col("ny") < 1), "no voxels").when(have < need, "truncated file")
     )
     scale = F.when(F.col("slope") == 0, 1.0).otherwise(F.col("slope"))
     inter = F.when(F.col("slope") == 0, 0.0).otherwise(F.col("inter"))
-    return h.select("path", "content", "nx", "ny", "nz", "datatype", "big", "offset", scale.alias("slope"), inter.alias("inter"), F.concat(affine, F.array(zero, zero, zero, F.lit(1.0))).alias("affine"), problem.alias("problem"))
+    return h.select("path", "content", "nx", "ny", "nz", "datatype", "big", "offset", scale.alias("slope"), inter.alias("inter"), F.concat(affine, F.array(zero, zero, zero, F.lit(1.0))).alias("affine"), problem.alias("problem"), *keep)
 
 
 def _rotation(a: Column, b: Column, c: Column, d: Column) -> list[Column]:
@@ -91,6 +94,11 @@ def voxels(heads: DataFrame) -> DataFrame:
     size = F.col("nx") * F.col("ny") * width
     slices = heads.where("problem is null").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nz") - 1)))
     cut = slices.select("path", "nx", "slope", "inter", "datatype", "big", "k", F.substring(F.col("content"), F.col("offset") + F.col("k") * size + 1, size).alias("raw"))
+    return slice_voxels(cut)
+
+
+def slice_voxels(cut: DataFrame) -> DataFrame:
+    """(path, i, j, k, v) of slices (path, nx, slope, inter, datatype, big, k, raw)."""
     cells = cut.select("path", "nx", "slope", "inter", "k", F.posexplode(_decoded("raw", "datatype", "big")).alias("p", "x"))
     return cells.select("path", (F.col("p") % F.col("nx")).alias("i"), F.floor(F.col("p") / F.col("nx")).cast("int").alias("j"), "k", (F.col("x") * F.col("slope") + F.col("inter")).alias("v"))
 
