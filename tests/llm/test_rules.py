@@ -48,12 +48,11 @@ def plain(rows, loss=0.02, risk=0.1):
         mid.append(m)
         unit.append(next((q - m for q in (at(g0[:, i], t) for t in rules.TAILS) if q > m), 1e-6 * max(1, abs(m))))
         tail = at(g0[:, i], 0.99)
-        used.append((b0[:, i] > tail).mean() > (g0[:, i] > tail).mean())
+        used.append((b0[:, i] > tail).mean() > max(rules.FOUND, (g0[:, i] > tail).mean()))
     mid, unit, used = np.array(mid), np.array(unit), np.array(used)
     excess = ((g0 - mid) / unit)[:, used].max(axis=1)
     best, most = None, -1
-    for level in rules.LEVELS:
-        t = at(excess, 1 - level)
+    for t in [b * max(excess.max(), 0.0) for b in rules.BEYOND] + [at(excess, 1 - level) for level in rules.LEVELS]:
         cuts = mid + (t + 1e-9 * max(1, abs(t))) * unit
         fails = lambda v, cuts=cuts: (v > cuts)[:, used].any(axis=1)
         if rules.upper_bound(int(fails(g1).sum()), len(g1), risk) > loss:

@@ -20,6 +20,11 @@ RULES = [
 ]
 #: Share of good documents that all rules together may cut off, as seen by the cutoffs' own fold, from lenient to strict.
 LEVELS = [0.0002, 0.0005, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01, 0.0125, 0.015]
+#: More lenient still: this often the largest excess of the cutoffs' own fold.
+BEYOND = [4.0, 2.0, 1.5, 1.25]
+N_LEVELS = len(BEYOND) + len(LEVELS)
+#: A rule counts if it finds over this share of bad documents beyond the first of TAILS, and a larger one than of good documents.
+FOUND = 0.05
 #: A rule's unit is the distance from good documents' median to the first of these quantiles that lies beyond it.
 TAILS = [0.99, 0.999, 1.0]
 POOLED = "*"
@@ -59,7 +64,7 @@ def _family(good: DataFrame, bad: DataFrame) -> dict[str, list[list[float | None
 
     One family a stratum, each level's cutoffs within the next one's: a document's excess is the largest, over the rules, of its
     distance from the good documents' median in units of their tail. A level's cutoffs are the excess that this share of
-    good documents exceeds. Rules that find no larger share of bad documents than of good ones beyond the 0.99 quantile are left out.
+    good documents exceeds, or for the first ones a multiple of the largest. Rules that find too few bad documents (FOUND) are left out.
     """
     quantiles = [F.percentile_approx(x, [0.5, *TAILS], 100_000).alias(f"q{i}") for i, x in enumerate(_signed())]
     tails = [(r["stratum"], [r[f"q{i}"] for i in range(len(RULES))]) for r in good.groupBy("stratum").agg(*quantiles).collect()]
@@ -72,21 +77,21 @@ def _family(good: DataFrame, bad: DataFrame) -> dict[str, list[list[float | None
     known = F.broadcast(good.sparkSession.createDataFrame(units, "stratum string, mid array<double>, unit array<double>, tail array<double>"))
     beyond = [F.avg((x > F.col("tail")[i]).cast("int")).alias(f"s{i}") for i, x in enumerate(_signed())]
     share = {name: {r["stratum"]: r for r in rows.join(known, "stratum").groupBy("stratum").agg(*beyond).collect()} for name, rows in (("good", good), ("bad", bad))}
-    used = [(s, [s in share["bad"] and share["bad"][s][f"s{i}"] > share["good"][s][f"s{i}"] for i in range(len(RULES))]) for s, *_ in units]
+    used = [(s, [s in share["bad"] and share["bad"][s][f"s{i}"] > max(FOUND, share["good"][s][f"s{i}"]) for i in range(len(RULES))]) for s, *_ in units]
     known = known.join(F.broadcast(good.sparkSession.createDataFrame(used, "stratum string, used array<boolean>")), "stratum")
     excess = F.greatest(*[F.when(F.col("used")[i], (x - F.col("mid")[i]) / F.col("unit")[i]) for i, x in enumerate(_signed())])
-    scored = good.join(F.broadcast(known), "stratum").groupBy("stratum").agg(F.percentile_approx(excess, [1 - x for x in LEVELS], 100_000).alias("t")).collect()
-    at, use = {r["stratum"]: r["t"] for r in scored}, dict(used)
+    scored = good.join(F.broadcast(known), "stratum").groupBy("stratum").agg(F.percentile_approx(excess, [1.0, *(1 - x for x in LEVELS)], 100_000).alias("t")).collect()
+    at, use = {r["stratum"]: [*(b * max(r["t"][0], 0.0) for b in BEYOND), *r["t"][1:]] for r in scored if r["t"]}, dict(used)
     # a little more than the quantile, so that documents just at it stay whatever the rounding
-    return {s: [[m + (t + 1e-9 * max(1.0, abs(t))) * u if on else None for m, u, on in zip(mid, unit, use[s], strict=True)] for t in at[s]] for s, mid, unit, _ in units if at[s]}
+    return {s: [[m + (t + 1e-9 * max(1.0, abs(t))) * u if on else None for m, u, on in zip(mid, unit, use[s], strict=True)] for t in at[s]] for s, mid, unit, _ in units if s in at}
 
 
 def _broken(rows: DataFrame, families: dict[str, list[list[float | None]]]) -> dict[str, tuple[int, list[int]]]:
     """{stratum: (rows, of these the rejected ones at each level)} of the strata with a family."""
     table = rows.sparkSession.createDataFrame(list(families.items()), "stratum string, cuts array<array<double>>")
-    counts = [F.sum(_fails(F.col("cuts")[v]).cast("int")).alias(f"k{v}") for v in range(len(LEVELS))]
+    counts = [F.sum(_fails(F.col("cuts")[v]).cast("int")).alias(f"k{v}") for v in range(N_LEVELS)]
     out = rows.join(F.broadcast(table), "stratum").groupBy("stratum").agg(F.count("*").alias("n"), *counts).collect()
-    return {r["stratum"]: (r["n"], [r[f"k{v}"] for v in range(len(LEVELS))]) for r in out}
+    return {r["stratum"]: (r["n"], [r[f"k{v}"] for v in range(N_LEVELS)]) for r in out}
 
 
 def cutoffs(labelled: DataFrame, loss: float = 0.02, risk: float = 0.1, most_strata: int = 64, least: int = 200) -> dict[str, list[float | None]]:
@@ -116,8 +121,8 @@ def cutoffs(labelled: DataFrame, loss: float = 0.02, risk: float = 0.1, most_str
     lost, caught, chosen = _broken(good.where("second"), plan), _broken(bad, plan), {}
     for s in plan:
         n, k = lost[s]
-        passed = next((v for v in range(len(LEVELS)) if upper_bound(k[v], n, risk / len(tested)) > loss), len(LEVELS))
-        found = caught.get(s, (0, [0] * len(LEVELS)))[1][:passed]
+        passed = next((v for v in range(N_LEVELS) if upper_bound(k[v], n, risk / len(tested)) > loss), N_LEVELS)
+        found = caught.get(s, (0, [0] * N_LEVELS))[1][:passed]
         if found:
             chosen[s] = plan[s][found.index(max(found))]
     return chosen
@@ -133,8 +138,9 @@ def filter_quality(docs: DataFrame, labels: DataFrame, least_words: int = 50, mo
     stats = text_stats(docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum")), ["stratum"])
     stats = shared(stats.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))))
     marked = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("good"))
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marked, "doc_id", "left_semi")
-    groups = simhash.near_duplicates(some).groupBy("doc_id").agg(F.min("component_id").alias("copies"))
+    # fingerprints of all rows, as texts would have to be shuffled to find the labelled ones first
+    prints = simhash.fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).join(marked, "doc_id", "left_semi")
+    groups = simhash.components_of(shared(prints)).groupBy("doc_id").agg(F.min("component_id").alias("copies"))
     labelled = stats.where("not base_failed").join(marked, "doc_id").join(groups, "doc_id")
     # near copies are one draw, not several: the row of the least id stands for them
     labelled = labelled.groupBy("stratum", "good", "copies").agg(F.min(F.struct("doc_id", *dict.fromkeys(stat for stat, _ in RULES))).alias("r")).select("stratum", "good", "r.*")

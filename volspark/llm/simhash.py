@@ -159,7 +159,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, parts:
     Null and wordless texts have the fingerprint zero and link like any other; rows repeated or with a null
     id stay, a null id never names a component unless all its ids are null.
     """
-    marked = shared(fingerprints(docs, shingle))
+    return components_of(shared(fingerprints(docs, shingle)), distance, parts, most_per_key)
+
+
+def components_of(marked: DataFrame, distance: int = 4, parts: int | None = None, most_per_key: int = 256) -> DataFrame:
+    """`near_duplicates` of documents whose fingerprints (doc_id, fp) are known; marked is read more than once."""
     distinct = shared(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(distinct.select("fp"), distance, parts, most_per_key), "a", "b")
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
