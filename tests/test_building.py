@@ -67,3 +67,10 @@ def test_short_pixels_and_no_slices(spark, slices):
         building.pixels(short).collect()
     none = spark.createDataFrame([], SCHEMA)
     assert building.volume_grids(none).count() == 0 and building.built(none, building.volume_grids(none)).count() == 0
+
+
+def test_zeros_without_a_sign_of_their_own(spark):
+    """A normal of turned rows whose zero comes from two products of either sign; the affine's zeros are negated in the first two rows only."""
+    rows = [image("turned", n, 0.0, iop=[0.96, 0.28, 0.0, -0.28, 0.96, 0.0], ipp=False)[0] for n in range(2)]
+    affine = building.volume_grids(spark.createDataFrame(rows, SCHEMA)).first()["affine"]
+    assert [repr(affine[n]) for n in (2, 6, 8, 9)] == ["-0.0", "-0.0", "0.0", "0.0"]

@@ -37,7 +37,8 @@ def placed(slices: DataFrame) -> DataFrame:
     size = F.count("*").over(every)
     own = own.withColumns({"n": size, "n_others": F.col("total") - size, "have": F.count("ipp").over(every) == size, "first": F.min(F.struct("file", "iop")).over(every)["iop"]})
     r, c = [F.col("first")[x] for x in range(3)], [F.col("first")[x] for x in range(3, 6)]
-    normal = F.array(r[1] * c[2] - r[2] * c[1], r[2] * c[0] - r[0] * c[2], r[0] * c[1] - r[1] * c[0])
+    # 0.0 is added so that a zero has no sign of its own: which of its two products was negative is of no meaning, and SQL drops it too
+    normal = F.array(*[r[x] * c[y] - r[y] * c[x] + F.lit(0.0) for x, y in ((1, 2), (2, 0), (0, 1))])
     own = own.withColumn("normal", normal).withColumn("pos", _dot(F.col("ipp"), F.col("normal")))
     own = own.withColumn("turned", F.greatest(*[F.abs(F.col("iop")[x] - F.col("first")[x]) for x in range(6)]) > TURNED)
     order = every.orderBy(F.when(F.col("have"), F.col("pos")).otherwise(F.col("instance")), "file")
