@@ -101,3 +101,15 @@ def test_one_voxel(spark, scene):
     assert vertices.count() == 8 and triangles.count() == 12 and closed(triangles.collect())
     # each vertex is a third of half a cell from the voxel's middle, along all axes
     assert math.isclose(mesh.volumes(triangles, vertices).first()["ml"] * 1000, (0.8 / 3) ** 3, rel_tol=1e-5)
+
+
+def test_rows_of_the_blur(spark, scene):
+    """Blocks are gathered as lines before they are smoothed and before they become cells; no row is multiplied by the taps or by the eight corners."""
+    lab, grids, _ = scene
+    own = surface.frames(lab.where("label = 3"), grids, spark.createDataFrame([(3, 2.0, 2.5, 0)], "label int, target_mm double, sigma_mm double, taubin int"))
+    cells = surface.blocks(lab.where("label = 3"), own)
+    cells = spark.createDataFrame(cells.collect(), cells.schema)
+    plan = surface.blurred(cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 3 and "Generate explode" not in plan
+    plan = surface.crossed_cells(cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(") == 1 and plan.count("collect_list") == 2

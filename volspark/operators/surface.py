@@ -5,13 +5,17 @@ Structures are (vol_id, label). A structure's own grid is its box in blocks of a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from volspark.functions.numeric import f32
-from volspark.operators import components, geometry
+from volspark.operators import components, geometry, lines
 from volspark.operators.graph import shared
 from volspark.operators.labels import PLACE, VOXEL, small
 from volspark.operators.planning import mesh_options
@@ -67,22 +71,41 @@ def blocks(lab: DataFrame, own: DataFrame) -> DataFrame:
     return met.select(*KEY, *cells, *rest, "f0", "f1", "f2").groupBy(*KEY, *CELL, *rest).agg(share.alias("v"))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _bell_line(places: pd.Series, values: pd.Series, weights: pd.Series, n: pd.Series) -> pd.Series:
+    """Lines of n cells after their weights; products and sums in single precision, from the least place on."""
+    out: list = [None] * len(n)
+    kinds: dict = {}
+    for r, kind in enumerate(zip(n, (w.tobytes() for w in weights), strict=True)):
+        kinds.setdefault(kind, []).append(r)
+    for (size, _), every in kinds.items():
+        w = np.asarray(weights.iloc[every[0]], np.float32)
+        reach = len(w) // 2
+        for some in (every[x : x + 1024] for x in range(0, len(every), 1024)):
+            dense, total = np.zeros((len(some), size + 2 * reach), np.float32), np.zeros((len(some), size), np.float32)
+            count = [len(places.iloc[r]) for r in some]
+            dense[np.repeat(np.arange(len(some)), count), np.concatenate([places.iloc[r] for r in some]) + reach] = np.concatenate([values.iloc[r] for r in some])
+            for t, x in enumerate(w):
+                total += x * dense[:, t : t + size]
+            for r, line in zip(some, total.astype(float), strict=True):
+                out[r] = line
+    return pd.Series(out)
+
+
 def blurred(cells: DataFrame) -> DataFrame:
     """Blocks smoothed along the three axes one after the other, each structure by its own widths; zero outside, and a width under 0.3 changes
-    nothing. Values are added in single precision and in the order of their places."""
+    nothing. Lines of one axis are gathered, never more than one line a group. Values are added in single precision and in the order of
+    their places; cells that are 0 are left out."""
     rest = [f"{x}{n}" for x in "bg" for n in range(3)]
-    single = lambda c: c.cast("float")
     for n, g in enumerate(CELL):
         if cells.where(F.col(f"b{n}") >= 0.3).isEmpty():
             continue
         width = F.col(f"b{n}")
         reach = F.greatest(F.lit(1), F.ceil(3 * width).cast("int"))
-        same = F.array(F.struct(F.lit(0).alias("t"), single(F.lit(1.0)).alias("w")))
-        taps = F.when(width < 0.3, same).otherwise(_bell(F.sequence(-reach, reach), width))
-        sent = cells.withColumn("x", F.explode(taps)).withColumn(g, F.col(g) - F.col("x.t")).where(F.col(g).between(0, F.col(f"g{n}") - 1))
-        terms = F.sort_array(F.collect_list(F.struct(F.col("x.t").alias("t"), single(F.col("x.w") * single(F.col("v"))).alias("p"))))
-        total = F.aggregate(terms, single(F.lit(0.0)), lambda s, x: single(s + x["p"]))
-        cells = sent.groupBy(*KEY, *CELL, *rest).agg(total.cast("double").alias("v"))
+        taps = F.when(width < 0.3, F.array(F.lit(1.0).cast("float"))).otherwise(F.transform(_bell(F.sequence(-reach, reach), width), lambda x: x["w"]))
+        others = [c for c in CELL if c != g]
+        gathered = cells.groupBy(*KEY, *others, *rest).agg(F.collect_list(F.struct(F.col(g).alias("p"), "v")).alias("c")).withColumn("w", taps)
+        cells = gathered.select(*KEY, *others, *rest, F.posexplode(_bell_line(F.col("c.p"), F.col("c.v"), F.col("w"), F.col(f"g{n}"))).alias(g, "v")).where("v <> 0")
     return cells
 
 
@@ -94,15 +117,33 @@ def _bell(places: Column, width: Column) -> Column:
 
 
 def crossed_cells(cells: DataFrame) -> DataFrame:
-    """(vol_id, label, gi, gj, gk, v0..v7) of the cells with corners inside and outside. Each block is sent to the eight cells that it is a
-    corner of; a missing corner is 0."""
-    corners = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(c & 1).alias("x"), F.lit(c >> 1 & 1).alias("y"), F.lit(c >> 2).alias("z")) for c in range(8)])
-    sent = cells.withColumn("o", F.explode(corners)).select(*KEY, *[(F.col(g) - F.col(f"o.{x}")).alias(g) for g, x in zip(CELL, "xyz", strict=True)], F.col("o.c").alias("c"), "v", "g0", "g1", "g2")
-    for n, g in enumerate(CELL):
-        sent = sent.where(F.col(g).between(0, F.col(f"g{n}") - 2))
-    met = sent.groupBy(*KEY, *CELL).agg(*[F.coalesce(F.max(F.when(F.col("c") == c, F.col("v"))), F.lit(0.0)).alias(f"v{c}") for c in range(8)])
-    inside = sum((F.col(f"v{c}") > ISO).cast("int") for c in range(8))
-    return met.where((inside > 0) & (inside < 8))
+    """(vol_id, label, gi, gj, gk, v0..v7) of the cells with corners inside and outside. Each line of blocks along the last axis is sent to the
+    four lines of cells that it is an edge of; a missing corner is 0."""
+    rest = [f"{x}{n}" for x in "bg" for n in range(3)]
+    gathered = cells.groupBy(*KEY, "gi", "gj", *rest).agg(F.collect_list(F.struct("gk", F.col("v").cast("float").alias("v"))).alias("c"))
+    edges = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(c & 1).alias("x"), F.lit(c >> 1).alias("y")) for c in range(4)])
+    sent = gathered.withColumn("o", F.explode(edges)).withColumns({g: F.col(g) - F.col(f"o.{x}") for g, x in (("gi", "x"), ("gj", "y"))})
+    sent = sent.where(F.col("gi").between(0, F.col("g0") - 2) & F.col("gj").between(0, F.col("g1") - 2))
+    met = sent.groupBy(*KEY, "gi", "gj", "g2").agg(F.collect_list(F.struct(F.col("o.c").alias("c"), F.col("c.gk").alias("p"), F.col("c.v").alias("v"))).alias("e"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in met.schema if f.name in KEY]
+    return met.mapInArrow(_crossings, ", ".join([*kinds, *[f"{g} int" for g in CELL], *[f"v{c} double" for c in range(8)]]))
+
+
+def _crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The crossed cells of lines of cells, from the blocks on the four edges (e) of each; g2: blocks of a whole line."""
+    for batch in batches:
+        for some, sizes in lines.chunks(batch, batch["g2"].to_numpy().astype(np.int64)):
+            ends = np.cumsum(sizes)
+            (corner,), at, values = lines.spread(some["e"], ends - sizes)
+            dense = np.zeros((4, ends[-1]))
+            dense[corner, at] = values
+            inside = (dense > ISO).sum(axis=0)
+            inside = inside[:-1] + inside[1:]
+            inside[ends[:-1] - 1] = 0  # from one line to the next
+            hit = np.flatnonzero((inside > 0) & (inside < 8))
+            row = np.searchsorted(ends, hit, "right")
+            own = some.select([*KEY, "gi", "gj"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array((hit - (ends - sizes)[row]).astype(np.int32)), *dense[:, hit], *dense[:, hit + 1]], [*own.schema.names, "gk", *[f"v{c}" for c in range(8)]])
 
 
 def _vid(i: Column, j: Column, k: Column) -> Column:
@@ -141,12 +182,16 @@ def _relaxed(first: int, turns: int):
     """Turns `first` and on of a brick's vertices and those around it; only the brick's own ones are given back."""
 
     def relaxed(some: pd.DataFrame) -> pd.DataFrame:
+        if not some["own"].any():  # a brick beside the structure
+            return some[[*KEY, "vid", "x", "y", "z", "near", "taubin"]].head(0)
         some = some.sort_values("vid", ignore_index=True)
         vid, xyz = some["vid"].to_numpy(), some[["x", "y", "z"]].to_numpy(np.float32)
-        near = some["near"].map(lambda n: np.searchsorted(vid, np.intersect1d(n, vid)))  # in the order of their numbers
-        count = near.map(len).to_numpy()
+        ends, sizes = np.concatenate(some["near"].to_list()).astype(np.int64), some["near"].map(len).to_numpy()
+        at = np.minimum(np.searchsorted(vid, ends), len(vid) - 1)
+        pairs = np.unique(np.stack((np.repeat(np.arange(len(some)), sizes), at), 1)[vid[at] == ends], axis=0)  # in the order of their numbers
+        count = np.bincount(pairs[:, 0], minlength=len(some))
         places = np.full((len(some), max(count.max(), 1)), len(some))
-        places[np.repeat(np.arange(len(some)), count), np.concatenate([np.arange(c) for c in count])] = np.concatenate(near.to_list())
+        places[pairs[:, 0], np.arange(len(pairs)) - np.repeat(np.cumsum(count) - count, count)] = pairs[:, 1]
         live, limit = count > 0, 2 * some["taubin"].to_numpy()
         for turn in range(first, first + turns):
             padded, total = np.vstack((xyz, np.zeros((1, 3), np.float32))), np.zeros_like(xyz)
@@ -174,7 +219,7 @@ def smoothed(vertices: DataFrame, triangles: DataFrame, rounds: DataFrame) -> Da
     ends = F.array(*[F.struct(F.col(p).alias("vid"), F.col(q).alias("to")) for a, b in ("ab", "bc", "ca") for p, q in ((a, b), (b, a))])
     near = triangles.select(*KEY, F.inline(ends)).groupBy(*KEY, "vid").agg(F.collect_set("to").alias("near"))
     state = vertices.join(near, [*KEY, "vid"], "left").join(small(rounds.select(*KEY, "taubin")), KEY)
-    state = state.select(*KEY, "vid", "x", "y", "z", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"), "taubin")
+    state = shared(state.select(*KEY, "vid", "x", "y", "z", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"), "taubin"))
     kind = state.schema
     bricks = ["bi", "bj", "bk"]
     for first in range(0, most, TURNS):
@@ -182,7 +227,7 @@ def smoothed(vertices: DataFrame, triangles: DataFrame, rounds: DataFrame) -> Da
         cells = [F.shiftright("vid", 14 * (2 - n)).bitwiseAND(F.lit((1 << 14) - 1).cast("long")) for n in range(3)]
         own, dealt = F.lit(True), state
         for c, b in zip(cells, bricks, strict=True):
-            dealt = dealt.withColumn(b, F.explode(F.sequence(F.floor((c - TURNS) / BRICK), F.floor((c + TURNS) / BRICK))))
+            dealt = dealt.withColumn(b, F.explode(F.sequence(F.greatest(F.floor((c - TURNS) / BRICK), F.lit(0)), F.floor((c + TURNS) / BRICK))))
             own = own & (F.col(b) == F.floor(c / BRICK))
         done = dealt.withColumn("own", own).groupBy(*KEY, *bricks).applyInPandas(_relaxed(first, turns), kind)
         state = shared(done)
