@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from volspark.functions.numeric import f32
 from volspark.operators.graph import shared
+from volspark.operators.labels import spread
 from volspark.operators.series import usable_slices
 
 #: Orientations differ from here, gaps are uneven beyond this share of their mean and this much, a stack is tilted beyond this angle.
@@ -32,7 +33,8 @@ def placed(slices: DataFrame) -> DataFrame:
 
     A series is one group, of as many rows as its scan has images.
     """
-    own = usable_slices(slices.drop("raw")).where("used")
+    # a task sorts its series several times over, so its memory goes with its rows
+    own = usable_slices(spread(slices.drop("raw"), slices.count(), "series_uid")).where("used")
     every = Window.partitionBy("series_uid")
     size = F.count("*").over(every)
     own = own.withColumns({"n": size, "n_others": F.col("total") - size, "have": F.count("ipp").over(every) == size, "first": F.min(F.struct("file", "iop")).over(every)["iop"]})
