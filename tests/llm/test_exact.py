@@ -223,3 +223,17 @@ def test_quality_counts(spark, docs, rows, empty):
     assert not got.where("base_failed and kept").count()
     assert rules.filter_quality(empty, labels).count() == 0
     assert rules.filter_quality(docs, labels.where("false")).where("kept = base_failed").count() == 0
+
+
+def test_template_memory_hashes_values_only_where_they_are_compared():
+    """F: op10 worked out four codes and kept the words of every new token of a document, which was most of its time."""
+    from volspark.llm.decontam import Templates
+
+    short, full = Templates(values=False), Templates(values=True)
+    text = "In 1999, Mary ran 5km to Rome. Mary, 5km; -- go.é"
+    a, b = short.read(text), full.read(text)
+    assert a.tolist() == b.tolist() and [short.tokens[i] for i in a] == text.split()
+    (two, flags), (four, same) = short.arrays(), full.arrays()
+    n = len(short.tokens)
+    assert two.shape[1] == 2 and four.shape[1] == 4 and (two[:n] == four[:n, :2]).all() and (flags[:n] == same[:n]).all()
+    assert (four[:n, 0] == 0).tolist() == [t == "--" for t in short.tokens] and (four[:n, 2] != 0).tolist() == [t != "--" for t in short.tokens]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 SLOTS = (NUM, UNIT, NAME)
 #: In front of exact words; no template word is this mark.
 EXACT = "= "
+PAUSES = ".,;:!?"
 
 _WEIGHTS = np.array([xxhash.xxh64_intdigest(f"place {i}") | 1 for i in range(WINDOW)], np.uint64)
 _CODE = {s: xxhash.xxh64_intdigest(s, 7) for s in SLOTS}
@@ -38,6 +40,12 @@ def forms(token: str) -> tuple[list[tuple[str, str]], int]:
 
     _CAPS: the one word is a name unless it opens a sentence. _END: a sentence ends here.
     """
+    plain = token[:-1] if token[-1] in PAUSES else token
+    if plain.isalpha():  # most tokens: a word and at most one mark, no number among them
+        low, flags = plain.lower(), _END if token[-1] in ".!?:" else 0
+        if low in UNITS and len(low) > 1:
+            return [(UNIT, low)], flags
+        return [(low, low)], flags | _CAPS if plain[0].isupper() and plain[1:].islower() else flags
     flags = _END if token[-1:] in ".!?:" or token[-2:-1] in (".", "!", "?") else 0
     bare = EDGES.sub("", token)
     low = bare.lower()
@@ -56,47 +64,54 @@ def forms(token: str) -> tuple[list[tuple[str, str]], int]:
     return [(low, low)], flags
 
 
-class Templates:
-    """Codes of the template words of texts, then of their values; remembers tokens, up to a bound."""
+class Templates(dict):
+    """Token -> id, and the codes of the tokens' template words, then of their values if asked for; remembers tokens, up to a bound.
 
-    def __init__(self) -> None:
+    The words themselves are not kept: few windows need them, and `forms` gives them again.
+    """
+
+    def __init__(self, values: bool) -> None:
+        self.values = values
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.words: list[list[tuple[str, str]]] = []
-        self.flags: list[int] = []
-        self.codes: list[int] = []
-        self._table, self._flags, self._done = np.zeros((0, 4), np.uint64), np.zeros(0, np.int8), 0
+        super().clear()
+        self.tokens: list[str] = []
+        self.flags, self.codes = array("b"), array("Q")
+        self._table, self._flags, self._done = np.zeros((0, 4 if self.values else 2), np.uint64), np.zeros(0, np.int8), 0
 
-    def _add(self, token: str) -> int:
+    def __missing__(self, token: str) -> int:
         words, flags = forms(token)
-        self.words.append(words), self.flags.append(flags)
-        self.codes.extend(_CODE[w] if w in _CODE else xxhash.xxh64_intdigest(w, 7) for w, _ in words[:2])
-        self.codes.extend([0] * (2 - len(words)))
-        self.codes.extend(xxhash.xxh64_intdigest(v, 8) for _, v in words[:2])
-        self.codes.extend([0] * (2 - len(words)))
-        self.place[token] = len(self.words) - 1
-        return len(self.words) - 1
+        self._put([_CODE.get(w) or xxhash.xxh64_intdigest(w, 7) for w, _ in words[:2]])
+        if self.values:
+            self._put([xxhash.xxh64_intdigest(v, 8) for _, v in words[:2]])
+        self.flags.append(flags)
+        self[token] = at = len(self.tokens)
+        self.tokens.append(token)
+        return at
+
+    def _put(self, own: list[int]) -> None:
+        own += [0] * (2 - len(own))
+        self.codes.fromlist(own)
 
     def read(self, text: str) -> np.ndarray:
         """Token ids of a text; earlier ids hold until the next call."""
-        if len(self.words) > REMEMBERED:
+        if len(self.tokens) > REMEMBERED:
             self.clear()
-        get, add = self.place.get, self._add
-        return np.array([i if (i := get(w)) is not None else add(w) for w in text.split()], np.int64)
+        own = text.split()
+        return np.fromiter(map(self.__getitem__, own), np.int64, len(own))
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
         """(codes, flags) by token id; grown in steps, as tokens are added with every text."""
         n = len(self.flags)
         if n > len(self._flags):
             more = max(n, len(self._flags) * 2)
-            table, flags = np.zeros((more, 4), np.uint64), np.zeros(more, np.int8)
+            table, flags = np.zeros((more, self._table.shape[1]), np.uint64), np.zeros(more, np.int8)
             table[: self._done], flags[: self._done] = self._table[: self._done], self._flags[: self._done]
             self._table, self._flags = table, flags
         if n > self._done:
-            self._table[self._done : n] = np.array(self.codes[4 * self._done :], np.uint64).reshape(-1, 4)
-            self._flags[self._done : n] = self.flags[self._done :]
+            self._table[self._done : n] = np.frombuffer(self.codes, np.uint64).reshape(n, -1)[self._done :]
+            self._flags[self._done : n] = np.frombuffer(self.flags, np.int8)[self._done :]
             self._done = n
         return self._table, self._flags
 
@@ -173,7 +188,7 @@ def _windows(batches, sizes, bitmap: np.ndarray | None):
     slots are the values in the template's slots, in order; of is the number of template words of the text. The template of
     exact words starts with EXACT and has no slots.
     """
-    memory = Templates()
+    memory = Templates(values=bitmap is None or bool(sizes[1]))
     for b in batches:
         out = [[] for _ in range(8)]
         for key, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -186,7 +201,7 @@ def _windows(batches, sizes, bitmap: np.ndarray | None):
             if not len(code):
                 continue
             values = ends = None
-            if bitmap is None or sizes[1]:
+            if memory.values:
                 values = table[ids, 2:].ravel()
                 values = values[values != 0]
                 ends = np.append(((flags[ids[token[:-1]]] & _END) > 0) & (token[1:] != token[:-1]), True)
@@ -197,7 +212,7 @@ def _windows(batches, sizes, bitmap: np.ndarray | None):
                     copy = xxhash.xxh64_intdigest(raw) - (1 << 63) if copy is None else copy
                     words, slots = [], []
                     for i in range(at, at + size):
-                        own = memory.words[ids[token[i]]]
+                        own = forms(memory.tokens[ids[token[i]]])[0]
                         word, value = own[1] if i and token[i] == token[i - 1] else own[0]
                         word = value if named is None else NAME if named[i] else word
                         words.append(word)
