@@ -237,3 +237,21 @@ def test_template_memory_hashes_values_only_where_they_are_compared():
     n = len(short.tokens)
     assert two.shape[1] == 2 and four.shape[1] == 4 and (two[:n] == four[:n, :2]).all() and (flags[:n] == same[:n]).all()
     assert (four[:n, 0] == 0).tolist() == [t == "--" for t in short.tokens] and (four[:n, 2] != 0).tolist() == [t != "--" for t in short.tokens]
+
+
+def test_words_of_letters_are_the_patterns_matches():
+    """F: every piece was searched by the pattern; and a task held the results of a whole batch at once, not of one chunk."""
+    import pyarrow as pa
+    import public_tokenizers
+
+    from volspark.llm import bpe
+
+    split = bpe.splitter(public_tokenizers.PATTERN)
+    letters = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if c.isalpha()]
+    runs = ["".join(letters[i : i + 500]) for i in range(0, len(letters), 500)]
+    for piece in [*runs, *(" " + r + "," for r in runs), "a", "a.", " a", " a?", " .", ".", " ", "  ab", "ab's", "'s.", " 's,", "ab.,", "a1.", " ab\n", "", "ab:"]:
+        assert bpe.words_of(piece, split) == [w.encode() for w in split(piece)], piece
+    texts = [("word%d, " % i).encode() * 300_000 for i in range(6)]
+    batch = pa.record_batch([pa.array(range(6)), pa.array(texts, pa.binary())], ["doc_id", "text"])
+    out = list(bpe._encode(iter([batch]), bpe.VOCABULARY))
+    assert len(out) > 1 and [x for o in out for x in o.column(0).to_pylist()] == list(range(6)) and [x for o in out for x in o.column(3).to_pylist()] == texts

@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.llm.common import text_bytes
+from volspark.llm.common import released, text_bytes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text whose words are contracted together, and rows that one query starts from.
-CHUNK, ROWS = 1 << 23, 400_000
+CHUNK, ROWS = 1 << 23, 200_000
 REMEMBERED = 150_000
+#: No contraction of the pattern begins with one of these.
+MARKS = (".", ",", ";", ":", "!", "?")
 #: Longer words contract all equal pairs of a step that cannot touch each other's order.
 LONG = 48
 
@@ -210,7 +212,7 @@ def splitter(pattern: str):
 
     import regex
 
-    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    everything = np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x110000))).astype("<u4").tobytes().decode("utf-32-le")  # without an object for each
     spans = {c: "".join(f"{re.escape(m[0])}-{re.escape(m[-1])}" for m in regex.findall(rf"{c}+", everything)) for c in (r"\p{L}", r"\p{N}", r"\s")}
     plain = pattern.replace(r"[^\s\p{L}\p{N}]", "[^" + spans[r"\s"] + spans[r"\p{L}"] + spans[r"\p{N}"] + "]").replace(r"(?!\S)", f"(?![^{spans[r'\s']}])")
     for c in spans:
@@ -237,11 +239,19 @@ def chunks(text: str) -> list[str] | None:
     return None if _RUNS(text) else text.split(" ")
 
 
+def words_of(piece: str, split) -> list[bytes]:
+    """The matches of the pattern in a piece; letters behind at most one space, with at most one mark after them, need no search."""
+    letters = piece[:-1] if piece[-1:] in MARKS else piece
+    if letters[1:].isalpha() and (letters[0] == " " or letters[0].isalpha()):
+        return [piece.encode()] if letters is piece else [letters.encode(), piece[-1].encode()]
+    return [w.encode() for w in split(piece)]
+
+
 #: Words that a worker process remembers between texts and tasks.
 _KNOWN: dict[str, dict[bytes, tuple[str, bytes]]] = {}
 
 
-def _codes(words: list[bytes], name: str) -> dict[bytes, tuple[str, bytes]]:
+def _codes(words: set[bytes], name: str) -> dict[bytes, tuple[str, bytes]]:
     known = _KNOWN.setdefault(name, {})
     found = encode_words([w for w in words if w not in known], name)
     for w in list(found)[: max(0, REMEMBERED - len(known))]:
@@ -253,11 +263,12 @@ def _encode(batches, name: str):
     """The columns before the last one, then n_tokens, ids_sha256, decoded of its texts."""
     import public_tokenizers
 
+    released()
     split = splitter(public_tokenizers.PATTERN)
     for b in batches:
-        n_tokens, digests, decoded = [], [], []
         texts, at = b.column(b.num_columns - 1), 0
         while at < b.num_rows:
+            n_tokens, digests, decoded, first = [], [], [], at
             place: dict[str, int] = {}  # of pieces of text, " word," or a whole text with odd white space
             docs, size = [], 0
             while at < b.num_rows and size < CHUNK:
@@ -266,24 +277,24 @@ def _encode(batches, name: str):
                 parts = chunks(text)
                 if parts is None:
                     parts = split(text)
-                else:
-                    parts = [parts[0], *[" " + p for p in parts[1:]]]
+                elif len(parts) > 1:
+                    parts = [parts[0], *map(" ".__add__, parts[1:])]
                 docs.append(np.array([place.setdefault(p, len(place)) for p in parts], np.int32))
                 size += len(raw)
                 at += 1
-            pieces = [[w.encode() for w in split(p)] for p in place]
-            codes = _codes(list({w for p in pieces for w in p}), name)
-            ids = [",".join([codes[w][0] for w in p]) for p in pieces]
-            text = [b"".join([codes[w][1] for w in p]) for p in pieces]
+            pieces = [words_of(p, split) for p in place]
+            codes = _codes({w for p in pieces for w in p}, name)
+            both = [codes[p[0]] if len(p) == 1 else (",".join([codes[w][0] for w in p]), b"".join([codes[w][1] for w in p])) for p in pieces]
+            ids, text = [x[0] for x in both], [x[1] for x in both]
+            del place, codes, pieces, both
             count = np.array([x.count(",") + 1 if x else 0 for x in ids], np.int64)
-            del place, codes, pieces
             for own in docs:
                 n_tokens.append(int(count[own].sum()))
                 own = own.tolist()
-                digests.append(hashlib.sha256(",".join([ids[i] for i in own if ids[i]]).encode()).hexdigest())
+                digests.append(hashlib.sha256(",".join(filter(None, map(ids.__getitem__, own))).encode()).hexdigest())
                 decoded.append(b"".join(map(text.__getitem__, own)))
-        own = [b.column(i) for i in range(b.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*own, pa.array(n_tokens, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.binary())], [*b.schema.names[:-1], "n_tokens", "ids_sha256", "decoded"])
+            own = [b.column(i).slice(first, at - first) for i in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n_tokens, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.binary())], [*b.schema.names[:-1], "n_tokens", "ids_sha256", "decoded"])
 
 
 def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] = ("doc_id",)) -> DataFrame:

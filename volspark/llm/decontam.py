@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.llm.common import HEAVY, join_skewed, shared, text_bytes
+from volspark.llm.common import HEAVY, join_skewed, released, shared, text_bytes
 
 WINDOW, LEAST_WORDS, SHORTEST = 10, 5, 6
 #: Exact windows of fewer words count only as a whole sentence.
@@ -188,6 +188,7 @@ def _windows(batches, sizes, bitmap: np.ndarray | None):
     slots are the values in the template's slots, in order; of is the number of template words of the text. The template of
     exact words starts with EXACT and has no slots.
     """
+    released()
     memory = Templates(values=bitmap is None or bool(sizes[1]))
     for b in batches:
         out = [[] for _ in range(8)]
